@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandloom.llm.bpe import op10_byte_bpe
 from strandloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from strandloom.llm.sharding import op7_virtual_slots
 from strandloom.llm.url_filter import OP5_SQL, op5_url_rules
@@ -10,5 +11,6 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_url_rules": op5_url_rules,
     "op7_virtual_slots": op7_virtual_slots,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES = {"op4_line_dedup": OP4_SQL, "op5_url_rules": OP5_SQL}
