@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from strandloom.llm.bpe import op10_byte_bpe
 from strandloom.llm.line_dedup import OP4_SQL, op4_line_dedup
+from strandloom.llm.minhash_dedup import op2_odd_sketches
 from strandloom.llm.secret_scan import OP6_SQL, op6_secret_scan
 from strandloom.llm.sharding import op7_virtual_slots
 from strandloom.llm.url_filter import OP5_SQL, op5_url_rules
 
 QUERIES = {
+    "op2_odd_sketches": op2_odd_sketches,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_rules": op5_url_rules,
     "op6_secret_scan": op6_secret_scan,
