@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from strandloom.llm.bpe import op10_byte_bpe
+from strandloom.llm.decontamination import OP8_SQL, op8_contained_items
 from strandloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from strandloom.llm.minhash_dedup import op2_odd_sketches
+from strandloom.llm.quality import op9_byte_cnn
 from strandloom.llm.secret_scan import OP6_SQL, op6_secret_scan
 from strandloom.llm.sharding import op7_virtual_slots
 from strandloom.llm.url_filter import OP5_SQL, op5_url_rules
@@ -15,6 +17,8 @@ QUERIES = {
     "op5_url_rules": op5_url_rules,
     "op6_secret_scan": op6_secret_scan,
     "op7_virtual_slots": op7_virtual_slots,
+    "op8_contained_items": op8_contained_items,
+    "op9_byte_cnn": op9_byte_cnn,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES = {"op4_line_dedup": OP4_SQL, "op5_url_rules": OP5_SQL, "op6_secret_scan": OP6_SQL}
+ORACLES = {"op4_line_dedup": OP4_SQL, "op5_url_rules": OP5_SQL, "op6_secret_scan": OP6_SQL, "op8_contained_items": OP8_SQL}
