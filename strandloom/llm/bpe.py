@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import duckdb
@@ -17,32 +19,28 @@ from pyspark.sql import types as T
 
 VOCAB = "byte_bpe_50k.tiktoken"
 #: Distinct words that one recursion takes; bounds the rows DuckDB holds.
-WORDS_A_QUERY = 40_000
+WORDS_A_QUERY = 20_000
 #: Longer words are contracted by a loop over one table, as the recursion keeps all earlier states of a word.
 LONG_WORD = 512
 #: Pieces of text whose ids a Python worker keeps from one batch to the next; the rest are simply encoded again.
-CACHED = 400_000
+CACHED = 200_000
 #: A space between two characters that aren't white space always begins a match of the pattern, so texts split there.
-ODD_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
 SAFE_SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Each step joins neighbouring tokens to the merge table and contracts, in every word that has a pair, the one of
-#: least rank, the leftmost of equals. A word's last state is its encoding. A row's place is the word's number and, in
-#: the lower 20 bits, the position of the token's first byte.
+#: least rank, the leftmost of equals. A word that has none is done. A row's place is the word's number
+#: and, in the lower 10 bits, the position of the token's first byte.
 CONTRACT = """
-with recursive t(step, place, tok) as (
-  select 0, (w::bigint << 20) | pos, tok from start
+with recursive t(place, tok, done) as (
+  select (w << 10) | pos, tok, false from start
   union all
-  (with pairs as materialized (select *, lead(tok) over o as nxt, lead(place) over o as gone from t
-                               window o as (order by place)),
-   best as (select place >> 20 as w, min((m.rank::bigint << 40) | ((place & 1048575) << 20) | (gone & 1048575)) as b
-            from pairs p join merges m on m.a = p.tok and m.b = p.nxt where p.place >> 20 = p.gone >> 20 group by 1)
-   select p.step + 1, p.place,
-          case when p.place & 1048575 = (b.b >> 20) & 1048575 then (b.b >> 40)::int else p.tok end
-   from pairs p join best b on p.place >> 20 = b.w where p.place & 1048575 <> b.b & 1048575))
-select (t.place >> 20)::int as w, t.tok
-from t join (select place >> 20 as w, max(step) as step from t group by 1) x on t.place >> 20 = x.w and t.step = x.step
-order by t.place
+  (with pairs as materialized (select place, tok, lead(tok) over o as nxt, lead(place) over o as gone
+                               from t where not done window o as (order by place)),
+   best as (select place >> 10 as w, min((m.rank::bigint << 20) | ((place & 1023) << 10) | (gone & 1023)) as b
+            from pairs p join merges m on m.a = p.tok and m.b = p.nxt where p.place >> 10 = p.gone >> 10 group by 1)
+   select p.place, case when p.place & 1023 = (b.b >> 10) & 1023 then (b.b >> 20)::int else p.tok end, b.b is null
+   from pairs p left join best b on p.place >> 10 = b.w where b.b is null or p.place & 1023 <> b.b & 1023))
+select place >> 10 as w, tok from t where done order by place
 """
 PAIRS = """
 create or replace temp table pairs as select p.*, m.rank from (
@@ -63,6 +61,14 @@ select t.r, string_agg(v.hex, '' order by t.pos) as hex from tokens t join vocab
 """
 
 
+class Odd(dict):
+    """Whether white space, or nothing, stands beside a space that a piece was cut at; found once for each piece."""
+
+    def __missing__(self, piece: str) -> bool:
+        self[piece] = made = not piece or piece[0].isspace() or piece[-1].isspace()
+        return made
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -76,7 +82,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.words: dict[str, bytes] = {}  # ids of texts and pieces seen, as little-endian unsigned 32-bit integers
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         whole = [
             (self.ranks[t[:i]], self.ranks[t[i:]], r)
             for t, r in self.ranks.items()
@@ -130,27 +136,41 @@ class Codec:
         got = self.db.execute("select tok from word order by pos").fetchnumpy()
         return np.asarray(got["tok"]).astype("<u4").tobytes()
 
-    def pieces(self, text: str) -> list[str]:
-        """The text cut where a match always begins; each piece but the first has lost its space."""
-        return SAFE_SPLIT.split(text) if ODD_SPACE.search(text) else text.split(" ")
-
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts are cut where a match always begins; all pieces but a text's first have lost their space."""
         if len(self.words) > CACHED:
             self.words.clear()
-        known = self.words
-        todo: set[str] = set()
-        begins = []
+        known, find = self.words, self.pattern.findall
+        fresh: Counter[str] = Counter()
+        index: dict[str, int] = {}  # of the distinct matches
+        at_odd, uneven, begins = Odd(), [], []
         for text in texts:
-            first, *rest = self.pieces(text)
-            begins.append(self.pattern.findall(first))  # it has no space in front
-            todo.update([p for p in rest if p not in known])
-        split = {p: self.pattern.findall(" " + p) for p in todo}
-        distinct = list({m for matches in (*split.values(), *begins) for m in matches})
-        ids = dict(zip(distinct, self.contract([m.encode() for m in distinct]), strict=True))
-        known.update((p, b"".join([ids[m] for m in matches])) for p, matches in split.items())
+            parts = text.split(" ")
+            new = [p for p in parts if p not in known]
+            wide = len(parts) > 1 and (not parts[0] or parts[0][-1].isspace() or any(map(at_odd.__getitem__, new)))
+            if wide:
+                parts = SAFE_SPLIT.split(text)
+                new = [p for p in parts if p not in known]
+            uneven.append(wide)
+            begins.append([index.setdefault(m, len(index)) for m in find(parts[0])])
+            fresh.update(new)
+        flat, sizes = array("i"), array("i")
+        for p in fresh:
+            matches = find(" " + p)
+            sizes.append(len(matches))
+            flat.extend([index.setdefault(m, len(index)) for m in matches])
+        ids = self.contract([m.encode() for m in index])
+        at = 0
+        for p, n in zip(fresh, sizes, strict=True):
+            known[p] = b"".join([ids[i] for i in flat[at : at + n]])
+            at += n
         out = []
-        for text, begin in zip(texts, begins, strict=True):
-            out.append(b"".join([*(ids[m] for m in begin), *[known[p] for p in self.pieces(text)[1:]]]))
+        for text, begin, wide in zip(texts, begins, uneven, strict=True):
+            parts = SAFE_SPLIT.split(text) if wide else text.split(" ")
+            out.append(b"".join([*[ids[i] for i in begin], *[known[p] for p in parts[1:]]]))
+        for p, n in fresh.items():  # what came once is not worth its memory, and odd pieces must not pass for plain ones
+            if n == 1 or at_odd[p]:
+                del known[p]
         return out
 
     def decode(self, rows: list[bytes]) -> list[bytes]:
@@ -209,7 +229,7 @@ def encode(
     ids; repeated rows and other columns pass through; an empty table gives an empty table; no text is cut.
     """
     path = path or public_tokenizers.path(VOCAB)
-    return _mapped(df, column, to, lambda part: codec(path, pattern).encode([x or "" for x in part]), 8_000_000)
+    return _mapped(df, column, to, lambda part: codec(path, pattern).encode([x or "" for x in part]), 16_000_000)
 
 
 def decode(
@@ -217,7 +237,7 @@ def decode(
 ) -> DataFrame:
     """df with the binary column `to`: the bytes that the ids of df[column] stand for; null counts as no ids."""
     path = path or public_tokenizers.path(VOCAB)
-    return _mapped(df, column, to, lambda part: codec(path, pattern).decode([x or b"" for x in part]), 2_000_000)
+    return _mapped(df, column, to, lambda part: codec(path, pattern).decode([x or b"" for x in part]), 1_000_000)
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
