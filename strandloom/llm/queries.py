@@ -7,6 +7,7 @@ from strandloom.llm.decontamination import OP8_SQL, op8_contained_items
 from strandloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from strandloom.llm.minhash_dedup import op2_odd_sketches
 from strandloom.llm.pii import op1_bilstm_crf
+from strandloom.llm.posting_lists import op3_posting_lists
 from strandloom.llm.quality import op9_byte_cnn
 from strandloom.llm.secret_scan import OP6_SQL, op6_secret_scan
 from strandloom.llm.sharding import op7_virtual_slots
@@ -15,6 +16,7 @@ from strandloom.llm.url_filter import OP5_SQL, op5_url_rules
 QUERIES = {
     "op1_bilstm_crf": op1_bilstm_crf,
     "op2_odd_sketches": op2_odd_sketches,
+    "op3_posting_lists": op3_posting_lists,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_rules": op5_url_rules,
     "op6_secret_scan": op6_secret_scan,
