@@ -144,14 +144,14 @@ def training_chunks(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int
     return sorted((bytes(r.chunk), r.quality) for r in rows)
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with a column __score, from 0 to 1: how likely label 1 is.
+def score(docs: DataFrame, labels: DataFrame, sample_of: DataFrame | None = None) -> DataFrame:
+    """docs with a column __score, from 0 to 1: how likely label 1 is. Training texts come from sample_of, or docs.
 
     A null text counts as empty; an empty text has a score like any other; every chunk of a long text counts; repeated
     rows score alike; other columns, ids included, are no input and pass through; an empty table gives an empty table.
     Labels of one value, or none, give all documents the same score (over KEEP, unless every label is 0).
     """
-    sample = training_chunks(docs, labels)
+    sample = training_chunks(docs if sample_of is None else sample_of, labels)
     net = train([c for c, _ in sample], [q for _, q in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
