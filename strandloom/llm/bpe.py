@@ -22,8 +22,10 @@ VOCAB = "byte_bpe_50k.tiktoken"
 WORDS_A_QUERY = 20_000
 #: Longer words are contracted by a loop over one table, as the recursion keeps all earlier states of a word.
 LONG_WORD = 512
+#: Rows, characters of text and bytes of ids that are taken at once; a longer text is taken alone.
+ROWS, TEXT_SLICE, IDS_SLICE = 3000, 10_000_000, 1_000_000
 #: Pieces of text whose ids a Python worker keeps from one batch to the next; the rest are simply encoded again.
-CACHED = 200_000
+CACHED = 150_000
 #: A space between two characters that aren't white space always begins a match of the pattern, so texts split there.
 SAFE_SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -82,7 +84,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.words: dict[str, bytes] = {}  # ids of texts and pieces seen, as little-endian unsigned 32-bit integers
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         whole = [
             (self.ranks[t[:i]], self.ranks[t[i:]], r)
             for t, r in self.ranks.items()
@@ -208,16 +210,33 @@ def slices(values: list, size, most: int) -> Iterator[list]:
         yield run
 
 
-def _mapped(df: DataFrame, column: str, name: str, of, most: int) -> DataFrame:
-    """df with a binary column `name`, made batch by batch from `column` by the function of()."""
+def _mapped(df: DataFrame, steps: list[tuple], drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with binary columns made batch by batch: steps has (column, name, function of a list of values, values' size).
+
+    All steps of a batch run in one Python worker.
+    """
+    names = [*[c for c in df.columns if c not in drop], *[name for _, name, *_ in steps]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(column).to_pylist()
-            made = [x for part in slices(values, lambda v: len(v or ""), most) for x in of(part)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, name])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+                for column, name, of, most in steps:
+                    parts = slices(columns[column].to_pylist(), lambda v: len(v or ""), most)
+                    columns[name] = pa.array([x for part in parts for x in of(part)], pa.binary())
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    fields = {f.name: f for f in df.schema.fields} | {n: T.StructField(n, T.BinaryType()) for _, n, *_ in steps}
+    return df.mapInArrow(run, T.StructType([fields[n] for n in names]))
+
+
+def _encoder(path: str, pattern: str):
+    return lambda part: codec(path, pattern).encode([x or "" for x in part])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
+
+def _decoder(path: str, pattern: str):
+    return lambda part: codec(path, pattern).decode([x or b"" for x in part])
 
 
 def encode(
@@ -228,25 +247,28 @@ def encode(
     Each match of the pattern is encoded separately, without special tokens. A null text counts as empty and has no
     ids; repeated rows and other columns pass through; an empty table gives an empty table; no text is cut.
     """
-    path = path or public_tokenizers.path(VOCAB)
-    return _mapped(df, column, to, lambda part: codec(path, pattern).encode([x or "" for x in part]), 16_000_000)
+    return _mapped(df, [(column, to, _encoder(path or public_tokenizers.path(VOCAB), pattern), TEXT_SLICE)])
 
 
 def decode(
     df: DataFrame, column: str, to: str, path: str | None = None, pattern: str = public_tokenizers.PATTERN
 ) -> DataFrame:
     """df with the binary column `to`: the bytes that the ids of df[column] stand for; null counts as no ids."""
-    path = path or public_tokenizers.path(VOCAB)
-    return _mapped(df, column, to, lambda part: codec(path, pattern).decode([x or b"" for x in part]), 1_000_000)
+    return _mapped(df, [(column, to, _decoder(path or public_tokenizers.path(VOCAB), pattern), IDS_SLICE)])
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """doc_id, ids (binary) and decoded (binary) of every document."""
-    return decode(encode(docs.select("doc_id", "text"), "text", "ids"), "ids", "decoded").drop("text")
+def round_trip(
+    df: DataFrame, column: str, ids: str, decoded: str, path: str | None = None, pattern: str = public_tokenizers.PATTERN
+) -> DataFrame:
+    """df without `column`, with its ids and what they decode to: encode() and decode() in one pass."""
+    path = path or public_tokenizers.path(VOCAB)
+    steps = [(column, ids, _encoder(path, pattern), TEXT_SLICE), (ids, decoded, _decoder(path, pattern), IDS_SLICE)]
+    return _mapped(df, steps, (column,))
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return tokenised(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return round_trip(docs, "text", "ids", "decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
