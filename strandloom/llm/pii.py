@@ -197,6 +197,7 @@ def find(docs: DataFrame) -> DataFrame:
 def op1_bilstm_crf(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     place = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     keyed = F.transform(
         F.concat("base", "added"),
@@ -204,7 +205,7 @@ def op1_bilstm_crf(spark, sf_dir: str) -> DataFrame:
     )
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(text("base"), 256).alias("base_sha256"),
         text(F.array_sort(keyed)).alias("spans"),
     )
