@@ -1,4 +1,411 @@
-"""Registered queries over the given tables, with the SQL each is held against."""
+"""Registered queries over the given tables, with the SQL that each is held against.
 
-QUERIES: dict = {}
+The tables hold prose, so reads are made from documents: letters become bases. A read's id is its doc_id as text and
+its place the doc_id itself.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.functions.fuzzy import fuzzy_find
+from strandloom.functions.sequence import (
+    BARCODE, but_suffix, cut, dna, fake_quality, first_token, parts, revcomp, suffix, windows,
+)
+from strandloom.operators import chunk, graph, lineage, merge, neighbors, sine
+from strandloom.operators.simjoin import similar_pairs
+from strandloom.session import stored
+from strandloom.sources import fastx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: A word that is searched, its errors, and the reads' length and overlap.
+WORD, WORD_ERRORS, READ, OVERLAP = "ACGTTGCAATCG", 2, 150, 20
+
+#: The start of every oracle: reads and barcodes as below.
+READS_SQL = r"""
+with reads as materialized (select doc_id as record_index, doc_id::varchar as id, upper(regexp_replace(translate(lower(text),
+  'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), '[^acgt]', '', 'g')) as seq from documents
+  where text is not null),
+bc as materialized (select record_index, id, seq[1:36] as barcode from reads where length(seq) >= 36)"""
+REVCOMP_SQL = "reverse(translate({}, 'ACGT', 'TGCA'))"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name; its SQL follows the tables reads and bc."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = READS_SQL + sql
+        return f
+
+    return add
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    return docs.select(F.col("doc_id").alias("record_index"), F.col("doc_id").cast("string").alias("id"), dna(F.col("text")).alias("seq"))
+
+
+def barcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcodes are written once: the queries below use them several times, and their making costs more than they do."""
+    r = reads(spark, sf_dir).filter(F.char_length("seq") >= BARCODE)
+    return stored(r.select("record_index", "id", F.left("seq", F.lit(BARCODE)).alias("barcode")), "barcodes")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    b = barcoded(spark, sf_dir)
+    return b.filter("record_index % 2 = 0"), b.filter("record_index % 2 = 1")
+
+
+def element(spark: SparkSession, sf_dir: str) -> str:
+    """The single-record reference: the first benchmark passage as bases."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(1)
+    return items.select(dna(F.col("text")).alias("s")).first().s
+
+
+# -- projections
+
+
+@query(f", x as (select record_index, {REVCOMP_SQL.format('seq')} as rc from reads) select record_index, rc from x")
+def reverse_complement(spark, sf_dir):
+    return reads(spark, sf_dir).select("record_index", revcomp(F.col("seq")).alias("rc"))
+
+
+@query(" select record_index, seq, repeat('?', length(seq)) as qual from reads")
+def fasta_to_fastq(spark, sf_dir):
+    return reads(spark, sf_dir).select("record_index", "seq", fake_quality(F.col("seq")).alias("qual"))
+
+
+@query(r" select doc_id, regexp_split_to_array(trim(text), '\s+')[1] as token from documents where text is not null")
+def id_token(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    return docs.select("doc_id", first_token(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("token"))
+
+
+@query(""" select record_index, right(seq, 20) as tail, left(seq, greatest(length(seq) - 20, 0)) as rest, seq[31:67] as mid
+from reads""")
+def suffix_cut(spark, sf_dir):
+    seq = F.col("seq")
+    return reads(spark, sf_dir).select(
+        "record_index", suffix(seq, 20).alias("tail"), but_suffix(seq, 20).alias("rest"), cut(seq, 30, 67).alias("mid")
+    )
+
+
+@query(""", x as (select id, unnest(range(3)) as i, barcode from bc)
+select id, (i * 9)::int as place, substr(barcode, i * 9 + 1, 9) as kmer from x""")
+def barcode_parts(spark, sf_dir):
+    b = barcoded(spark, sf_dir).select("id", F.explode(parts(F.col("barcode"), complete=False)).alias("p"))
+    return b.select("id", "p.place", "p.kmer")
+
+
+@query(""", x as (select id, unnest(range(27)) as j, barcode from bc) select distinct id, substr(barcode, j + 1, 9) as kmer from x""")
+def kmer_windows(spark, sf_dir):
+    return barcoded(spark, sf_dir).select("id", F.explode(windows(F.col("barcode"), complete=False)).alias("kmer"))
+
+
+@query(""", x as (select id, unnest(range(27)) as j, barcode from bc)
+select substr(barcode, j + 1, 9) as kmer, barcode, array_to_string(list_sort(list(distinct id)), ',') as ids from x group by 1, 2""")
+def kmer_dictionary(spark, sf_dir):
+    return neighbors.dictionary(barcoded(spark, sf_dir)).withColumn("ids", F.array_join("ids", ","))
+
+
+@query(""", x as (select barcode, arg_max(id, record_index) as id from bc group by 1), y as (select *, unnest(range(27)) as j from x)
+select distinct substr(barcode, j + 1, 9) as kmer, barcode, id as ids from y""")
+def kmer_dictionary_last(spark, sf_dir):
+    return neighbors.dictionary(barcoded(spark, sf_dir), keep="last").withColumn("ids", F.array_join("ids", ","))
+
+
+# -- similarity joins
+
+COMPAT_SQL = """, d as (select distinct barcode as b from bc),
+w as (select distinct b, substr(b, j + 1, 9) as k from (select b, unnest(range(27)) as j from d)),
+p as (select distinct b, substr(b, i * 9 + 1, 9) as k from (select b, unnest(range(3)) as i from d)),
+met as materialized (select distinct p.b as a, w.b as b from p join w using (k)),
+compat as materialized (select a, b, levenshtein(a, b)::int as cost from met where levenshtein(a, b) <= 3)"""
+#: Every pair with four disjoint parts, at any offset: no pair within three edits is missed.
+COMPLETE_SQL = """, d as (select distinct barcode as b from bc),
+w as (select distinct b, substr(b, j + 1, 9) as k from (select b, unnest(range(28)) as j from d)),
+p as (select distinct b, substr(b, i * 9 + 1, 9) as k from (select b, unnest(range(4)) as i from d)),
+met as materialized (select distinct p.b as a, w.b as b from p join w using (k)),
+full_ as materialized (select a, b, levenshtein(a, b)::int as cost from met where levenshtein(a, b) <= 3)"""
+INFIX = " or ".join(
+    f"levenshtein(a, substr(b, {start + 1}, {n})) <= 3" for n in range(33, 37) for start in range(37 - n)
+)
+INFIX_SQL = COMPLETE_SQL + f", infix as materialized (select a, b from met where {INFIX})"
+
+
+@query(COMPAT_SQL + " select a, b, cost from compat")
+def neighbor_pairs_compat(spark, sf_dir):
+    b = barcoded(spark, sf_dir)
+    return similar_pairs(b, b, recall="compat")
+
+
+@query(""", d as (select distinct barcode as b from bc)
+select x.b as a, y.b as b, levenshtein(x.b, y.b)::int as cost from d x join d y on levenshtein(x.b, y.b) <= 3""")
+def neighbor_pairs_complete(spark, sf_dir):
+    b = barcoded(spark, sf_dir)
+    return similar_pairs(b, b)
+
+
+@query(COMPAT_SQL + f" select a, b from met where {INFIX}")
+def neighbor_pairs_infix_compat(spark, sf_dir):
+    b = barcoded(spark, sf_dir)
+    return similar_pairs(b, b, "infix", "compat").select("a", "b")
+
+
+@query(INFIX_SQL + " select a, b from infix")
+def neighbor_pairs_infix(spark, sf_dir):
+    b = barcoded(spark, sf_dir)
+    return similar_pairs(b, b, "infix").select("a", "b")
+
+
+# -- neighbour counts and histograms
+
+COUNTS_SQL = """, n as (select a, count(distinct id) as n from full_ join bc on bc.barcode = full_.b group by 1),
+c as materialized (select record_index, id, barcode, coalesce(n, 0) as neighbors from bc left join n on n.a = bc.barcode),
+h as materialized (select neighbors, count(*) as barcodes from c group by 1)"""
+DENSE_SQL = COMPLETE_SQL + COUNTS_SQL + """,
+dense as materialized (select b as bucket, coalesce(sum(barcodes), 0)::bigint as barcodes
+  from range(50) r(b) left join h on least(h.neighbors, 49) = r.b group by 1)"""
+
+
+@query(COMPLETE_SQL + COUNTS_SQL + " select record_index, id, barcode, neighbors from c")
+def neighbor_counts(spark, sf_dir):
+    return neighbors.neighbor_counts(barcoded(spark, sf_dir))
+
+
+@query(COMPLETE_SQL + COUNTS_SQL + " select neighbors, barcodes from h")
+def neighbor_histogram(spark, sf_dir):
+    return neighbors.histogram(neighbors.neighbor_counts(barcoded(spark, sf_dir)))
+
+
+@query((COMPLETE_SQL + COUNTS_SQL).replace("full_", "compat_").replace("range(28)", "range(27)").replace("range(4)", "range(3)") + " select neighbors, barcodes from h")
+def neighbor_histogram_compat(spark, sf_dir):
+    return neighbors.histogram(neighbors.neighbor_counts(barcoded(spark, sf_dir), recall="compat"))
+
+
+@query(COMPLETE_SQL + """, i as (select a, id, min(cost) as cost from full_ join bc on bc.barcode = full_.b group by 1, 2)
+select a as barcode, count(*) filter (cost = 0) as cost0, count(*) filter (cost = 1) as cost1,
+  count(*) filter (cost = 2) as cost2, count(*) filter (cost = 3) as cost3 from i group by 1""")
+def neighbor_cost_profile(spark, sf_dir):
+    return neighbors.cost_profile(barcoded(spark, sf_dir))
+
+
+@query(DENSE_SQL + " select bucket, barcodes from dense")
+def dense_histogram(spark, sf_dir):
+    return neighbors.dense_histogram(neighbors.neighbor_counts(barcoded(spark, sf_dir)))
+
+
+@query(DENSE_SQL + " select string_agg(barcodes::varchar, ',' order by bucket) as value from dense")
+def dense_histogram_line(spark, sf_dir):
+    return neighbors.as_line(neighbors.dense_histogram(neighbors.neighbor_counts(barcoded(spark, sf_dir))))
+
+
+@query(DENSE_SQL + """ select bucket, round(barcodes / sum(barcodes) over () * 100, 6) as pct,
+  round(barcodes / (bucket + 1) / sum(barcodes / (bucket + 1)) over () * 100, 6) as weighted_pct,
+  round(coalesce(case when bucket < 49 then barcodes / (bucket + 1) end
+    / sum(case when bucket < 49 then barcodes / (bucket + 1) end) over () * 100, 0), 6) as weighted_pct_but_last from dense""")
+def histogram_pct(spark, sf_dir):
+    p = neighbors.percentages(neighbors.dense_histogram(neighbors.neighbor_counts(barcoded(spark, sf_dir))))
+    return p.select("bucket", *[F.round(c, 6).alias(c) for c in ("pct", "weighted_pct", "weighted_pct_but_last")])
+
+
+# -- new or inherited
+
+
+@query(""" select record_index, id, barcode, count(*) over (partition by barcode) as copies,
+  count(*) over (partition by barcode) = 1 as maybe_new from bc""")
+def initial_singletons(spark, sf_dir):
+    return lineage.exact_copies(barcoded(spark, sf_dir)).select("record_index", "id", "barcode", "copies", "maybe_new")
+
+
+@query(INFIX_SQL + """, s as (select *, count(*) over (partition by barcode) as n from bc)
+select s.record_index, s.id, s.barcode, exists (select 1 from infix join bc o on o.barcode = infix.b
+  where infix.a = s.barcode and o.id <> s.id) as is_inherited from s where n = 1""")
+def new_or_inherited(spark, sf_dir):
+    return lineage.new_or_inherited(barcoded(spark, sf_dir))
+
+
+CROSS_SQL = INFIX_SQL + """, m as materialized (select x.record_index, x.id, x.barcode, (select count(distinct o.id) from infix
+  join bc o on o.barcode = infix.b where infix.a = x.barcode and o.record_index % 2 = 1) as matches from bc x where record_index % 2 = 0)"""
+
+
+@query(CROSS_SQL + " select *, matches = 0 as unmatched, matches = 1 as single_match from m")
+def cross_sample_new(spark, sf_dir):
+    return lineage.cross_sample(*samples(spark, sf_dir))
+
+
+@query(DENSE_SQL + f""", infix as (select a, b from met where {INFIX}),
+m as (select x.id, (select count(*) from infix join bc o on o.barcode = infix.b where infix.a = x.barcode
+  and o.record_index % 2 = 1) as matches from bc x where record_index % 2 = 0)
+select bucket, case when bucket = 1 then (select count(*) from m where matches = 0) else barcodes end as barcodes from dense""")
+def patched_histogram(spark, sf_dir):
+    dense = neighbors.dense_histogram(neighbors.neighbor_counts(barcoded(spark, sf_dir)))
+    n = lineage.cross_sample(*samples(spark, sf_dir)).agg(F.count_if("unmatched").alias("__n"))
+    return neighbors.patched(dense.crossJoin(n), 1, F.col("__n")).drop("__n")  # one row
+
+
+# -- the similarity graph
+
+EDGES_SQL = INFIX_SQL + """, e as materialized (select distinct least(a, b) as src, greatest(a, b) as dst from infix where a <> b)"""
+COMPONENTS_SQL = EDGES_SQL.replace("\nwith ", "\nwith recursive ") + """,
+both_ as (select src as x, dst as y from e union all select dst, src from e),
+r(x, y) as (select b, b from d union select r.x, both_.y from r join both_ on r.y = both_.x),
+comp as materialized (select x as barcode, min(y) as component from r group by 1)"""
+STATS_SQL = COMPONENTS_SQL + """, n as (select component, count(*) as nodes from comp group by 1),
+k as (select component, count(*) as edges from e join comp on e.src = comp.barcode group by 1),
+stats as materialized (select component, nodes, coalesce(edges, 0) as edges, coalesce(edges, 0) * 2 = nodes * (nodes - 1) as is_clique
+  from n left join k using (component))"""
+
+
+@query(EDGES_SQL + " select src, dst from e")
+def graph_edges(spark, sf_dir):
+    return graph.edges(barcoded(spark, sf_dir))
+
+
+@query(EDGES_SQL + " select src, dst from e")
+def graph_union(spark, sf_dir):
+    """The union of what two disjoint parts of the barcodes find against all of them."""
+    b = barcoded(spark, sf_dir)
+    halves = [similar_pairs(h, b, "infix").filter("a <> b") for h in samples(spark, sf_dir)]
+    return graph.union(*[h.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")) for h in halves])
+
+
+@query(" select barcode, arg_max(id, record_index) as id from bc group by 1")
+def graph_vertices(spark, sf_dir):
+    return graph.vertices(barcoded(spark, sf_dir))
+
+
+def _graph(spark, sf_dir):
+    b = barcoded(spark, sf_dir)
+    e = stored(graph.edges(b), "edges")
+    return stored(graph.components(graph.vertices(b), e), "members"), e
+
+
+@query()
+def graph_components(spark, sf_dir):
+    return _graph(spark, sf_dir)[0]
+
+
+@query()
+def component_stats(spark, sf_dir):
+    return graph.component_stats(*_graph(spark, sf_dir))
+
+
+@query()
+def component_sizes(spark, sf_dir):
+    return graph.size_histogram(graph.component_stats(*_graph(spark, sf_dir)))
+
+
+def _recursive(name: str, sql: str) -> None:
+    ORACLES[name] = "with recursive" + (READS_SQL + sql).strip().removeprefix("with")
+
+
+_recursive("graph_components", COMPONENTS_SQL + " select barcode, component from comp")
+_recursive("component_stats", STATS_SQL + " select component, nodes, edges, is_clique from stats")
+_recursive("component_sizes", STATS_SQL + " select is_clique, nodes, count(*) as components from stats group by 1, 2")
+
+
+@query()
+def clique_numbers(spark, sf_dir):
+    return graph.clique_numbers(*_graph(spark, sf_dir))
+
+
+# -- fuzzy search
+
+LOCATE_SQL = f""", s as (select record_index, seq, unnest(range(length(seq))) as start from reads),
+l as (select *, unnest(range({len(WORD) - WORD_ERRORS}, {len(WORD) + WORD_ERRORS + 1})) as n from s),
+m as (select record_index, start, start + n as stop, levenshtein(seq[start + 1 : start + n], '{WORD}') as cost from l
+  where start + n <= length(seq)),
+best as (select record_index, arg_min({{'start': start, 'stop': stop, 'cost': cost}}, cost * 1e12 + start * 1e4 - stop + start) as b
+  from m where cost <= {WORD_ERRORS} group by 1)"""
+
+
+@query(LOCATE_SQL + " select record_index, b.start::int as sine_start, b.stop::int as sine_end, b.cost::int as cost from best")
+def fuzzy_locate_word(spark, sf_dir):
+    return sine.locate(reads(spark, sf_dir), WORD, most=WORD_ERRORS).drop("id", "seq")
+
+
+@query(LOCATE_SQL + " select record_index from best")
+def fuzzy_candidates_fwd(spark, sf_dir):
+    return sine.candidates(reads(spark, sf_dir), WORD, most=WORD_ERRORS).select("record_index")
+
+
+@query(LOCATE_SQL.replace("from reads)", f"from (select record_index, {REVCOMP_SQL.format('seq')} as seq from reads))") + " select record_index from best")
+def fuzzy_candidates_rc(spark, sf_dir):
+    return sine.candidates(reads(spark, sf_dir), WORD, most=WORD_ERRORS, direction="rc").select("record_index")
+
+
+@query(LOCATE_SQL + """ select record_index, seq[b.start - 35 : b.start] as barcode from best join reads using (record_index)
+where b.start >= 36""")
+def barcode_extract(spark, sf_dir):
+    return sine.barcodes(sine.locate(reads(spark, sf_dir), WORD, most=WORD_ERRORS)).select("record_index", "barcode")
+
+
+@query(LOCATE_SQL + " select record_index, seq[b.start + 1 : b.stop] as sine from best join reads using (record_index)")
+def sine_bodies(spark, sf_dir):
+    return sine.bodies(sine.locate(reads(spark, sf_dir), WORD, most=WORD_ERRORS)).select("record_index", "sine")
+
+
+@query()
+def locate_element(spark, sf_dir):
+    """The precise search with its own constants, on both strands."""
+    r, e = reads(spark, sf_dir), element(spark, sf_dir)
+    found = [sine.locate(r, e, strand=s).drop("seq").withColumn("strand", F.lit(s)) for s in ("forward", "rc")]
+    return found[0].unionByName(found[1])
+
+
+@query()
+def merge_pairs(spark, sf_dir):
+    """Mates of READ bases that overlap by OVERLAP, made from every read long enough."""
+    second = READ - OVERLAP
+    r = reads(spark, sf_dir).filter(F.char_length("seq") >= second + READ)
+    r1 = r.select("record_index", "id", F.left("seq", F.lit(READ)).alias("seq"))
+    r2 = r.select("record_index", "id", revcomp(cut(F.col("seq"), second, second + READ)).alias("seq"))
+    return merge.merge_pairs(merge.pair_up(r1, r2))
+
+
+@query()
+def merge_counts(spark, sf_dir):
+    return merge.merge_counts(merge_pairs(spark, sf_dir))
+
+
+@query()
+def consensus_distances(spark, sf_dir):
+    """Every read is a centre."""
+    centers = reads(spark, sf_dir).select("record_index", F.col("seq").alias("center"))
+    return sine.distance_histogram(sine.consensus_distances(centers, element(spark, sf_dir)))
+
+
+# -- order, chunks, samples, files
+
+
+@query(" select record_index, id from bc order by md5(id), id limit 10000")
+def sample_sines(spark, sf_dir):
+    return sine.sample(barcoded(spark, sf_dir).select("record_index", "id"))
+
+
+@query(" select record_index as doc, row_number() over (order by record_index) - 1 as record_index, (row_number() over (order by record_index) - 1) // 25 as part from reads")
+def chunk_assign(spark, sf_dir):
+    r = reads(spark, sf_dir).select(F.col("record_index").alias("doc"))
+    return chunk.chunked(chunk.with_record_index(r, "doc"), 25)
+
+
+@query(" select id, seq, repeat('?', length(seq)) as qual from reads where seq <> ''")
+def fastq_roundtrip(spark, sf_dir):
+    """Reads written as FASTQ and read back."""
+    r = reads(spark, sf_dir).filter("seq <> ''").withColumn("qual", fake_quality(F.col("seq")))
+    path = fastx.write(r, fastx.scratch(spark, "reads"), "fastq")
+    return fastx.read(spark, path, "fastq").select("id", "seq", "qual")
+
+
+@query(" select id, seq from reads where seq <> ''")
+def fasta_roundtrip(spark, sf_dir):
+    r = reads(spark, sf_dir).filter("seq <> ''")
+    path = fastx.write(r, fastx.scratch(spark, "reads"), "fasta", compression="bzip2")
+    return fastx.read(spark, path, "fasta").select("id", "seq")
