@@ -48,7 +48,8 @@ def rebalance(slot_map: DataFrame, weights: DataFrame, shards: int) -> DataFrame
     w = slot_map.join(weights, "virtual_slot", "left").fillna(0, ["bytes", "rows"])
     by_shard = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
     mean = F.sum("bytes").over(Window.partitionBy()) / shards
-    held = w.withColumn("stays", (F.sum("bytes").over(by_shard) <= mean) & (F.col("shard") < shards))
+    fits = (F.sum("bytes").over(by_shard) <= mean) | (F.col("bytes") == 0)  # moving an empty slot helps nobody
+    held = w.withColumn("stays", fits & (F.col("shard") < shards))
     kept = held.filter("stays").groupBy("shard").agg(F.sum("bytes").alias("load"))
     loads = (
         held.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
