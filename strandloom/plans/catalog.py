@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.functions.fuzzy import fuzzy_find
 from strandloom.functions.sequence import (
     BARCODE, but_suffix, cut, dna, fake_quality, first_token, parts, revcomp, suffix, windows,
 )
@@ -63,9 +62,9 @@ def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def element(spark: SparkSession, sf_dir: str) -> str:
-    """The single-record reference: the first benchmark passage as bases."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(1)
-    return items.select(dna(F.col("text")).alias("s")).first().s
+    """The single-record reference: the first document that is long enough, as bases."""
+    long = reads(spark, sf_dir).filter(F.char_length("seq") >= sine.HEAD)
+    return long.select(F.min_by("seq", "record_index").alias("s")).first().s or ""
 
 
 # -- projections
@@ -318,7 +317,11 @@ def clique_numbers(spark, sf_dir):
 
 # -- fuzzy search
 
-LOCATE_SQL = f""", s as (select record_index, seq, unnest(range(length(seq))) as start from reads),
+#: A third of the word is whole where at most two edits touch it; only starts near such a third are tried.
+THIRDS = ", ".join(f"({i}, '{WORD[i : i + 4]}')" for i in range(0, len(WORD), 4))
+LOCATE_SQL = f""", spot as (select record_index, seq, unnest(range(length(seq) - 3)) as p from reads),
+near as (select record_index, seq, p - o as f from spot join (values {THIRDS}) t(o, third) on seq[p + 1 : p + 4] = third),
+s as (select distinct record_index, seq, f + d as start from near, (values (-2), (-1), (0), (1), (2)) x(d) where f + d >= 0),
 l as (select *, unnest(range({len(WORD) - WORD_ERRORS}, {len(WORD) + WORD_ERRORS + 1})) as n from s),
 m as (select record_index, start, start + n as stop, levenshtein(seq[start + 1 : start + n], '{WORD}') as cost from l
   where start + n <= length(seq)),
@@ -336,7 +339,7 @@ def fuzzy_candidates_fwd(spark, sf_dir):
     return sine.candidates(reads(spark, sf_dir), WORD, most=WORD_ERRORS).select("record_index")
 
 
-@query(LOCATE_SQL.replace("from reads)", f"from (select record_index, {REVCOMP_SQL.format('seq')} as seq from reads))") + " select record_index from best")
+@query(LOCATE_SQL.replace("from reads),", f"from (select record_index, {REVCOMP_SQL.format('seq')} as seq from reads)),") + " select record_index from best")
 def fuzzy_candidates_rc(spark, sf_dir):
     return sine.candidates(reads(spark, sf_dir), WORD, most=WORD_ERRORS, direction="rc").select("record_index")
 

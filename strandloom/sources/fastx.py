@@ -70,9 +70,8 @@ def kind_of(first: bytes) -> str:
 
 def fastq_start(lines: list[bytes]) -> bool:
     """Whether these four lines are a record; a quality that begins with @ doesn't fool it."""
-    return (
-        len(lines) == 4 and lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1]) == len(lines[3].rstrip(b"\r\n")) + len(lines[1]) - len(lines[1].rstrip(b"\r\n"))
-    )
+    head, seq, plus, qual = (x.rstrip(b"\r\n") for x in lines)
+    return head[:1] == b"@" and plus[:1] == b"+" and len(seq) == len(qual)
 
 
 def fasta_records(lines: Iterator[tuple[int, bytes]], wrapped: bool) -> Iterator[tuple[int, str, str, None]]:
@@ -150,18 +149,20 @@ class FastxReader(DataSourceReader):
         at = piece.start - 1 + len(buffered.readline()) if piece.start else 0  # to the next line's beginning
         ahead: list[bytes] = []
         if piece.start:  # find where a record begins
+            size, begins = (4, fastq_start) if kind == "fastq" else (1, lambda few: few[0][:1] == b">")
             while True:
-                size = 4 if kind == "fastq" else 1
                 while len(ahead) < size and (line := buffered.readline()):
                     ahead.append(line)
-                if len(ahead) < size or (fastq_start(ahead) if kind == "fastq" else ahead[0][:1] == b">"):
+                if len(ahead) < size or at >= piece.end:
+                    return
+                if begins(ahead):
                     break
                 at += len(ahead.pop(0))
         number = 0
         while True:
             line = ahead.pop(0) if ahead else buffered.readline()
-            begins = number % 4 == 0 if kind == "fastq" else line[:1] == b">"
-            if not line or (begins and at >= piece.end):
+            new = number % 4 == 0 if kind == "fastq" else line[:1] == b">"
+            if not line or (new and at >= piece.end):
                 return
             yield at, line
             at += len(line)
