@@ -77,23 +77,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """The merge table of one vocabulary in a DuckDB of one thread, as large as the vocabulary."""
+    """The merge table of one vocabulary; its DuckDB, of one thread, lives from first use to close()."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.words: dict[str, bytes] = {}  # ids of texts and pieces seen, as little-endian unsigned 32-bit integers
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         whole = [
             (self.ranks[t[:i]], self.ranks[t[i:]], r)
             for t, r in self.ranks.items()
             for i in range(1, len(t))
             if t[:i] in self.ranks and t[i:] in self.ranks
         ]
-        a, b, rank = (pa.array(x, pa.int32()) for x in zip(*whole, strict=True))
-        self.put("merges", a=a, b=b, rank=rank)
-        self.put("vocab", id=pa.array(self.ranks.values(), pa.int32()), hex=[t.hex() for t in self.ranks])
+        self.merges = np.array(whole, np.int32).reshape(-1, 3).T.copy()
+        self.words: dict[str, bytes] = {}  # ids of pieces seen, as little-endian unsigned 32-bit integers
+        self._db: duckdb.DuckDBPyConnection | None = None
+
+    @property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        if self._db is None:
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+            self.put("merges", a=self.merges[0], b=self.merges[1], rank=self.merges[2])
+            self.put("vocab", id=pa.array(self.ranks.values(), pa.int32()), hex=[t.hex() for t in self.ranks])
+        return self._db
+
+    def close(self) -> None:
+        """Give back what a task needed; a worker may go on to other work."""
+        self.words.clear()
+        if self._db is not None:
+            self._db.close()
+            self._db = None
 
     def put(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -198,6 +211,11 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+def close_codecs() -> None:
+    for used in _CODECS.values():
+        used.close()
+
+
 def slices(values: list, size, most: int) -> Iterator[list]:
     """Runs of values whose sizes sum to about `most` at the most; a larger value is a run of its own."""
     run, total = [], 0
@@ -218,15 +236,21 @@ def _mapped(df: DataFrame, steps: list[tuple], drop: tuple[str, ...] = ()) -> Da
     """
     names = [*[c for c in df.columns if c not in drop], *[name for _, name, *_ in steps]]
 
+    def made(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for column, name, of, most in steps:
+                parts = slices(columns[column].to_pylist(), lambda v: len(v or ""), most)
+                columns[name] = pa.array([x for part in parts for x in of(part)], pa.binary())
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-                for column, name, of, most in steps:
-                    parts = slices(columns[column].to_pylist(), lambda v: len(v or ""), most)
-                    columns[name] = pa.array([x for part in parts for x in of(part)], pa.binary())
-                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+        try:
+            for whole in batches:
+                yield from made(whole)
+        finally:
+            close_codecs()
 
     fields = {f.name: f for f in df.schema.fields} | {n: T.StructField(n, T.BinaryType()) for _, n, *_ in steps}
     return df.mapInArrow(run, T.StructType([fields[n] for n in names]))
