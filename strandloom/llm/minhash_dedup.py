@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = _signature(plan)
-        for batch in batches:
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             n, h1, h2, bands, sketch = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(words_of(text), plan.width)

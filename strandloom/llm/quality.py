@@ -155,8 +155,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_of: DataFrame | None = None
     net = train([c for c, _ in sample], [q for _, q in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("__text").to_pylist()]
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             found, run_, total = [], [], 0
             for t in texts:
                 run_.append(t)
@@ -167,14 +167,9 @@ def score(docs: DataFrame, labels: DataFrame, sample_of: DataFrame | None = None
             if run_:
                 found.append(net.scores(run_))
             scores = np.concatenate([np.zeros(0), *found])
-            kept = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in kept], pa.array(scores, pa.float64())],
-                [*[batch.schema.names[i] for i in kept], "__score"],
-            )
-
-    wide = docs.withColumn("__text", F.col("text"))
-    return wide.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "__score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 def op9_byte_cnn(spark, sf_dir: str) -> DataFrame:
