@@ -234,7 +234,8 @@ def _mapped(df: DataFrame, steps: list[tuple], drop: tuple[str, ...] = ()) -> Da
 
     All steps of a batch run in one Python worker.
     """
-    names = [*[c for c in df.columns if c not in drop], *[name for _, name, *_ in steps]]
+    made_here = [name for _, name, *_ in steps]  # a column of such a name is replaced
+    names = [*[c for c in df.columns if c not in drop and c not in made_here], *made_here]
 
     def made(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, ROWS):
