@@ -8,19 +8,33 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequence import BARCODE, BARCODE_ERRORS, PART, infix_within, parts, windows
 
 
+def bad_barcodes(records: DataFrame) -> DataFrame:
+    """(barcode, records): what similar_pairs() leaves out, counted."""
+    bad = records.filter(~F.coalesce(F.col("barcode").rlike(f"^[ATCGN]{{{BARCODE}}}$"), F.lit(False)))
+    return bad.groupBy("barcode").agg(F.count("*").alias("records"))
+
+
 def similar_pairs(
-    left: DataFrame, right: DataFrame, match: str = "global", recall: str = "complete", errors: int = BARCODE_ERRORS
+    left: DataFrame,
+    right: DataFrame,
+    match: str = "global",
+    recall: str = "complete",
+    errors: int = BARCODE_ERRORS,
+    on_bad_base: str = "drop",
 ) -> DataFrame:
     """(a, b, cost): pairs of distinct barcodes, a of left and b of right, within `errors` edits; equal ones included.
 
     Both inputs have a column barcode of BARCODE characters; nulls, other lengths and letters but A, T, C, G and N
-    meet nothing. match "global" compares whole strings; "infix" asks whether a is near a substring of b, and has no
+    meet nothing; with on_bad_base "fail" the first such barcode that isn't null ends the job. match "global" compares whole strings; "infix" asks whether a is near a substring of b, and has no
     cost. recall "complete" finds all pairs; "compat" only those where one of a's first three parts occurs in b at an
     offset but the last.
     """
-    if match not in ("global", "infix") or recall not in ("complete", "compat"):
-        raise ValueError(f"unknown mode: {match}, {recall}")
+    if match not in ("global", "infix") or recall not in ("complete", "compat") or on_bad_base not in ("drop", "fail"):
+        raise ValueError(f"unknown mode: {match}, {recall}, {on_bad_base}")
     fit = F.col("barcode").rlike(f"^[ATCGN]{{{BARCODE}}}$")
+    if on_bad_base == "fail":
+        wrong = F.raise_error(F.concat(F.lit("not a barcode: "), F.col("barcode"))).cast("boolean")
+        fit = F.when(fit, True).when(F.col("barcode").isNull(), False).otherwise(wrong)
     a = left.filter(fit).select(F.col("barcode").alias("a")).distinct()
     b = right.filter(fit).select(F.col("barcode").alias("b")).distinct()
     whole = recall == "complete"

@@ -30,6 +30,17 @@ def locate(reads: DataFrame, element: str, head: int = HEAD, most: int = PRECISE
     )
 
 
+def locate_each(reads: DataFrame, elements: dict[str, str], head: int = HEAD, most: int = PRECISE) -> DataFrame:
+    """locate() for several elements, given by name, in one pass: a row for each element that a read holds."""
+    given = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v[:head]).alias("head")) for k, v in elements.items()])
+    asked = reads.withColumn("__e", F.explode(given))
+    found = asked.withColumn("__m", fuzzy_find(F.col("seq"), F.col("__e.head"), most)).filter("__m.cost is not null")
+    return found.select(
+        *reads.columns, F.col("__e.name").alias("element"), F.col("__m.start").alias("sine_start"),
+        F.col("__m.end").alias("sine_end"), F.col("__m.cost").alias("cost"),
+    )
+
+
 def barcodes(located: DataFrame, size: int = BARCODE) -> DataFrame:
     """The bases before each element; reads that have too few before it go."""
     start = F.col("sine_start")

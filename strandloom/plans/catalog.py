@@ -355,6 +355,24 @@ def sine_bodies(spark, sf_dir):
     return sine.bodies(sine.locate(reads(spark, sf_dir), WORD, most=WORD_ERRORS)).select("record_index", "sine")
 
 
+@query(
+    LOCATE_SQL.replace("best as", "best1 as")
+    + f""", one as (select record_index, 'word' as element, b.start::int as sine_start, b.stop::int as sine_end, b.cost::int as cost
+  from best1), hit as (select record_index, instr(seq, '{WORD[::-1]}') as p from reads)
+select * from one union all select record_index, 'reversed', (p - 1)::int, (p - 1 + {len(WORD)})::int, 0 from hit where p > 0"""
+)
+def locate_each(spark, sf_dir):
+    """The word with errors and, where it occurs without any, its mirror image: several elements at once."""
+    found = sine.locate_each(reads(spark, sf_dir), {"word": WORD, "reversed": WORD[::-1]}, most=WORD_ERRORS)
+    return found.filter("element = 'word' or cost = 0").drop("id", "seq")
+
+
+@query(DENSE_SQL.replace("least(h.neighbors, 49)", "least(greatest(h.neighbors - 1, 0), 49)") + " select bucket, barcodes from dense")
+def dense_histogram_of_others(spark, sf_dir):
+    """The dense histogram by the number of matches less one."""
+    return neighbors.dense_histogram(neighbors.neighbor_counts(barcoded(spark, sf_dir)), offset=1)
+
+
 @query()
 def locate_element(spark, sf_dir):
     """The precise search with its own constants, on both strands."""

@@ -73,6 +73,8 @@ def test_candidates_locate_and_cut(spark):
     found = sine.locate(r, ELEMENT)
     assert {(x.id, x.sine_start, x.cost) for x in found.collect()} == {("at36", 36, 0), ("at35", 35, 0), ("worn", 50, 10)}
     assert ids(sine.locate(r, ELEMENT, strand="rc")) == {"back"}
+    both = sine.locate_each(r, {"e": ELEMENT, "f": BASES[200:267]}).select("id", "element").collect()
+    assert {tuple(x) for x in both} == {("at36", "e"), ("at35", "e"), ("worn", "e"), ("none", "f")}
     cut = {x.id: x.barcode for x in sine.barcodes(found).collect()}
     assert cut == {"at36": BASES[:36], "worn": BASES[14:50]}
     assert {x.sine for x in sine.bodies(found).filter("id = 'at36'").collect()} == {ELEMENT[:67]}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import graph, lineage, neighbors
 from strandloom.operators.components import connect
-from strandloom.operators.simjoin import similar_pairs
+from strandloom.operators.simjoin import bad_barcodes, similar_pairs
 from tests.test_fuzzy import brute, edits
 
 ONE = "TCAGGGACCTTATTGCGAGAGTTGGAAGCAGTGTTA"
@@ -80,6 +80,9 @@ def test_odd_barcodes_meet_nothing(spark):
     assert pairs(similar_pairs(r, r)) == {("N" * 36, "N" * 36)}
     with pytest.raises(ValueError):
         similar_pairs(r, r, "fuzzy")
+    assert {b.barcode for b in bad_barcodes(r).collect()} == {"acgt" * 9, None, "ACG", "R" + "A" * 35}
+    with pytest.raises(Exception, match="not a barcode"):
+        similar_pairs(r, r, on_bad_base="fail").collect()
 
 
 def test_counts_are_of_ids_and_rows_are_kept(spark):
