@@ -141,6 +141,7 @@ def test_graph_statistics(spark):
     assert stats == {"a": (3, 3, True), "d": (3, 2, False), "g": (1, 0, True)}
     assert [(r.component, r.clique_number) for r in graph.clique_numbers(members, links).collect()] == [("d", 2)]
     assert graph.clique_numbers(members, links, nodes=23).count() == 0
+    assert [r.clique_number for r in graph.clique_numbers(members, links, at_most=2).collect()] == [None]
     sizes = {(r.is_clique, r.nodes): r.components for r in graph.size_histogram(graph.component_stats(members, links)).collect()}
     assert sizes == {(True, 3): 1, (False, 3): 1, (True, 1): 1}
     assert graph.union(links, links).count() == 5
