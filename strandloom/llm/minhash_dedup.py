@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.components import connect
+from strandloom.operators.components import connect
 from strandloom.llm.shingles import mixed, shingle_set, words_of
 from strandloom.session import stored
 
@@ -265,3 +265,17 @@ def op2_odd_sketches(spark, sf_dir: str) -> DataFrame:
     return near_groups(docs, Plan(width=3, percent=85, rows=6)).withColumn(
         "kept", F.col("doc_id") == F.col("component_id")
     )
+
+
+OP2_SQL = r"""
+with recursive w as (select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[i : i + 2], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+r(x, y) as (select doc_id, doc_id from documents union select r.x, l.b from r join l on r.y = l.a),
+c as (select x as doc_id, min(y) as component_id from r group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from strandloom.llm.bpe import op10_byte_bpe
 from strandloom.llm.decontamination import OP8_SQL, op8_contained_items
 from strandloom.llm.line_dedup import OP4_SQL, op4_line_dedup
-from strandloom.llm.minhash_dedup import op2_odd_sketches
+from strandloom.llm.minhash_dedup import OP2_SQL, op2_odd_sketches
 from strandloom.llm.pii import op1_bilstm_crf
 from strandloom.llm.posting_lists import op3_posting_lists
 from strandloom.llm.quality import op9_byte_cnn
@@ -25,4 +25,10 @@ QUERIES = {
     "op9_byte_cnn": op9_byte_cnn,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES = {"op4_line_dedup": OP4_SQL, "op5_url_rules": OP5_SQL, "op6_secret_scan": OP6_SQL, "op8_contained_items": OP8_SQL}
+ORACLES = {
+    "op2_odd_sketches": OP2_SQL,
+    "op4_line_dedup": OP4_SQL,
+    "op5_url_rules": OP5_SQL,
+    "op6_secret_scan": OP6_SQL,
+    "op8_contained_items": OP8_SQL,
+}
