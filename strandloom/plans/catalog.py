@@ -46,7 +46,10 @@ def query(sql: str | None = None):
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("text is not null")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a file of one row group is one task; larger inputs stay where they are
+        docs = docs.repartition(cores)
     return docs.select(F.col("doc_id").alias("record_index"), F.col("doc_id").cast("string").alias("id"), dna(F.col("text")).alias("seq"))
 
 
