@@ -1,6 +1,6 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids come from a bounded sample by balanced splits. Every vector is indexed: in the list of its nearest centroid
+Centroids come from a bounded sample of the distinct vectors by balanced splits. Every vector is indexed: in the list of its nearest centroid
 and, where it lies near a boundary, in those of others that are nearly as near. A query searches the centroids through
 a graph held in memory, and scans the lists whose centroid is within a ratio of the nearest one's distance.
 """
@@ -22,7 +22,7 @@ from strandloom.session import stored
 
 @dataclass(frozen=True)
 class Plan:
-    #: Vectors the centroids are fitted on, those of least hash; and the most centroids, which bounds what is broadcast.
+    #: Distinct vectors the centroids are fitted on, those of least hash; and the most centroids, which bounds what is broadcast.
     sample: int = 50_000
     most_lists: int = 16_384
     #: Vectors a list should hold.
@@ -88,7 +88,12 @@ class Centroids:
 
 
 def balanced_centroids(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
-    """Split the sample in two equal halves along its widest direction, again and again; then a few rounds of k-means."""
+    """Split the sample in two equal halves along its widest direction, again and again; then a few rounds of k-means.
+
+    Equal vectors count once, and centroids that end without vectors or where another one is are left out: many in one
+    place would fill up a query's share of lists with lists that hold nothing.
+    """
+    x = np.unique(x, axis=0)
     parts = [np.arange(len(x))]
     while len(parts) < lists:
         parts.sort(key=len)
@@ -111,7 +116,7 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
-    return c
+    return np.unique(c[n > 0], axis=0)
 
 
 def lifted(x: np.ndarray, top: float) -> np.ndarray:
@@ -153,10 +158,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | No
     if not size.n:
         return spark.createDataFrame([], out)
     top = math.sqrt(size.top)
-    picked = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(plan.sample).select("v")  # the bounded sample
+    picked = points.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(plan.sample)  # the bounded sample
     sample = lifted(np.array([r.v for r in picked.toLocalIterator()]), top)
     lists = max(1, min(plan.most_lists, size.n // plan.list_size, len(sample)))
-    shared = spark.sparkContext.broadcast(Centroids(balanced_centroids(sample, lists, plan.seed), plan.degree))
+    centroids = balanced_centroids(sample, lists, plan.seed)
+    lists = len(centroids)
+    shared = spark.sparkContext.broadcast(Centroids(centroids, plan.degree))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = shared.value

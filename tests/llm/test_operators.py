@@ -261,6 +261,24 @@ def test_nearest_of_few(spark):
     assert posting_lists.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_nearest_beside_a_large_group_of_equal_vectors(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0]
+    q = x[0] + rng.standard_normal((40, 8)) * 0.25  # near the group, not in it
+    frame_of = lambda m, first: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m, first)], "vec_id long, embedding array<double>")
+    points = posting_lists.balanced_centroids(x, 375, 5)
+    assert len(np.unique(points, axis=0)) == len(points)
+    got = posting_lists.nearest(frame_of(x, 0), frame_of(q, 10000), 20, posting_lists.Plan(list_size=8)).toPandas()
+    hits = 0
+    for i, one in enumerate(q):
+        s = np.einsum("vd,d->v", x, one)
+        edge = np.sort(s)[-20] - 1e-9  # equal vectors are as good as each other
+        hits += (got[got["query_id"] == 10000 + i]["score"] >= edge).sum()
+    assert hits >= 0.97 * 20 * 40
+
+
 # -- personal data
 
 PATTERNS = [
