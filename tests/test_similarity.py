@@ -147,6 +147,26 @@ def test_graph_statistics(spark):
     assert graph.union(links, links).count() == 5
 
 
+def test_clique_number_of_a_large_component(spark):
+    rng = random.Random(7)
+    # a hub of 600 leaves, one of them in a clique of six, and random links among some others
+    found = {("hub", f"v{i:03}") for i in range(600)}
+    found |= {(f"v{i:03}", f"v{j:03}") for i in range(6) for j in range(i)}
+    found |= {tuple(sorted(rng.sample([f"v{i:03}" for i in range(100, 160)], 2))) for _ in range(700)}
+    pairs_of = {tuple(sorted(e)) for e in found}
+    near = {}
+    for a, b in pairs_of:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    nodes = spark.createDataFrame([(v, v) for v in near], "barcode string, id string")
+    links = spark.createDataFrame(sorted(pairs_of), "src string, dst string")
+    members = graph.components(nodes, links)
+    want = [(601, graph.largest_clique(near))]
+    assert want[0][1] >= 7
+    assert [(r.nodes, r.clique_number) for r in graph.clique_numbers(members, links).collect()] == want
+    assert [(r.nodes, r.clique_number) for r in graph.clique_numbers(members, links, whole=1).collect()] == want
+
+
 def test_largest_clique():
     near = {v: set("abcd") - {v} for v in "abcd"} | {"e": {"a"}}
     near["a"] = near["a"] | {"e"}
