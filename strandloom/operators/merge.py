@@ -23,7 +23,7 @@ def merge_pairs(pairs: DataFrame, padding: int = 0) -> DataFrame:
     """pairs (seq, seq2) with seq spliced, qual made up, and seed_start, overlap and merged telling how.
 
     The seed is seq's end; where seq2's reverse complement holds it from s on, seq's last s + SEED bases must occur in
-    it too. If not, both reads are put end to end, with `padding` unknown bases between.
+    it too. If not, or where seq has fewer than SEED bases, both reads are put end to end, with `padding` unknown bases between.
     """
     mate = revcomp(F.col("seq2"))
     seeded = pairs.withColumn("__mate", mate).withColumn(
@@ -31,6 +31,7 @@ def merge_pairs(pairs: DataFrame, padding: int = 0) -> DataFrame:
     )
     n = F.col("__s.start") + SEED
     allowed = F.greatest(F.lit(SEED_ERRORS), F.ceil(n * OVERLAP_PERCENT / 100)).cast("int")
+    seeded = seeded.withColumn("__s", F.when(F.char_length("seq") >= SEED, F.col("__s")))  # errors alone would match less
     checked = seeded.withColumn("__o", fuzzy_find(F.col("__mate"), suffix(F.col("seq"), n), allowed))
     merged = F.col("__o.cost").isNotNull()
     apart = F.concat("seq", F.lit("N" * padding), "__mate")

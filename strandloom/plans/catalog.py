@@ -21,8 +21,8 @@ from strandloom.sources import fastx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: A word that is searched, its errors, and the reads' length and overlap.
-WORD, WORD_ERRORS, READ, OVERLAP = "ACGTTGCAATCG", 2, 150, 20
+#: A word that is searched, its errors, and the reads' length and overlaps, in turn.
+WORD, WORD_ERRORS, READ, OVERLAPS = "ACGTTGCAATCG", 2, 150, (20, 45, 0, 80, 30, 120)
 
 #: The start of every oracle: reads and barcodes as below.
 READS_SQL = r"""
@@ -384,14 +384,38 @@ def locate_element(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
+def mates(r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Consecutive pairs of reads over the whole of every sequence, with id and place as the pair's id.
+
+    Mates of READ bases overlap by each of OVERLAPS in turn; what is left at the end is cut in two halves that don't
+    overlap, so they can't be merged but by chance.
+    """
+    lengths = [2 * READ - n for n in OVERLAPS]
+    starts, total = [sum(lengths[:i]) for i in range(len(lengths))], sum(lengths)
+    n = F.char_length("seq")
+    cycles = F.sequence(F.lit(0), F.floor((n - 1) / total).cast("int"))
+    cuts = F.flatten(F.transform(cycles, lambda c: F.array(*[
+        F.struct((c * len(lengths) + i).alias("place"), (c * total + starts[i]).alias("start"), F.lit(lengths[i]).alias("n"))
+        for i in range(len(lengths))
+    ])))
+    cutted = r.filter("seq <> ''").select("record_index", "id", "seq", F.explode(F.filter(cuts, lambda p: p["start"] < n)).alias("p"))
+    pieces = cutted.select(
+        "record_index", F.concat_ws(":", "id", "p.place").alias("id"), F.col("p.n").alias("n"),
+        cut(F.col("seq"), F.col("p.start"), F.col("p.start") + F.col("p.n")).alias("piece"),
+    )
+    size = F.char_length("piece")
+    half = F.ceil(size / 2).cast("int")
+    first = F.when(size == F.col("n"), F.lit(READ)).otherwise(half)
+    second = F.when(size == F.col("n"), F.lit(READ)).otherwise(size - half)
+    r1 = pieces.select("record_index", "id", F.left("piece", first).alias("seq"))
+    r2 = pieces.select("record_index", "id", revcomp(F.right("piece", second)).alias("seq"))
+    return r1, r2
+
+
 @query()
 def merge_pairs(spark, sf_dir):
-    """Mates of READ bases that overlap by OVERLAP, made from every read long enough."""
-    second = READ - OVERLAP
-    r = reads(spark, sf_dir).filter(F.char_length("seq") >= second + READ)
-    r1 = r.select("record_index", "id", F.left("seq", F.lit(READ)).alias("seq"))
-    r2 = r.select("record_index", "id", revcomp(cut(F.col("seq"), second, second + READ)).alias("seq"))
-    return merge.merge_pairs(merge.pair_up(r1, r2))
+    """Mates of READ bases, made from the whole of every read."""
+    return merge.merge_pairs(merge.pair_up(*mates(reads(spark, sf_dir)), same_id=True))
 
 
 @query()

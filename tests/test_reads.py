@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom import cli
 from strandloom.operators import chunk, merge, sine
+from strandloom.plans import catalog
 from strandloom.sources import fastx
 from strandloom.streaming import reads as streaming
 
@@ -43,6 +44,18 @@ def test_merge(spark):
     assert (counts.pairs, counts.seeded, counts.merged) == (2, 1, 1)
 
 
+def test_registered_pairs_hold_the_whole_text(spark, tmp_path):
+    rng = random.Random(4)
+    texts = {i: "".join(rng.choice("abcd") for _ in range(n)) for i, n in enumerate([0, 3, 30, 279, 280, 281, 1505, 4000])}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, as_bases = {}, str.maketrans("abcd", "ACGT")
+    rows = catalog.QUERIES["merge_pairs"](spark, str(tmp_path)).collect()
+    for r in rows:
+        got.setdefault(r.record_index, []).append((int(r.id.split(":")[1]), r.seq))
+    assert {i: "".join(s for _, s in sorted(x)) for i, x in got.items()} == {i: t.translate(as_bases) for i, t in texts.items() if t}
+    assert {r.overlap for r in rows} == {0, 20, 30, 45, 80, 120} and {r.merged for r in rows} == {True, False}
+
+
 def test_padding_and_pairing(spark):
     got = merge.merge_pairs(pairs(spark, (BASES[:60], rc(BASES[300:360]))), padding=3).first()
     assert got.seq == BASES[:60] + "NNN" + BASES[300:360]
