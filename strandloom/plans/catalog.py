@@ -370,6 +370,12 @@ def locate_each(spark, sf_dir):
     return found.filter("element = 'word' or cost = 0").drop("id", "seq")
 
 
+@query()
+def locate_each_inexact(spark, sf_dir):
+    """locate_each with errors in both elements."""
+    return sine.locate_each(reads(spark, sf_dir), {"word": WORD, "reversed": WORD[::-1]}, most=WORD_ERRORS).drop("id", "seq")
+
+
 @query(DENSE_SQL.replace("least(h.neighbors, 49)", "least(greatest(h.neighbors - 1, 0), 49)") + " select bucket, barcodes from dense")
 def dense_histogram_of_others(spark, sf_dir):
     """The dense histogram by the number of matches less one."""

@@ -11,6 +11,7 @@ from strandloom.operators import chunk, merge, sine
 from strandloom.plans import catalog
 from strandloom.sources import fastx
 from strandloom.streaming import reads as streaming
+from tests.test_fuzzy import brute
 
 random.seed(9)
 BASES = "".join(random.choice("ACGT") for _ in range(700))
@@ -93,6 +94,17 @@ def test_candidates_locate_and_cut(spark):
     assert {x.sine for x in sine.bodies(found).filter("id = 'at36'").collect()} == {ELEMENT[:67]}
 
 
+def test_each_element_is_located_with_errors(spark, tmp_path):
+    words = {"word": catalog.WORD, "reversed": catalog.WORD[::-1]}
+    seqs = [BASES[:60] + spoil(w, *places) + BASES[90:120] for w in words.values() for places in ((), (5,), (3, 8), (1, 5, 9))]
+    rows = [(i, s.lower().translate(str.maketrans("acgt", "abcd"))) for i, s in enumerate(seqs)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["locate_each_inexact"](spark, str(tmp_path)).select("record_index", "element", "sine_start", "sine_end", "cost").collect()}
+    found = {(i, name, *brute(w, s, 2)) for i, s in enumerate(seqs) for name, w in words.items()}
+    assert got == {x for x in found if x[-1] >= 0}
+    assert {x[-1] for x in got if x[1] == "reversed"} == {0, 1, 2}
+
+
 def test_sample_and_centers(spark):
     r = sines(spark)
     assert sine.sample(r, 3).count() == 3 and sine.sample(r, 3).collect() == sine.sample(r.repartition(5), 3).collect()
