@@ -20,8 +20,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Every span, of whichever kind, holds one of these; windows without any hold no span and aren't decoded.
+#: Every span, of whichever kind, holds one of these; only windows that an unbroken run around one touches are decoded.
 TRIGGER = re.compile(r"[0-9@]+")
+RUN = re.compile(r"\S+")
 #: Windows of SIZE characters begin every STRIDE; a position's tag is that of the window whose middle part it is in.
 SIZE, STRIDE = 96, 48
 EDGE = (SIZE - STRIDE) // 2
@@ -84,6 +85,16 @@ def windows_of(text: str) -> list[int]:
     return sorted(found)
 
 
+def reached(text: str) -> list[int]:
+    """windows_of(), and those that the unbroken run of non-space characters around each trigger touches."""
+    found = set(windows_of(text))
+    for m in RUN.finditer(text):
+        if TRIGGER.search(m[0]):
+            first = max(0, (m.start() + EDGE - SIZE) // STRIDE + 1)
+            found.update(range(first, min((m.end() - 1 + EDGE) // STRIDE, (len(text) - 1) // STRIDE) + 1))
+    return sorted(found)
+
+
 def cut(padded: np.ndarray, numbers: list[int]) -> np.ndarray:
     return padded[np.array(numbers, np.int64)[:, None] * STRIDE + np.arange(SIZE)]
 
@@ -127,7 +138,7 @@ def added_spans(text: str, numbers: list[int], tags: np.ndarray, base: list[Span
 def tag_texts(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, added spans) of each text."""
     base = [base_spans(t) for t in texts]
-    numbers = [windows_of(t) for t in texts]
+    numbers = [reached(t) for t in texts]
     flat = [cut(padded_ids(t), n) for t, n in zip(texts, numbers, strict=True) if n]
     ids = np.concatenate(flat) if flat else np.zeros((0, SIZE), np.uint8)
     tags = [tagger.decode(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]

@@ -281,6 +281,18 @@ def test_nearest_beside_a_large_group_of_equal_vectors(spark):
 
 # -- personal data
 
+
+def test_an_added_span_keeps_its_far_part():
+    class Everything:  # tags every character that isn't padding or a space as an e-mail's
+        def decode(self, ids):
+            blank = pii.char_ids(" ")[0]
+            return np.where((ids != 0) & (ids != blank), 1, 0).astype(np.uint8)
+
+    word = "a" * 400 + "@" + "b" * 400  # no dotted domain: no base span
+    base, added = pii.tag_texts(Everything(), [f"mail {word} end"])[0]
+    assert base == [] and (0, 5, 5 + len(word)) in added
+
+
 PATTERNS = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
