@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +22,19 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Every span, of whichever kind, holds one of these; only windows that an unbroken run around one touches are decoded.
-TRIGGER = re.compile(r"[0-9@]+")
-RUN = re.compile(r"\S+")
-#: Windows of SIZE characters begin every STRIDE; a position's tag is that of the window whose middle part it is in.
-SIZE, STRIDE = 96, 48
-EDGE = (SIZE - STRIDE) // 2
-#: Training sees the windows of at most so many documents that hold a digit or @, those of least hash, so many of each.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 700, 5
-#: Windows that are decoded together.
-BLOCK = 1024
+#: Training sees the windows of at most so many documents that hold a digit or @, those of least hash: so many of each, of so many
+#: characters.
+SAMPLE_DOCS, SAMPLE_WINDOWS, LEARN = 700, 6, 128
+#: Labelled spans are also learnt in worn forms: fixed lists of what stands for @, for the dots, and between the digits.
+WORN = {
+    "at": [" at ", " AT ", "(at)", "[at]", " (at) ", " [at] ", " @ "],
+    "dot": [".", " dot ", " DOT ", "[.]", "(dot)", "[dot]", " . "],
+    "ip": ["[.]", " . ", "(.)", " dot ", "[dot]", ", "],
+    "card": [".", "/", "_", " - ", "  ", ". "],
+    "phone": [".", "/", " / ", " . ", "_", "-"],
+}
+#: Forms of the same kinds that training never sees; only tests use them.
+HELD_OUT = {"at": ["{at}", " <at> "], "dot": ["{dot}", "<.>"], "ip": ["{.}", "(dot)"], "card": ["|", "\u2013"], "phone": ["|", "\u2013"]}
 
 Span = tuple[int, int, int]  # (place in KINDS, start, end)
 
@@ -76,109 +81,135 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def windows_of(text: str) -> list[int]:
-    """The numbers of the windows that hold a trigger; window k begins EDGE characters before k * STRIDE."""
-    found: set[int] = set()
-    for m in TRIGGER.finditer(text):
-        first = max(0, (m.start() + EDGE - SIZE) // STRIDE + 1)
-        found.update(range(first, min((m.end() - 1 + EDGE) // STRIDE, (len(text) - 1) // STRIDE) + 1))
-    return sorted(found)
-
-
-def reached(text: str) -> list[int]:
-    """windows_of(), and those that the unbroken run of non-space characters around each trigger touches."""
-    found = set(windows_of(text))
-    for m in RUN.finditer(text):
-        if TRIGGER.search(m[0]):
-            first = max(0, (m.start() + EDGE - SIZE) // STRIDE + 1)
-            found.update(range(first, min((m.end() - 1 + EDGE) // STRIDE, (len(text) - 1) // STRIDE) + 1))
-    return sorted(found)
-
-
-def cut(padded: np.ndarray, numbers: list[int]) -> np.ndarray:
-    return padded[np.array(numbers, np.int64)[:, None] * STRIDE + np.arange(SIZE)]
-
-
-def padded_ids(text: str) -> np.ndarray:
-    return np.concatenate([np.zeros(EDGE, np.uint8), char_ids(text), np.zeros(SIZE, np.uint8)])
+def worn(kind: int, s: str, rng: random.Random, forms: dict[str, list[str]]) -> str:
+    """A base span of KINDS[kind] written in another way, which the patterns need not find."""
+    if kind == 0:
+        local, domain = s.rsplit("@", 1)
+        labels = domain.split(".")
+        if rng.random() < 0.5:
+            labels = [rng.choice(["mail", "web", "post", "corp", "uni"]) + str(rng.randrange(40)), rng.choice(["com", "org", "net", "de", "fr"])]
+        return local + rng.choice(forms["at"]) + rng.choice(forms["dot"]).join(labels)
+    sep, digits = rng.choice(forms[KINDS[kind]]), digits_of(s)
+    if kind == 1:
+        return sep.join(s.split("."))
+    if kind == 2:
+        return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    lead = rng.choice(["+", "00", "", "("])
+    return lead + digits[:-7] + ")" * (lead == "(") + sep + digits[-7:-4] + sep + digits[-4:]
+
+
+def decoy(rng: random.Random) -> str:
+    """What looks like personal data and is none."""
+    n = rng.randrange
+    return rng.choice([
+        f"{1900 + n(150)}-{n(12) + 1:02}-{n(28) + 1:02}", f"{n(28) + 1}.{n(12) + 1}.{1900 + n(150)}", f"{n(24)}:{n(60):02}:{n(60):02}",
+        f"v{n(20)}.{n(20)}.{n(20)}", f"{n(1000)}.{n(100):02}", f"{n(10**9)}", f"{n(100)} at {n(100)}", "look at the dot", f"{n(10**6):,}",
+        f"{rng.getrandbits(128):032x}", f"page {n(400)}", f"{n(100)} - {n(100)}",
+    ])
+
+
+def rewritten(text: str, rng: random.Random, forms: dict[str, list[str]], share: float = 0.8) -> tuple[str, list[Span]]:
+    """The text with `share` of its base spans in worn forms and a decoy after each, and where all the spans then are."""
+    out, spans, at, size = [], [], 0, 0
+    for kind, start, end in sorted(base_spans(text), key=lambda s: s[1:]):
+        if start < at:
+            continue
+        here = text[start:end]
+        here = worn(kind, here, rng, forms) if rng.random() < share else here
+        out += [text[at:start], here, " ", decoy(rng)]
+        size += start - at
+        spans.append((kind, size, size + len(here)))
+        size += len(here) + 1 + len(out[-1])
+        at = end
+    return "".join([*out, text[at:]]), spans
 
 
 def plausible(kind: int, s: str) -> bool:
-    n = len(digits_of(s))
+    """Whether s can be of the kind at all: an exact check of what the tagger proposes."""
+    numbers = re.findall("[0-9]+", s)
+    n = sum(map(len, numbers))
     if kind == 0:
-        return 0 < s.find("@") < len(s) - 1
+        return re.search(r"[A-Za-z0-9].*(@|\bat\b).*[A-Za-z0-9].*(\.|\bdot\b).*[A-Za-z]", s, re.I | re.S) is not None
     if kind == 1:
-        return s.count(".") == 3 and 4 <= n <= 12
-    return (12 <= n <= 19) if kind == 2 else (7 <= n <= 15)
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+    if kind == 2:
+        return 13 <= n <= 19 and luhn("".join(numbers))
+    return 9 <= n <= 15 and len(numbers) > 1
 
 
-def added_spans(text: str, numbers: list[int], tags: np.ndarray, base: list[Span]) -> list[Span]:
-    """Runs of one tag over all windows, trimmed, plausible for their kind and clear of every base span."""
+def added_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
+    """Runs of one tag, trimmed, plausible for their kind and clear of every base span."""
     out: list[Span] = []
-    all_tags = np.zeros((numbers[-1] + 1) * STRIDE if numbers else 0, np.uint8)
-    for k, row in zip(numbers, tags, strict=True):
-        all_tags[k * STRIDE : (k + 1) * STRIDE] = row[EDGE : EDGE + STRIDE]
-    all_tags = all_tags[: len(text)]
-    if not all_tags.any():
+    if not tags.any():
         return out
-    edges = np.flatnonzero(np.diff(all_tags, prepend=0, append=0))
+    held = np.zeros(len(text) + 1, np.int64)
+    for _, start, end in base:
+        held[start + 1 : end + 1] = 1
+    held = np.cumsum(held)  # how many characters before each place are in base spans
+    edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
     for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        tag = int(all_tags[start])
+        tag = int(tags[start])
         if not tag:
             continue
-        while start < end and not text[start].isalnum() and text[start] != "+":
+        while start < end and not text[start].isalnum() and text[start] not in "+(":
             start += 1
         while start < end and not text[end - 1].isalnum():
             end -= 1
-        if plausible(tag - 1, text[start:end]) and not any(s < end and start < e for _, s, e in base):
+        if start < end and held[end] == held[start] and plausible(tag - 1, text[start:end]):
             out.append((tag - 1, start, end))
     return out
 
 
 def tag_texts(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, added spans) of each text."""
-    base = [base_spans(t) for t in texts]
-    numbers = [reached(t) for t in texts]
-    flat = [cut(padded_ids(t), n) for t, n in zip(texts, numbers, strict=True) if n]
-    ids = np.concatenate(flat) if flat else np.zeros((0, SIZE), np.uint8)
-    tags = [tagger.decode(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
-    tags = np.concatenate(tags) if tags else np.zeros((0, SIZE), np.uint8)
-    out, at = [], 0
-    for text, n, b in zip(texts, numbers, base, strict=True):
-        out.append((b, added_spans(text, n, tags[at : at + len(n)], b)))
-        at += len(n)
+    out = []
+    for text, tags in zip(texts, tagger.tags_of(texts), strict=True):
+        base = base_spans(text)
+        out.append((base, added_spans(text, tags, base)))
     return out
 
 
+def labelled(text: str, spans: list[Span], rng: random.Random, most: int) -> list[tuple[bytes, bytes]]:
+    """At most `most` windows of a text as character ids and tags (0: none, else the kind's place plus 1), those with spans first."""
+    ids, gold = np.zeros(len(text) + LEARN, np.uint8), np.zeros(len(text) + LEARN, np.uint8)
+    ids[: len(text)] = char_ids(text)
+    places = []
+    for kind, start, end in spans:
+        gold[start:end] = kind + 1
+        places.append(max(0, start - rng.randrange(LEARN // 2)))
+    rng.shuffle(places)
+    places = places[: most - 1] + [rng.randrange(len(text) + 1)]
+    return [(ids[p : p + LEARN].tobytes(), gold[p : p + LEARN].tobytes()) for p in places]
+
+
 def labelled_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The bounded training sample: character ids and tags (0: none, else the kind's place plus 1), from base spans."""
+    """The bounded training sample, from base spans as they are and in worn forms."""
     order = (F.xxhash64("doc_id"), "doc_id")
-    ids = docs.filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id")
+    ids = docs.filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     ids = F.broadcast(ids.orderBy(*order).limit(SAMPLE_DOCS))  # at most SAMPLE_DOCS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = [], []
+            rows = []
             for text in batch.column("text").to_pylist():
-                numbers = windows_of(text)
-                numbers = sorted({numbers[len(numbers) * i // SAMPLE_WINDOWS] for i in range(SAMPLE_WINDOWS)})
-                gold = np.zeros(EDGE + len(text) + SIZE, np.uint8)
-                for kind, start, end in base_spans(text):
-                    gold[EDGE + start : EDGE + end] = kind + 1
-                x += [r.tobytes() for r in cut(padded_ids(text), numbers)]
-                y += [r.tobytes() for r in cut(gold, numbers)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["x", "y"])
+                rng = random.Random(zlib.crc32(text.encode()))
+                rows += labelled(text, base_spans(text), rng, SAMPLE_WINDOWS // 3)
+                rows += labelled(*rewritten(text, rng, WORN), rng, SAMPLE_WINDOWS - SAMPLE_WINDOWS // 3)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], ["x", "y"])
 
     texts = docs.join(ids, "doc_id", "left_semi").select("text").filter(F.col("text").rlike("[0-9@]"))
-    rows = sorted((bytes(r.x), bytes(r.y)) for r in texts.mapInArrow(run, "x binary, y binary").collect())
-    both = [np.frombuffer(b"".join(r[i] for r in rows), np.uint8).reshape(-1, SIZE) for i in (0, 1)]
+    rows = texts.mapInArrow(run, "x binary, y binary").distinct()  # repeated rows give the same windows
+    rows = rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_DOCS * SAMPLE_WINDOWS).collect()
+    both = [np.frombuffer(b"".join(bytes(r[i]) for r in rows), np.uint8).reshape(-1, LEARN) for i in (0, 1)]
     return both[0], both[1]
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and added of every row: spans as arrays of (kind, start, end) in code points, end exclusive.
 
-    base has what the patterns find, by kind and start; added what the trained tagger finds clear of it. A null or
+    base has what the patterns find, by kind and start; added what the trained tagger finds clear of it: it learns base
+    spans as they are and in worn forms, sees every window of every text, and takes one best path over the whole text
+    from the merged emissions of its windows. What it proposes must be plausible for its kind (plausible()). A null or
     empty text has no spans; null doc_ids, repeated rows and texts of any length are taken like others; other columns
     take no part; an empty table gives an empty table. Without any digit or @ in the table nothing is learnt or added.
     """
@@ -191,8 +222,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 found = tag_texts(tagger, [t or "" for t in part.column("text").to_pylist()])
                 spans = lambda k: [[{"kind": KINDS[n], "start": s, "end": e} for n, s, e in f[k]] for f in found]  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
