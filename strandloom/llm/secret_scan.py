@@ -42,6 +42,8 @@ RULES = [
 ]
 #: Sets of characters up to this size, and so many alternatives in all, are spelled out; what is larger is a gap.
 SPELL, BRANCHES = 8, 128
+#: Matches whose places are summed up in one array at a time.
+FOLD = 200
 #: Candidates are broadcast up to so many rows; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -115,26 +117,58 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     )
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _running(parts: Column, start: Column) -> Column:
+    """(start, end, counts) of each of a few matches, the first of which begins after `start`."""
+
+    def step(state: Column, x: Column) -> Column:
+        begin = state["at"] + x["before"]
+        end = begin + x["size"]
+        found = F.array(F.struct(begin.alias("start"), end.alias("end"), x["counts"].alias("counts")))
+        return F.struct(end.alias("at"), F.concat(state["out"], found).alias("out"))
+
+    none = F.array().cast("array<struct<start:int,end:int,counts:int>>")
+    return F.aggregate(parts, F.struct(start.alias("at"), none.alias("out")), step)["out"]
+
+
 def _spans(text: Column, rule: Rule, nth: int) -> Column:
-    """The rule's matches as an array of (start, nth, end) in code points: running sums over what split() leaves between."""
+    """The rule's matches as an array of (start, nth, end) in code points: running sums over what split() leaves between.
+
+    A fold that grows an array copies it at each step, so sums run within blocks of FOLD matches and over the blocks.
+    """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     counted = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    parts = F.arrays_zip(
-        F.transform(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole)), F.char_length).alias("before"),
-        F.transform(whole, F.char_length).alias("size"),
-        F.transform(counted, F.char_length).alias("counts"),
+    parts = _bound(
+        whole,
+        lambda w: F.arrays_zip(
+            F.transform(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(w)), F.char_length).alias("before"),
+            F.transform(w, F.char_length).alias("size"),
+            F.transform(counted, F.char_length).alias("counts"),
+        ),
+    )
+    blocks = _bound(
+        parts,
+        lambda p: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.floor((F.size(p) - 1) / FOLD), F.lit(0)).cast("int")),
+            lambda b: F.slice(p, b * FOLD + 1, F.lit(FOLD)),
+        ),
     )
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["before"]
-        end = start + x["size"]
-        found = F.array(F.struct(start.alias("start"), F.lit(nth).alias("nth"), end.alias("end")))
-        out = F.when(x["counts"] >= rule.least, F.concat(state["out"], found)).otherwise(state["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def total(state: Column, block: Column) -> Column:
+        size = F.aggregate(block, F.lit(0), lambda n, x: n + x["before"] + x["size"])
+        return F.struct((state["at"] + size).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,nth:int,end:int>>")
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    found = _bound(blocks, lambda bs: F.flatten(F.zip_with(bs, F.aggregate(bs, zero, total)["out"], _running)))
+    return F.transform(
+        F.filter(found, lambda x: x["counts"] >= rule.least),
+        lambda x: F.struct(x["start"].alias("start"), F.lit(nth).alias("nth"), x["end"].alias("end")),
+    )
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
