@@ -31,11 +31,24 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(text_of(url), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+#: What stands for the characters of a host that keys need for themselves, in this order; any pairs without a dot serve.
+ESCAPES = [("\1", "\1\2"), ("\0", "\1\1")]
+
+
 def host_key(host: str) -> str:
     """Labels from the last to the first, each ended by a character below all others: subdomains follow as one run."""
+    for plain, escaped in ESCAPES:
+        host = host.replace(plain, escaped)
     return "\0".join(reversed(host.split("."))) + "\0"
 
 
+def host_key_of(host: Column) -> Column:
+    """host_key() of a column."""
+    for plain, escaped in ESCAPES:
+        host = F.replace(host, F.lit(plain), F.lit(escaped))
+    return F.concat(F.array_join(F.reverse(F.split(host, "[.]", -1)), "\0"), F.lit("\0"))
+
+
 def rank(rule: str) -> tuple[int, int]:
     return len(rule), rule.find("/")
 
@@ -92,13 +105,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
     Of the rules whose host the url's host equals or ends with (after a dot) and whose path starts the url's path, the
     longest as text wins, ties to the longer host. No rule: rule is null and verdict the default. A null url or one
     without :// has an empty host and path. Null page_ids and repeated rows pass through; other columns take no part;
-    an empty table gives an empty table. Hot hosts are split by path and page_id, as a range may end inside a host.
+    an empty table gives an empty table. Hosts may hold any character. Hot hosts are split by path and page_id, as a range
+    may end inside a host. The rules are a list that the caller holds; tasks get BLOCK of them at a time.
     """
     host = host_of(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path_of(F.col("url")).alias("path"))
-    end = F.lit("\0")
-    key = F.concat(F.array_join(F.reverse(F.split("host", "[.]", -1)), "\0"), end)
-    urls = urls.withColumn("key", key)
+    urls = urls.withColumn("key", host_key_of(F.col("host")))
     ordered = ["key", "path", "page_id"]
     urls = urls.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
     schema = "page_id long, host string, path string, key string, rule string, verdict string"
