@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, decontamination, line_dedup, minhash_dedup, quality
+from strandloom.llm.text import free_name
 from strandloom.session import stored
 
 
@@ -16,13 +17,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier scores under the threshold go."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")  # labels refer to these
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, labels, sample_of=documents)
-    return scored.filter(F.col("__score") >= quality.KEEP).select(*docs.columns)
+    name = free_name("__score", docs.columns)
+    scored = quality.score(docs, labels, sample_of=documents, to=name)
+    return scored.filter(F.col(name) >= quality.KEEP).select(*docs.columns)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go, except from one document."""
-    out = line_dedup.dedup_lines(docs).drop("__n_lines", "__n_dropped")
+    out = line_dedup.dedup_lines(docs, counts=False)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
 
 

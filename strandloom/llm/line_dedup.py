@@ -12,14 +12,15 @@ from strandloom.session import checkpointed
 BROADCAST_ROWS = 500_000
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Every row of docs with its columns, text rebuilt without frequent lines, and __n_lines, __n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, counts: bool = True) -> DataFrame:
+    """Every row of docs with its columns, text rebuilt without frequent lines, and with `counts` __n_lines, __n_dropped.
 
     A line's key is the line stripped of white space with A-Z lower-cased. A key of at least min_chars code points
     that at least min_docs distinct doc_ids hold loses all its lines except those in the largest such doc_id.
     A null or empty text is one empty line and stays empty (null stays null); rows with a null doc_id count for no
     key and lose every line that is dropped elsewhere; repeated rows count once and are all kept; any other column
-    of docs passes through unchanged, whatever its name. An empty table gives an empty table.
+    of docs passes through unchanged, whatever its name, but for columns named as the two counts where these are asked
+    for: they are replaced. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -45,7 +46,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         hashed.join(frequent, ["__h1", "__h2"])
         .filter(~F.col("__id").eqNullSafe(F.col("__keep")))
         .groupBy(F.col("__id").alias("__did"), F.col("__th").alias("__dth"))
-        .agg(F.collect_list("__pos").alias("__drop"))
+        .agg(F.collect_set("__pos").alias("__drop"))
     )
     joined = rows.join(dropped, F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__th") == F.col("__dth")), "left")
     none = F.array().cast("array<int>")
@@ -58,15 +59,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     )
     text = F.array_join(F.transform("__kept", lambda i: F.col("__lines")[i]), "\n")
     n_lines, n_kept = F.size("__lines").cast("long"), F.size("__kept").cast("long")
+    added = {"__n_lines": n_lines, "__n_dropped": n_lines - n_kept} if counts else {}
     return kept.select(
         *[
             F.when(F.col("__row.text").isNull(), F.lit(None)).otherwise(text).alias("text")
             if c == "text"
             else F.col("__row").getField(c).alias(c)
             for c in docs.columns
+            if c not in added
         ],
-        n_lines.alias("__n_lines"),
-        (n_lines - n_kept).alias("__n_dropped"),
+        *[n.alias(name) for name, n in added.items()],
     )
 
 

@@ -66,8 +66,37 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -30, 30)))
 
 
+NAMES = ("embed", "filters", "bias", "out", "out_bias")
+
+
+def gradients(net: Network, data: np.ndarray, size: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, dict]:
+    """The log loss of chunks weighted by share, and its gradients; these reach each filter at its best window alone.
+
+    data has a row of CHUNK + WIDTH - 1 bytes for each chunk, of whose windows the first `size` count.
+    """
+    n = len(data)
+    flat = np.append(data.ravel(), np.zeros(WIDTH - 1, np.uint8))
+    z = (net.windows(flat) @ net.filters).reshape(n, -1, FILTERS)[:, :CHUNK]
+    z[np.arange(CHUNK)[None, :] >= size[:, None]] = -np.inf
+    best = z.argmax(axis=1)
+    top = np.take_along_axis(z, best[:, None], 1)[:, 0] + net.bias
+    on = np.maximum(top, 0)
+    logit = np.clip(on @ net.out + net.out_bias, -30, 30)
+    p = 1 / (1 + np.exp(-logit))
+    loss = float(np.sum((np.log1p(np.exp(logit)) - y * logit) * share) / n)
+    d = (p - y) * share / n
+    d_top = d[:, None] * net.out * (top > 0)
+    seen = data[np.arange(n)[:, None, None], best[:, :, None] + np.arange(WIDTH)]
+    wide = net.embed[seen].reshape(n, FILTERS, -1)
+    d_wide = (d_top[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+    d_embed = np.zeros_like(net.embed)
+    np.add.at(d_embed, seen.ravel(), d_wide)
+    return loss, {"embed": d_embed, "filters": np.einsum("nf,nfw->wf", d_top, wide), "bias": d_top.sum(0),
+                  "out": on.T @ d, "out_bias": d.sum(keepdims=True)}
+
+
 def train(chunks: list[bytes], labels: list[int]) -> Network:
-    """Fit by Adam on the weighted log loss of chunks; a gradient reaches each filter at its best window alone."""
+    """Fit by Adam on the weighted log loss of chunks."""
     rng = np.random.default_rng(SEED)
     f32 = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     net = Network(rng.standard_normal((256, EMBED)).astype(np.float32) * 0.5, f32(WIDTH * EMBED, FILTERS),
@@ -82,31 +111,14 @@ def train(chunks: list[bytes], labels: list[int]) -> Network:
     size = np.array([min(max(len(c), 1), CHUNK) for c in chunks])
     for row, c in zip(x, chunks, strict=True):
         row[: len(c)] = np.frombuffer(c, np.uint8)
-    names = ("embed", "filters", "bias", "out", "out_bias")
-    m = {k: np.zeros_like(getattr(net, k)) for k in names}
-    v = {k: np.zeros_like(getattr(net, k)) for k in names}
+    m = {k: np.zeros_like(getattr(net, k)) for k in NAMES}
+    v = {k: np.zeros_like(getattr(net, k)) for k in NAMES}
     step = 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH):
             rows = order[at : at + BATCH]
-            data, n = x[rows], len(rows)
-            flat = np.append(data.ravel(), np.zeros(WIDTH - 1, np.uint8))
-            z = (net.windows(flat) @ net.filters).reshape(n, -1, FILTERS)[:, :CHUNK]
-            z[np.arange(CHUNK)[None, :] >= size[rows][:, None]] = -np.inf
-            best = z.argmax(axis=1)
-            top = np.take_along_axis(z, best[:, None], 1)[:, 0] + net.bias
-            on = np.maximum(top, 0)
-            p = 1 / (1 + np.exp(-np.clip(on @ net.out + net.out_bias, -30, 30)))
-            d = (p - y[rows]) * share[rows] / n
-            d_top = d[:, None] * net.out * (top > 0)
-            seen = data[np.arange(n)[:, None, None], best[:, :, None] + np.arange(WIDTH)]
-            wide = net.embed[seen].reshape(n, FILTERS, -1)
-            d_wide = (d_top[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-            d_embed = np.zeros_like(net.embed)
-            np.add.at(d_embed, seen.ravel(), d_wide)
-            grads = {"embed": d_embed, "filters": np.einsum("nf,nfw->wf", d_top, wide), "bias": d_top.sum(0),
-                     "out": on.T @ d, "out_bias": d.sum(keepdims=True)}
+            _, grads = gradients(net, x[rows], size[rows], y[rows], share[rows])
             step += 1
             rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in grads.items():
@@ -140,17 +152,19 @@ def training_chunks(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array(quality, pa.int32())], ["chunk", "quality"])
 
     texts = docs.select("doc_id", "text").join(ids, "doc_id").select("text", F.col("quality").cast("int").alias("quality"))
-    rows = texts.mapInArrow(cut, "chunk binary, quality int").collect()
+    rows = texts.mapInArrow(cut, "chunk binary, quality int").distinct()  # repeated rows give the same chunks
+    rows = rows.orderBy(F.xxhash64("chunk"), "chunk", "quality").limit(2 * SAMPLE_DOCS * SAMPLE_CHUNKS).collect()
     return sorted((bytes(r.chunk), r.quality) for r in rows)
 
 
-def score(docs: DataFrame, labels: DataFrame, sample_of: DataFrame | None = None) -> DataFrame:
-    """docs with a column __score, from 0 to 1: how likely label 1 is. Training texts come from sample_of, or docs.
+def score(docs: DataFrame, labels: DataFrame, sample_of: DataFrame | None = None, to: str = "__score") -> DataFrame:
+    """docs with a column `to`, from 0 to 1: how likely label 1 is. Training texts come from sample_of, or docs.
 
     A null text counts as empty; an empty text has a score like any other; every chunk of a long text counts; repeated
     rows score alike; other columns, ids included, are no input and pass through; an empty table gives an empty table.
-    Labels of one value, or none, give all documents the same score (over KEEP, unless every label is 0).
+    A column that is named `to` already is replaced. Labels of one value, or none, give all documents the same score (over KEEP, unless every label is 0).
     """
+    names = [c for c in docs.columns if c != to]
     sample = training_chunks(docs if sample_of is None else sample_of, labels)
     net = train([c for c, _ in sample], [q for _, q in sample])
 
@@ -167,9 +181,11 @@ def score(docs: DataFrame, labels: DataFrame, sample_of: DataFrame | None = None
             if run_:
                 found.append(net.scores(run_))
             scores = np.concatenate([np.zeros(0), *found])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "__score"])
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], [*names, to])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    fields = [f for f in docs.schema.fields if f.name != to]
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(to, T.DoubleType())]))
 
 
 def op9_byte_cnn(spark, sf_dir: str) -> DataFrame:

@@ -24,5 +24,12 @@ def key128(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(11), *cols), F.xxhash64(F.lit(29), *cols)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores after it as it takes to be none of the names taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
