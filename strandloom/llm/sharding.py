@@ -4,26 +4,47 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.text import text_of
-from strandloom.session import scratch_dir
+from strandloom.session import scratch_dir, stored
 
 #: Fixed for the life of a data set. Every table of slots has at most so many rows.
 SLOTS = 4096
+#: Copies of a row that one task counts out at a time.
+COPIES = 10_000
 
 
-def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text plus 1), text_crc32 and the virtual slot that doc_id and text hash to."""
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, size (UTF-8 bytes of the text plus 1), text_crc32 and copies, how many rows of docs are alike in these."""
     text = text_of(F.col("text"))
-    crc = F.crc32(text.cast("binary"))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", crc), F.lit(slots)).cast("int").alias("virtual_slot"),
+    rows = docs.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
+    return rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def slot_of(slots: int) -> Column:
+    """The slot that a row's doc_id, checksum and number among its copies hash to."""
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text_crc32", "copy")
+    return F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
+
+
+def with_slots(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """A row for each copy in distinct_rows(), numbered from 0 in column copy, with its virtual_slot.
+
+    Copies of a row go to different slots. Those of a row with very many are first dealt out in runs to all tasks.
+    """
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    few = rows.filter(F.col("copies") <= COPIES).select("doc_id", "size", "text_crc32", numbers(F.col("copies")).alias("copy"))
+    many = rows.filter(F.col("copies") > COPIES)
+    runs = many.select("*", numbers(F.ceil(F.col("copies") / COPIES)).alias("run")).repartition("doc_id", "size", "text_crc32", "run")
+    inside = numbers(F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("run") * COPIES))
+    many = runs.select("doc_id", "size", "text_crc32", "run", inside.alias("i"))
+    many = many.select("doc_id", "size", "text_crc32", (F.col("run") * COPIES + F.col("i")).alias("copy"))
+    return few.unionByName(many).withColumn("virtual_slot", slot_of(slots))
 
 
 def slot_weights(slotted: DataFrame) -> DataFrame:
@@ -83,28 +104,60 @@ def rebalance(slot_map: DataFrame, weights: DataFrame, shards: int) -> DataFrame
 def save_map(slot_map: DataFrame, path: str) -> DataFrame:
     """Append one version of the map to the table at path and return that version read back."""
     slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
-    spark = slot_map.sparkSession
-    saved = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
-    return saved.filter(F.col("version") == saved.agg(F.max("version")).first()[0])
+    return load_map(slot_map.sparkSession, path)
+
+
+def load_map(spark, path: str) -> DataFrame | None:
+    """The last version of the map at path; None where there is none."""
+    try:
+        saved = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+        return saved.filter(F.col("version") == saved.agg(F.max("version")).first()[0])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def spread(slot_map: DataFrame, weights: DataFrame, shards: int) -> float:
+    """Bytes of the largest shard less those of the smallest; without end where a slot is in none of the shards."""
+    held = slot_map.join(weights, "virtual_slot", "left").groupBy("shard").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    every = slot_map.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    loads = every.join(held, "shard", "full").select(F.coalesce("bytes", F.lit(0)).alias("bytes"), (F.col("shard") >= shards).alias("gone"))
+    most, least, gone = loads.agg(F.max("bytes"), F.min("bytes"), F.count_if("gone")).first()
+    return float("inf") if gone else most - least
+
+
+def edited_map(spark, path: str, weights: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """The map at path after rebalancing: a new version where that at least halves the spread, else the one that is there."""
+    current = load_map(spark, path)
+    if current is None:
+        current = save_map(first_map(spark, shards, slots), path)
+    if current.count() != slots:
+        raise ValueError(f"the map at {path} has not {slots} slots")
+    edited = stored(rebalance(current, weights, shards), "slot-map")
+    if spread(edited, weights, shards) > spread(current, weights, shards) / 2:
+        return current
+    return save_map(edited, path)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard and slot (the place in the shard, gapless from 0).
 
-    A null text has size 1 and the checksum of no bytes; a null doc_id hashes like any value; repeated rows each get a
-    place of their own; other columns take no part; an empty table gives an empty table.
+    A null text has size 1 and the checksum of no bytes; a null doc_id hashes like any value; rows that are alike are
+    counted, then dealt to slots and places one by one, so many copies of a row spread over all shards; other columns take
+    no part; an empty table gives an empty table. Shards' bytes differ by about a row's size, so one row that is larger
+    than a shard's fair share, which can't be split, makes them uneven. With map_path the map there is used and edited.
     """
     spark = docs.sparkSession
     path = map_path or f"{scratch_dir(spark)}/slot-map-{uuid.uuid4().hex}"
-    slotted = with_slots(docs, slots)
-    weights = slot_weights(slotted)
-    first = save_map(first_map(spark, shards, slots), path)
-    current = save_map(rebalance(first, weights, shards), path)
+    slotted = with_slots(stored(distinct_rows(docs), "rows"), slots)
+    weights = stored(slot_weights(slotted), "weights")
+    current = edited_map(spark, path, weights, shards, slots)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     places = current.join(weights, "virtual_slot").select(
         "virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("from")
     )
-    in_slot = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    in_slot = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "copy")
     return (
         slotted.withColumn("nth", F.row_number().over(in_slot))
         .join(F.broadcast(places), "virtual_slot")  # at most `slots` rows
