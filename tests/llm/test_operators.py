@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+import zlib
 from collections import defaultdict
 
 import duckdb
@@ -59,6 +61,11 @@ def test_line_dedup_keeps_other_columns_whatever_their_names(spark):
     rows = [(1, "a\nb", "p", 2)]
     got = line_dedup.dedup_lines(frame(spark, rows, "doc_id long, text string, pos string, keep int")).first()
     assert (got.pos, got.keep, got.text) == ("p", 2, "a\nb")
+    clash = [(i, f"{'x' * 50}\n{i}", "own", 7) for i in range(6)]
+    clash = frame(spark, clash, "doc_id long, text string, __n_lines string, __row int")
+    kept = line_dedup.dedup_lines(clash, counts=False)
+    assert kept.columns == clash.columns and {(r["__n_lines"], r["__row"]) for r in kept.collect()} == {("own", 7)}
+    assert {(r["__n_lines"], r["__row"]) for r in line_dedup.dedup_lines(clash).collect()} == {(2, 7)}
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
     nulls = line_dedup.dedup_lines(frame(spark, [(None, "a"), (None, None)])).collect()
     assert sorted((r.text is None, r["__n_dropped"]) for r in nulls) == [(False, 0), (True, 0)]
@@ -67,26 +74,77 @@ def test_line_dedup_keeps_other_columns_whatever_their_names(spark):
 # -- sharding
 
 
-def test_shards_are_even_and_slots_gapless(spark):
+def brute_slot(doc_id, crc, copy):
+    name = f"{'none' if doc_id is None else doc_id}:{crc}:{copy}"
+    return int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % sharding.SLOTS
+
+
+def brute_rebalance(held, size, shards):
+    """held: shard by slot. Shards keep their largest slots up to the mean; the rest go, largest first, to the least loaded."""
+    mean, load, new, moving = sum(size.values()) / shards, [0] * shards, {}, []
+    for shard in set(held.values()):
+        total = 0
+        for minus, slot in sorted((-size.get(s, 0), s) for s, x in held.items() if x == shard):
+            total -= minus
+            if shard < shards and (total <= mean or not minus):
+                new[slot] = shard
+                load[shard] -= minus
+            else:
+                moving.append((minus, slot))
+    for minus, slot in sorted(moving):
+        to = load.index(min(load))
+        new[slot] = to
+        load[to] -= minus
+    return new
+
+
+def test_shards_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 40)
     rng = random.Random(4)
-    rows = [(i, "x" * rng.choice([0, 5, 50, 500])) for i in range(3000)] + [(None, None), (5, "é"), (5, "é")]
-    got = sharding.shard_documents(frame(spark, rows)).collect()
-    assert len(got) == len(rows)
-    load, slots = defaultdict(int), defaultdict(list)
+    rows = [(i, "x" * rng.choice([0, 5, 50, 500])) for i in range(3000)] + [(None, None), (None, ""), (5, "é"), (5, "é")]
+    rows += [(7, "hot" * 60)] * 2000  # many copies of one row
+    got = [tuple(r) for r in sharding.shard_documents(frame(spark, rows)).collect()]
+    made, times = [], defaultdict(int)
+    for i, t in rows:
+        data = (t or "").encode()
+        key = (i, len(data) + 1, zlib.crc32(data))
+        made.append((*key, times[key], brute_slot(i, key[2], times[key])))
+        times[key] += 1
+    size = defaultdict(int)
+    for r in made:
+        size[r[4]] += r[1]
+    at = brute_rebalance({s: s % 16 for s in range(sharding.SLOTS)}, size, 16)
+    by_shard = defaultdict(list)
+    for r in made:
+        by_shard[at[r[4]]].append(r)
+    want = []
+    for shard, inside in by_shard.items():
+        inside.sort(key=lambda r: (r[4], r[0] is not None, r[0] or 0, r[2], r[1], r[3]))
+        want += [(*r[:3], r[4], shard, n) for n, r in enumerate(inside)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    load = defaultdict(int)
     for r in got:
-        load[r.shard] += r.size
-        slots[r.shard].append(r.slot)
-    assert set(load) == set(range(16)) and max(load.values()) - min(load.values()) <= 520
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    import zlib
-
-    assert {(r.size, r.text_crc32) for r in got if r.doc_id == 5 and r.size == 3} == {(3, zlib.crc32("é".encode()))}
+        load[r[4]] += r[1]
+    assert set(load) == set(range(16)) and max(load.values()) - min(load.values()) <= 1100
     assert sharding.shard_documents(frame(spark, [])).count() == 0
 
 
+def test_a_map_is_used_again_and_edited_only_where_slots_move(spark, tmp_path):
+    docs = frame(spark, [(i, "x" * (i % 90)) for i in range(4000)])
+    path = f"{tmp_path}/map"
+    first = sorted(map(str, sharding.shard_documents(docs, map_path=path).collect()))
+    assert sorted(map(str, sharding.shard_documents(docs, map_path=path).collect())) == first
+    versions = {r.version: r["count"] for r in spark.read.parquet(path).groupBy("version").count().collect()}
+    assert versions == {1: sharding.SLOTS, 2: sharding.SLOTS}
+    fewer = sharding.shard_documents(docs, shards=15, map_path=path)  # every shard that goes gives up its slots
+    assert {r.shard for r in fewer.select("shard").distinct().collect()} == set(range(15))
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, slots=64, map_path=path)
+
+
 def test_rebalancing_moves_few_slots_and_keeps_versions(spark, tmp_path):
     docs = frame(spark, [(i, "x" * (i % 90)) for i in range(4000)])
-    weights = sharding.slot_weights(sharding.with_slots(docs))
+    weights = sharding.slot_weights(sharding.with_slots(sharding.distinct_rows(docs)))
     path = f"{tmp_path}/map"
     first = sharding.save_map(sharding.first_map(spark, 16), path)
     second = sharding.save_map(sharding.rebalance(first, weights, 16), path)
@@ -117,7 +175,7 @@ def brute_rule(url, rules):
 
 def test_urls(spark, monkeypatch):
     rng = random.Random(2)
-    hosts = ["com", "example.com", "www.example.com", "a.b.www.example.com", "xexample.com", "x.net", "net", "EXAMPLE.Com", "a.com", "org", "", "example.com."]
+    hosts = ["com", "example.com", "www.example.com", "a.b.www.example.com", "xexample.com", "x.net", "net", "EXAMPLE.Com", "a.com", "org", "", "example.com.", "net\0foo", "foo\0net", "\1.net", "net\1\2x", "\0"]
     paths = ["", "/", "/en/", "/en/x?/fr/", "/en", "/es/1", "/fr/#x", "?q=/en/", "/en/a/b"]
     urls = [None, "", "example.com/en/", "http://", "://com/"] + [f"http://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)]
     rules = [*url_filter.RULES, ("b.www.example.com", "/en/a", "block"), ("x.net", "", "allow"), ("example.com", "/", "block")]
@@ -155,6 +213,18 @@ def test_secrets(spark):
     assert secret_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_many_secrets_in_one_text(spark):
+    n = 100_000
+    text = "".join(f"token=abcdefgh{i % 7} é " for i in range(n))
+    frame(spark, [(1, "token=abcdefgh")]).select("*").count()
+    began = time.time()
+    spans = secret_scan.scan(frame(spark, [(1, text)])).select(F.size("spans"), F.element_at("spans", -1)["end"]).first()
+    assert tuple(spans) == (n, len(text) - 3) and time.time() - began < 20
+    short = [(n, "token=abcdefgh " * n) for n in (0, 1, 199, 200, 201, 399, 400, 401)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan(frame(spark, short)).collect()}
+    assert got == {i: brute_secrets(t) for i, t in short}
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query
     assert q("abcd") == [frozenset({"abc", "bcd"})]
@@ -458,8 +528,6 @@ def test_quality(spark):
     docs, known = frame(spark, rows), frame(spark, [*labels, (None, 1), (4, None)], "doc_id long, quality int")
     got = quality.score(docs, known).collect()
     assert len(got) == len(rows) and all(0 <= r["__score"] <= 1 for r in got)
-    import zlib
-
     held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2}
     right = [(r["__score"] >= 0.7) == bool(dict(labels)[r.doc_id]) for r in got if r.doc_id in held]
     assert len(right) > 100 and np.mean(right) > 0.95
@@ -479,6 +547,57 @@ def test_chunks_cover_whole_texts_and_batching_changes_nothing():
     assert abs(net.logits([spoiled])[0] - together[-1]) > 1e-6
 
 
+def naive_logit(net, text):
+    """One window, one chunk and one filter at a time."""
+    data = text + b"\0" * quality.WIDTH if text else b"\0" * (quality.WIDTH + 1)
+    size, total = max(len(text), 1), 0.0
+    for at in range(0, size, quality.CHUNK):
+        n = min(quality.CHUNK, size - at)
+        z = net.out_bias[0]
+        for f in range(quality.FILTERS):
+            best = max(
+                sum(float(net.embed[data[at + i + k]] @ net.filters[k * quality.EMBED : (k + 1) * quality.EMBED, f]) for k in range(quality.WIDTH))
+                for i in range(n)
+            )
+            z += max(best + net.bias[f], 0) * net.out[f]
+        total += z * n
+    return total / size
+
+
+def test_the_network_is_its_naive_form_and_has_its_gradients(monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 20)
+    rng = np.random.default_rng(2)
+    net = quality.train([], [])
+    for k in quality.NAMES:
+        shape = getattr(net, k).shape
+        setattr(net, k, rng.standard_normal(shape) * 0.5)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 5, 19, 20, 21, 67)]
+    assert np.allclose(net.logits(texts), [naive_logit(net, t) for t in texts], atol=1e-5)
+    data = rng.integers(0, 256, (4, 20 + quality.WIDTH - 1)).astype(np.uint8)
+    size, y, share = np.array([20, 3, 11, 20]), np.array([1.0, 0, 1, 0]), np.array([1.0, 2, 0.5, 1])
+    _, grads = quality.gradients(net, data, size, y, share)
+    for k in quality.NAMES:
+        p = getattr(net, k)
+        at = np.unravel_index(int(np.argmax(np.abs(grads[k]))), p.shape)
+        was, ends = p[at], []
+        for e in (1e-6, -1e-6):
+            p[at] = was + e
+            ends.append(quality.gradients(net, data, size, y, share)[0])
+        p[at] = was
+        assert abs((ends[0] - ends[1]) / 2e-6 - grads[k][at]) < 1e-6, k
+
+
+def test_scores_of_tables_with_clashing_names_and_repeated_rows(spark):
+    rows = [(i, f"text {i}" if i % 2 else "$$$ " * 9, "own", "q") for i in range(40)] + [(1, "text 1", "own", "q")] * 500
+    docs = frame(spark, rows, "doc_id long, text string, __score string, quality string")
+    known = frame(spark, [(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = quality.score(docs, known)
+    assert sorted(got.columns) == sorted(docs.columns) and got.count() == len(rows) and 0 <= got.first()["__score"] <= 1
+    other = quality.score(docs, known, to="__score_")
+    assert other.columns == [*docs.columns, "__score_"] and {r["__score"] for r in other.collect()} == {"own"}
+    assert len(quality.training_chunks(docs, known)) <= 40
+
+
 # -- tokens
 
 
