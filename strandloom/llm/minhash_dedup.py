@@ -19,6 +19,8 @@ from strandloom.session import stored
 SKETCH_BITS = 512
 #: Members of a bucket are compared in blocks of so many, which bounds what a task holds.
 BLOCK = 256
+#: Up to so many sets are compared with others one by one; more, by matrices.
+FEW = 8
 #: Ids of documents to fetch are broadcast up to so many (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -103,14 +105,21 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """id and set, the distinct shingle hashes of each row's whole text."""
+    """id and set, the distinct shingle hashes of each row's whole text; a task gives repeated rows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(words_of(t), width).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+                ids, sets = [], []
+                for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    name = (i, xxhash.xxh3_128_intdigest((t or "").encode("utf-8", "surrogatepass")))
+                    if name not in seen:
+                        seen.add(name)
+                        ids.append(i)
+                        sets.append(shingle_set(words_of(t), width).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, set array<long>")
 
@@ -120,21 +129,18 @@ def _bits_apart(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)")
 
 
-def _screened(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose sketches are close enough and whose full sets then prove near."""
-    left = sets.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("set").alias("xa"))
-    right = sets.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("set").alias("xb"))
-    both = F.size(F.array_intersect("xa", "xb"))
-    near = 100 * both >= plan.percent * (F.size("xa") + F.size("xb") - both)
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .filter(F.when(_bits_apart("sa", "sb") <= plan.most_bits, near).otherwise(False))
-        .select("a", "b")
-    )
+def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b, m) whose sketches are close enough; sets aren't looked at."""
+    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").filter(_bits_apart("sa", "sb") <= plan.most_bits).select("a", "b", "m")
 
 
 class _Blocks:
-    """Compares stragglers with the other members of their bucket, block by block, over a sorted stream of rows."""
+    """Compares stragglers with the other members of their bucket, block by block, over a sorted stream of rows.
+
+    Rows that have a sketch are screened by it first; those without one have been.
+    """
 
     def __init__(self, plan: Plan) -> None:
         self.plan = plan
@@ -142,11 +148,13 @@ class _Blocks:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            sets = batch.column("set")
+            ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+            for n, row in enumerate(batch.drop_columns(["set"]).to_pylist()):
                 if held and (row["key"], row["i"], row["j"]) != (held[0]["key"], held[0]["i"], held[0]["j"]):
                     yield self.links(held)
                     held = []
-                held.append(row)
+                held.append(row | {"set": values[ends[n] : ends[n + 1]].copy()})
         if held:
             yield self.links(held)
 
@@ -156,10 +164,12 @@ class _Blocks:
         other = [r for r in rows if not r["stray"]]
         out: list[tuple[int, int]] = []
         if stray and other:
-            a, b = (np.array([r["sketch"] for r in x]).view(np.uint64) for x in (stray, other))
             label_a, label_b = (np.array([r["label"] for r in x]) for x in (stray, other))
-            apart = np.stack([np.bitwise_count(x ^ b).sum(axis=1) for x in a])
-            maybe = (apart <= self.plan.most_bits) & (label_a[:, None] != label_b[None, :])
+            maybe = label_a[:, None] != label_b[None, :]
+            if stray[0]["sketch"] is not None:
+                a, b = (np.array([r["sketch"] for r in x]).view(np.uint64) for x in (stray, other))
+                apart = np.stack([np.bitwise_count(x ^ b).sum(axis=1) for x in a])
+                maybe &= apart <= self.plan.most_bits
             rows_a, rows_b = maybe.any(axis=1).nonzero()[0], maybe.any(axis=0).nonzero()[0]
             if len(rows_a):
                 near = self.near([stray[i]["set"] for i in rows_a], [other[i]["set"] for i in rows_b])
@@ -179,11 +189,28 @@ class _Blocks:
                         out.append((x, y))
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    def near(self, a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+    def near(self, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         """Which sets of a are near which of b, by exact sizes of intersections."""
         sizes = np.array([len(x) for x in (*a, *b)])
+        together = sizes[: len(a), None] + sizes[None, len(a) :]
+        common = self.few(a, b) if len(a) <= FEW else self.common(a, b, sizes)
+        return 100 * common >= self.plan.percent * (together - common)
+
+    def few(self, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """Sizes of intersections, one set of a at a time."""
+        flat = np.concatenate(b).view(np.uint64)
+        starts = np.cumsum([0, *map(len, b[:-1])])
+        out = []
+        for x in a:
+            x = x.view(np.uint64)  # sets are in unsigned order
+            held = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+            out.append(np.add.reduceat(held.astype(np.int64), starts))
+        return np.array(out)
+
+    def common(self, a: list[np.ndarray], b: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """Sizes of intersections, all by products of matrices."""
         of = np.repeat(np.arange(len(sizes)), sizes)
-        _, place, count = np.unique(np.concatenate([np.asarray(x) for x in (*a, *b)]), return_inverse=True, return_counts=True)
+        _, place, count = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
         shared = count[place] > 1  # what one set alone holds is in no intersection
         of, place = of[shared], np.unique(place[shared], return_inverse=True)[1]
         common = np.zeros((len(a), len(b)), np.float32)
@@ -192,8 +219,7 @@ class _Blocks:
             holds = np.zeros((len(sizes), 4096), np.float32)
             holds[of[here], place[here] - at] = 1
             common += holds[: len(a)] @ holds[len(a) :].T
-        together = sizes[: len(a), None] + sizes[None, len(a) :] - common
-        return 100 * common >= self.plan.percent * together
+        return common
 
 
 def near_groups(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
@@ -205,27 +231,46 @@ def near_groups(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     words; rows with a null doc_id are left out; rows that share a doc_id are one document that links by any of its
     texts, and each keeps its row; other columns take no part; an empty table gives an empty table; texts are whole.
 
-    Equal sets are one class before anything is compared. Classes that share a band meet through their bucket's leader;
-    after that, only members of a bucket that aren't connected to its leader are compared, in blocks, with the others.
-    Both ways screen by odd sketches and confirm on full sets.
+    Equal sets are one class before anything is compared. Classes that share a band meet through their bucket's leader:
+    their sketches are compared, and only what these let through fetches sets, which meet in blocks of a leader and up to
+    some BLOCK members. After that, only members of a bucket that aren't connected to its leader are compared, in
+    blocks, with the others. Both ways screen by odd sketches and confirm on full sets.
     """
     plan = plan or Plan()
     docs = docs.filter(F.col("doc_id").isNotNull())
     signed = stored(signatures(docs, plan), "signatures")
-    classes = stored(signed.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
-    heads = signed.join(classes.select("h1", "h2", F.col("id").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
-    placed = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    # equal sets have equal bands and sketches, so the first is as good as any
+    classes = signed.filter("n > 0").groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    )
+    classes = stored(classes, "classes")
+    placed = classes.select("id", F.explode("bands").alias("key"))
     buckets = placed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("__last"), F.count("*").alias("m"))
     buckets = stored(buckets.filter("leader < __last").drop("__last"), "buckets")
     members = stored(placed.join(buckets, "key"), "members")
-    ids = stored(members.select("id").distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(few.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sketches = signed.filter("n > 0").select(F.col("doc_id").alias("id"), "sketch")
-    sets = stored(full_sets(texts, plan.width).join(sketches.join(few, "id", "left_semi"), "id"), "sets")
-
-    pairs = members.filter("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    labels = connect(_screened(pairs, sets, plan))
+    sketches = classes.select("id", "sketch")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, set) of the ids, of each of its texts where it has several."""
+        ids = stored(ids.distinct(), "ids")
+        few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return full_sets(docs.join(few.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), plan.width)
+
+    def compared(cells: DataFrame, sets: DataFrame) -> DataFrame:
+        filled = cells.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        ordered = filled.select("key", "i", "j", "label", "stray", "sketch", "set")
+        return ordered.mapInArrow(_Blocks(plan), "a long, b long")
+
+    pairs = members.filter("id > leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.max("m").alias("m"))
+    # a bucket of m members has about m / BLOCK blocks; the leader goes once to each
+    block = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK)).cast("int")
+    close = stored(_near_by_sketch(pairs, sketches, plan).select("a", "b", block.alias("j")), "close")
+    cell = lambda df, id_, stray: df.select(
+        F.col("a").alias("key"), F.col(id_).alias("id"), F.col(id_).alias("label"), F.lit(stray).alias("stray"),
+        F.lit(0).alias("i"), "j", F.lit(None).cast("array<long>").alias("sketch"),
+    )
+    cells = cell(close, "b", False).unionByName(cell(close.select("a", "j").distinct(), "a", True))
+    labels = connect(compared(cells, sets_of(close.select(F.explode(F.array("a", "b")).alias("id")))))
 
     known = members.filter("m > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     known = stored(known, "known")  # pairs are buckets that leaders have seen to
@@ -246,10 +291,8 @@ def near_groups(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     cells = cells.unionByName(
         inside.filter("stray").select("key", "id", "label", "stray", mine(n_i).alias("i"), F.explode(upto(n_j)).alias("j"))
     )
-    filled = cells.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = connect(
-        filled.select("key", "i", "j", "label", "stray", "sketch", "set").mapInArrow(_Blocks(plan), "a long, b long")
-    )
+    cells = cells.join(sketches, "id")
+    more = connect(compared(cells, sets_of(inside.select("id"))))
 
     joined = labels.join(more.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "left")
     alone = more.join(labels, "id", "left_anti")  # classes that no leader linked
