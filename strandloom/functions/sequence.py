@@ -57,6 +57,15 @@ def parts(seq: Column, size: int = PART, complete: bool = True) -> Column:
     )
 
 
+def pieces(seq: Column, size: int = BARCODE) -> Column:
+    """Array of (place, piece): all disjoint pieces of the given size from the left; what is left over at the end goes."""
+    n = F.floor(F.char_length(seq) / size).cast("int")
+    return F.transform(
+        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(i.alias("place"), F.substring(seq, i * size + 1, F.lit(size)).alias("piece")),
+    )
+
+
 def windows(seq: Column, size: int = PART, complete: bool = True) -> Column:
     """Array of the distinct kmers at all offsets; without `complete` the last offset is left out."""
     n = F.char_length(seq) - size + (1 if complete else 0)
@@ -71,7 +80,8 @@ def windows(seq: Column, size: int = PART, complete: bool = True) -> Column:
 def infix_within(pattern: Column, text: Column, errors: int = BARCODE_ERRORS, size: int = BARCODE) -> Column:
     """Whether some substring of text is within `errors` edits of pattern, for strings that both have `size` characters.
 
-    Such a substring lacks at most `errors` characters of the text, so there are few to try.
+    Such a substring lacks at most `errors` characters of the text, so there are few to try, and none where the whole
+    strings are more than twice as many edits apart.
     """
     tries = [
         F.levenshtein(pattern, F.substring(text, start + 1, n), errors) >= 0
@@ -81,4 +91,4 @@ def infix_within(pattern: Column, text: Column, errors: int = BARCODE_ERRORS, si
     found = tries[0]
     for t in tries[1:]:
         found = found | t
-    return found
+    return (F.levenshtein(pattern, text, 2 * errors) >= 0) & found

@@ -11,16 +11,17 @@ from strandloom.session import stored
 def with_record_index(df: DataFrame, *order: str) -> DataFrame:
     """df with record_index, the place of each row in the order of the given columns, from 0; without a single-task sort.
 
-    Rows are range-partitioned once and written with their partition; the partitions' sizes, one row each, give what
-    to add to the places inside a partition.
+    Rows are range-partitioned and sorted once, and written with their partition and place in it; the partitions' sizes,
+    one row each, give what to add.
     """
-    ranged = stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored(ranged.withColumn("__m", F.monotonically_increasing_id()), "ranged")  # partition << 33 | place
+    part = F.shiftright("__m", 33)
+    sizes = ranged.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
     offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    placed = ranged.withColumn("__i", inside).join(F.broadcast(offsets), "__p")
-    return placed.select(*df.columns, (F.col("__before") + F.col("__i") - 1).alias("record_index"))
+    placed = ranged.withColumn("__p", part).join(F.broadcast(offsets), "__p")
+    return placed.select(*df.columns, (F.col("__before") + F.col("__m").bitwiseAND((1 << 33) - 1)).alias("record_index"))
 
 
 def chunked(df: DataFrame, records: int, skip: tuple[int, ...] = ()) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import BARCODE, BARCODE_ERRORS, PART, infix_within, parts, windows
+from strandloom.session import stored
+
+#: Rows of one key that a task compares with others; what a key has beyond is dealt out to further tasks.
+HOT = 5000
+#: Bases of the stretches by which pairs are screened before edit distance is computed.
+GRAM = 4
+#: Hot keys are broadcast up to so many rows; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def bad_barcodes(records: DataFrame) -> DataFrame:
@@ -14,6 +22,36 @@ def bad_barcodes(records: DataFrame) -> DataFrame:
     return bad.groupBy("barcode").agg(F.count("*").alias("records"))
 
 
+def grams(barcodes: DataFrame) -> DataFrame:
+    """barcodes (barcode) with g0 to g3: 256 bits, of which every stretch of GRAM bases that it holds sets one by its hash."""
+    held = F.transform(F.sequence(F.lit(0), F.lit(BARCODE - GRAM)), lambda i: F.hash(F.substring("barcode", i + 1, F.lit(GRAM))))
+    word = "aggregate(__held, 0L, (s, x) -> if(shiftright(x, 6) & 3 = {}, s | shiftleft(1L, x & 63), s))"
+    return barcodes.withColumn("__held", held).select("barcode", *[F.expr(word.format(i)).alias(f"g{i}") for i in range(4)])
+
+
+def may_be_near(errors: int) -> Column:
+    """Of a pair within `errors` edits, b lacks at most GRAM of a's stretches for each edit. Most that meet lack far more."""
+    lacks = [f"bit_count(a{i} & ~b{i})" for i in range(4)]
+    return F.expr(" + ".join(lacks)) <= GRAM * errors
+
+
+def meeting(probe: DataFrame, index: DataFrame, on: list[str], hot: int = HOT) -> DataFrame:
+    """probe and index joined by equal keys `on`.
+
+    Of keys with more than `hot` rows in probe, these are dealt to several tasks, and index rows are sent to each.
+    """
+    counts = probe.groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot)
+    salts = stored(counts.select(*on, F.ceil(F.col("__n") / hot).cast("int").alias("__s")), "hot")
+    n = salts.count()
+    if not n:
+        return probe.join(index, on)
+    salts = F.broadcast(salts) if n <= BROADCAST_ROWS else salts
+    many = F.coalesce("__s", F.lit(1))
+    left = probe.join(salts, on, "left").select(*probe.columns, F.pmod(F.xxhash64("a"), many).cast("int").alias("__salt"))
+    right = index.join(salts, on, "left").select(*index.columns, F.explode(F.sequence(F.lit(0), many - 1)).alias("__salt"))
+    return left.join(right, [*on, "__salt"])
+
+
 def similar_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -21,6 +59,7 @@ def similar_pairs(
     recall: str = "complete",
     errors: int = BARCODE_ERRORS,
     on_bad_base: str = "drop",
+    hot: int = HOT,
 ) -> DataFrame:
     """(a, b, cost): pairs of distinct barcodes, a of left and b of right, within `errors` edits; equal ones included.
 
@@ -35,23 +74,29 @@ def similar_pairs(
     if on_bad_base == "fail":
         wrong = F.raise_error(F.concat(F.lit("not a barcode: "), F.col("barcode"))).cast("boolean")
         fit = F.when(fit, True).when(F.col("barcode").isNull(), False).otherwise(wrong)
-    a = left.filter(fit).select(F.col("barcode").alias("a")).distinct()
-    b = right.filter(fit).select(F.col("barcode").alias("b")).distinct()
+    # written, so that bits are computed once
+    one = stored(grams(left.filter(fit).select("barcode").distinct()), "grams")
+    other = one if right is left else stored(grams(right.filter(fit).select("barcode").distinct()), "grams")
+    a, b = (d.toDF(n, *[f"{n}{i}" for i in range(4)]) for d, n in ((one, "a"), (other, "b")))
+    a_words, b_words = a.columns, b.columns
     whole = recall == "complete"
-    probe = a.select("a", F.explode(parts(F.col("a"), PART, whole)).alias("p")).select("a", "p.place", "p.kmer")
-    if whole and match == "global":
-        # equal lengths: insertions equal deletions, so errors shift a part by at most half their number
-        shift = errors // 2
+    probe = a.select(*a_words, F.explode(parts(F.col("a"), PART, whole)).alias("p")).select(*a_words, "p.place", "p.kmer")
+    if whole:
+        # a part that errors leave whole is shifted by insertions less deletions before it, and in infix mode by what of
+        # the text lies before the match: at most `errors` in all; of equal whole strings, insertions equal deletions
+        shift = errors // 2 if match == "global" else errors
         offsets = [(i, i + d) for i in range(0, BARCODE, PART) for d in range(-shift, shift + 1) if 0 <= i + d <= BARCODE - PART]
         spots = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(j).alias("at")) for i, j in offsets])
-        index = b.select("b", F.explode(spots).alias("s")).select(
-            "b", "s.place", F.substring("b", F.col("s.at") + 1, F.lit(PART)).alias("kmer")
+        index = b.select(*b_words, F.explode(spots).alias("s")).select(
+            *b_words, "s.place", F.substring("b", F.col("s.at") + 1, F.lit(PART)).alias("kmer")
         )
-        met = probe.join(index.distinct(), ["place", "kmer"])
+        met = meeting(probe, index, ["place", "kmer"], hot)
     else:
-        index = b.select("b", F.explode(windows(F.col("b"), PART, whole)).alias("kmer"))
-        met = probe.select("a", "kmer").join(index, "kmer")
-    met = met.select("a", "b").distinct()
+        index = b.select(*b_words, F.explode(windows(F.col("b"), PART, whole)).alias("kmer"))
+        met = meeting(probe.select(*a_words, "kmer"), index, ["kmer"], hot)
+    # most of what meets isn't near: tests come before repeated pairs are sent to one task
+    met = met.filter(may_be_near(errors)).select("a", "b")
     if match == "infix":
-        return met.filter(infix_within(F.col("a"), F.col("b"), errors)).select("a", "b", F.lit(None).cast("int").alias("cost"))
-    return met.withColumn("cost", F.levenshtein("a", "b", errors)).filter("cost >= 0")
+        near = met.filter(infix_within(F.col("a"), F.col("b"), errors)).distinct()
+        return near.select("a", "b", F.lit(None).cast("int").alias("cost"))
+    return met.withColumn("cost", F.levenshtein("a", "b", errors)).filter("cost >= 0").distinct()

@@ -30,6 +30,20 @@ def locate(reads: DataFrame, element: str, head: int = HEAD, most: int = PRECISE
     )
 
 
+def locate_both(reads: DataFrame, element: str, head: int = HEAD, most: int = PRECISE) -> DataFrame:
+    """locate() on both strands in one pass: a row, with column strand, for each strand that holds the head. Without seq."""
+    strands = F.array(
+        F.struct(F.lit("forward").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("rc").alias("strand"), revcomp(F.col("seq")).alias("s"))
+    )
+    long = reads.filter(F.char_length("seq") >= len(element[:head]) - most)  # shorter ones can't hold it
+    asked = long.select(*[c for c in reads.columns if c != "seq"], F.explode(strands).alias("__t"))
+    found = asked.withColumn("__m", fuzzy_find(F.col("__t.s"), element[:head], most)).filter("__m.cost is not null")
+    return found.select(
+        *[c for c in reads.columns if c != "seq"], F.col("__m.start").alias("sine_start"), F.col("__m.end").alias("sine_end"),
+        F.col("__m.cost").alias("cost"), "__t.strand",
+    )
+
+
 def locate_each(reads: DataFrame, elements: dict[str, str], head: int = HEAD, most: int = PRECISE) -> DataFrame:
     """locate() for several elements, given by name, in one pass: a row for each element that a read holds."""
     given = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v[:head]).alias("head")) for k, v in elements.items()])
@@ -72,6 +86,11 @@ def consensus_distances(centers: DataFrame, element: str, head: int = HEAD, most
     )
 
 
+def mean_distance(distances: DataFrame, column: str = "distance") -> DataFrame:
+    """One row: (centers, mean), over the centres that have a distance."""
+    return distances.agg(F.count(column).alias("centers"), F.avg(column).alias("mean"))
+
+
 def distance_histogram(distances: DataFrame, column: str = "distance") -> DataFrame:
     """(distance, centers) in order."""
     return distances.groupBy(F.col(column).alias("distance")).agg(F.count("*").alias("centers")).orderBy("distance")

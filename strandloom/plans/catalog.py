@@ -1,7 +1,8 @@
 """Registered queries over the given tables, with the SQL that each is held against.
 
 The tables hold prose, so reads are made from documents: letters become bases. A read's id is its doc_id as text and
-its place the doc_id itself.
+its place the doc_id itself. Barcodes are all disjoint pieces of every read, each a record of its own; its sample goes by
+the number in the document's source.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import (
-    BARCODE, but_suffix, cut, dna, fake_quality, first_token, parts, revcomp, suffix, windows,
+    but_suffix, cut, dna, fake_quality, first_token, parts, pieces, revcomp, suffix, windows,
 )
 from strandloom.operators import chunk, graph, lineage, merge, neighbors, sine
 from strandloom.operators.simjoin import similar_pairs
@@ -23,13 +24,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: A word that is searched, its errors, and the reads' length and overlaps, in turn.
 WORD, WORD_ERRORS, READ, OVERLAPS = "ACGTTGCAATCG", 2, 150, (20, 45, 0, 80, 30, 120)
+#: More pieces than any text has.
+PLACES = 1 << 26
 
 #: The start of every oracle: reads and barcodes as below.
 READS_SQL = r"""
 with reads as materialized (select doc_id as record_index, doc_id::varchar as id, upper(regexp_replace(translate(lower(text),
-  'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), '[^acgt]', '', 'g')) as seq from documents
+  'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), '[^acgt]', '', 'g')) as seq,
+  if(coalesce(try_cast(regexp_extract(source, '[0-9]+') as int), 0) % 2 = 0, 'even', 'odd') as sample from documents
   where text is not null),
-bc as materialized (select record_index, id, seq[1:36] as barcode from reads where length(seq) >= 36)"""
+bc as materialized (select record_index * 67108864 + i as record_index, id || ':' || i as id, seq[i * 36 + 1 : i * 36 + 36] as barcode,
+  sample from (select *, unnest(range(length(seq) // 36)) as i from reads))"""
 REVCOMP_SQL = "reverse(translate({}, 'ACGT', 'TGCA'))"
 
 
@@ -46,22 +51,44 @@ def query(sql: str | None = None):
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("text is not null")
+    return _reads(spark, sf_dir).drop("source")
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").filter("text is not null")
     cores = spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:  # a file of one row group is one task; larger inputs stay where they are
         docs = docs.repartition(cores)
-    return docs.select(F.col("doc_id").alias("record_index"), F.col("doc_id").cast("string").alias("id"), dna(F.col("text")).alias("seq"))
+    return docs.select(
+        F.col("doc_id").alias("record_index"), F.col("doc_id").cast("string").alias("id"), dna(F.col("text")).alias("seq"), "source"
+    )
 
 
 def barcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Barcodes are written once: the queries below use them several times, and their making costs more than they do."""
-    r = reads(spark, sf_dir).filter(F.char_length("seq") >= BARCODE)
-    return stored(r.select("record_index", "id", F.left("seq", F.lit(BARCODE)).alias("barcode")), "barcodes")
+    """(record_index, id, barcode, sample) of every piece of every read.
 
+    Barcodes are written once: the queries below use them several times, and their making costs more than they do.
+    """
+    r = _reads(spark, sf_dir).select("record_index", "id", "source", F.explode(pieces(F.col("seq"))).alias("p"))
+    number = F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("int"), F.lit(0))
+    return stored(
+        r.select(
+            (F.col("record_index") * PLACES + F.col("p.place")).alias("record_index"), F.concat_ws(":", "id", "p.place").alias("id"),
+            F.col("p.piece").alias("barcode"), F.when(number % 2 == 0, "even").otherwise("odd").alias("sample"),
+        ),
+        "barcodes",
+    )
 
-def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    b = barcoded(spark, sf_dir)
-    return b.filter("record_index % 2 = 0"), b.filter("record_index % 2 = 1")
+
+def samples(barcodes: DataFrame) -> dict[str, DataFrame]:
+    return {name: barcodes.filter(F.col("sample") == name) for name in ("even", "odd")}
+
+
+def each_sample(f: Callable[[DataFrame, DataFrame], DataFrame], barcodes: DataFrame) -> DataFrame:
+    """f of each sample and the other one, with the name of the former."""
+    both = samples(barcodes)
+    made = [f(both[x], both[y]).withColumn("sample", F.lit(x)) for x, y in (("even", "odd"), ("odd", "even"))]
+    return made[0].unionByName(made[1])
 
 
 def element(spark: SparkSession, sf_dir: str) -> str:
@@ -110,35 +137,36 @@ def kmer_windows(spark, sf_dir):
     return barcoded(spark, sf_dir).select("id", F.explode(windows(F.col("barcode"), complete=False)).alias("kmer"))
 
 
-@query(""", x as (select id, unnest(range(27)) as j, barcode from bc)
-select substr(barcode, j + 1, 9) as kmer, barcode, array_to_string(list_sort(list(distinct id)), ',') as ids from x group by 1, 2""")
+@query(""", x as (select distinct id, unnest(range(27)) as j, barcode from bc)
+select distinct substr(barcode, j + 1, 9) as kmer, barcode, id from x""")
 def kmer_dictionary(spark, sf_dir):
-    return neighbors.dictionary(barcoded(spark, sf_dir)).withColumn("ids", F.array_join("ids", ","))
+    return neighbors.dictionary(barcoded(spark, sf_dir))
 
 
 @query(""", x as (select barcode, arg_max(id, record_index) as id from bc group by 1), y as (select *, unnest(range(27)) as j from x)
-select distinct substr(barcode, j + 1, 9) as kmer, barcode, id as ids from y""")
+select distinct substr(barcode, j + 1, 9) as kmer, barcode, id from y""")
 def kmer_dictionary_last(spark, sf_dir):
-    return neighbors.dictionary(barcoded(spark, sf_dir), keep="last").withColumn("ids", F.array_join("ids", ","))
+    return neighbors.dictionary(barcoded(spark, sf_dir), keep="last")
 
 
 # -- similarity joins
 
-COMPAT_SQL = """, d as (select distinct barcode as b from bc),
+COMPAT_SQL = """, d as materialized (select distinct barcode as b from bc),
 w as (select distinct b, substr(b, j + 1, 9) as k from (select b, unnest(range(27)) as j from d)),
 p as (select distinct b, substr(b, i * 9 + 1, 9) as k from (select b, unnest(range(3)) as i from d)),
-met as materialized (select distinct p.b as a, w.b as b from p join w using (k)),
-compat as materialized (select a, b, levenshtein(a, b)::int as cost from met where levenshtein(a, b) <= 3)"""
-#: Every pair with four disjoint parts, at any offset: no pair within three edits is missed.
-COMPLETE_SQL = """, d as (select distinct barcode as b from bc),
+met as (select p.b as a, w.b as b from p join w using (k)),
+compat as materialized (select distinct a, b, levenshtein(a, b)::int as cost from met where levenshtein(a, b) <= 3)"""
+#: Every pair with a part that is whole, at any offset: no pair within three edits is missed.
+COMPLETE_SQL = """, d as materialized (select distinct barcode as b from bc),
 w as (select distinct b, substr(b, j + 1, 9) as k from (select b, unnest(range(28)) as j from d)),
 p as (select distinct b, substr(b, i * 9 + 1, 9) as k from (select b, unnest(range(4)) as i from d)),
-met as materialized (select distinct p.b as a, w.b as b from p join w using (k)),
-full_ as materialized (select a, b, levenshtein(a, b)::int as cost from met where levenshtein(a, b) <= 3)"""
-INFIX = " or ".join(
+met as (select p.b as a, w.b as b from p join w using (k)),
+full_ as materialized (select distinct a, b, levenshtein(a, b)::int as cost from met where levenshtein(a, b) <= 3)"""
+#: What lies within three edits of a part of a text is within six of the text.
+INFIX = "levenshtein(a, b) <= 6 and (" + " or ".join(
     f"levenshtein(a, substr(b, {start + 1}, {n})) <= 3" for n in range(33, 37) for start in range(37 - n)
-)
-INFIX_SQL = COMPLETE_SQL + f", infix as materialized (select a, b from met where {INFIX})"
+) + ")"
+INFIX_SQL = COMPLETE_SQL + f", infix as materialized (select distinct a, b from met where {INFIX})"
 
 
 @query(COMPAT_SQL + " select a, b, cost from compat")
@@ -147,14 +175,13 @@ def neighbor_pairs_compat(spark, sf_dir):
     return similar_pairs(b, b, recall="compat")
 
 
-@query(""", d as (select distinct barcode as b from bc)
-select x.b as a, y.b as b, levenshtein(x.b, y.b)::int as cost from d x join d y on levenshtein(x.b, y.b) <= 3""")
+@query(COMPLETE_SQL + " select a, b, cost from full_")
 def neighbor_pairs_complete(spark, sf_dir):
     b = barcoded(spark, sf_dir)
     return similar_pairs(b, b)
 
 
-@query(COMPAT_SQL + f" select a, b from met where {INFIX}")
+@query(COMPAT_SQL + f" select distinct a, b from met where {INFIX}")
 def neighbor_pairs_infix_compat(spark, sf_dir):
     b = barcoded(spark, sf_dir)
     return similar_pairs(b, b, "infix", "compat").select("a", "b")
@@ -226,30 +253,32 @@ def initial_singletons(spark, sf_dir):
     return lineage.exact_copies(barcoded(spark, sf_dir)).select("record_index", "id", "barcode", "copies", "maybe_new")
 
 
-@query(INFIX_SQL + """, s as (select *, count(*) over (partition by barcode) as n from bc)
-select s.record_index, s.id, s.barcode, exists (select 1 from infix join bc o on o.barcode = infix.b
-  where infix.a = s.barcode and o.id <> s.id) as is_inherited from s where n = 1""")
+@query(INFIX_SQL + """, s as (select *, count(*) over (partition by barcode) as n from bc),
+i as (select distinct s.record_index from s join infix on infix.a = s.barcode join bc o on o.barcode = infix.b where n = 1 and o.id <> s.id)
+select s.record_index, s.id, s.barcode, i.record_index is not null as is_inherited from s left join i using (record_index) where n = 1""")
 def new_or_inherited(spark, sf_dir):
     return lineage.new_or_inherited(barcoded(spark, sf_dir))
 
 
-CROSS_SQL = INFIX_SQL + """, m as materialized (select x.record_index, x.id, x.barcode, (select count(distinct o.id) from infix
-  join bc o on o.barcode = infix.b where infix.a = x.barcode and o.record_index % 2 = 1) as matches from bc x where record_index % 2 = 0)"""
+CROSS_SQL = """, m as (select infix.a, o.sample as other, count(distinct o.id) as n from infix join bc o on o.barcode = infix.b group by all),
+x as materialized (select bc.*, coalesce(n, 0) as matches from bc left join m on m.a = bc.barcode and m.other <> bc.sample)"""
 
 
-@query(CROSS_SQL + " select *, matches = 0 as unmatched, matches = 1 as single_match from m")
+@query(INFIX_SQL + CROSS_SQL + " select *, matches = 0 as unmatched, matches = 1 as single_match from x")
 def cross_sample_new(spark, sf_dir):
-    return lineage.cross_sample(*samples(spark, sf_dir))
+    """Each sample's records against the other sample."""
+    return each_sample(lineage.cross_sample, barcoded(spark, sf_dir))
 
 
-@query(DENSE_SQL + f""", infix as (select a, b from met where {INFIX}),
-m as (select x.id, (select count(*) from infix join bc o on o.barcode = infix.b where infix.a = x.barcode
-  and o.record_index % 2 = 1) as matches from bc x where record_index % 2 = 0)
-select bucket, case when bucket = 1 then (select count(*) from m where matches = 0) else barcodes end as barcodes from dense""")
+@query(INFIX_SQL + CROSS_SQL + """, n as (select full_.a, o.sample, count(distinct o.id) as n from full_ join bc o on o.barcode = full_.b group by all),
+h as (select bc.sample, coalesce(n, 0) as neighbors, count(*) as barcodes from bc left join n on n.a = bc.barcode and n.sample = bc.sample group by all),
+dense as (select s.sample, b as bucket, coalesce(sum(barcodes), 0)::bigint as barcodes from (values ('even'), ('odd')) s(sample)
+  cross join range(50) r(b) left join h on h.sample = s.sample and least(h.neighbors, 49) = r.b group by all)
+select sample, bucket, case when bucket = 1 then (select count(*) from x where x.sample = dense.sample and matches = 0)
+  else barcodes end as barcodes from dense""")
 def patched_histogram(spark, sf_dir):
-    dense = neighbors.dense_histogram(neighbors.neighbor_counts(barcoded(spark, sf_dir)))
-    n = lineage.cross_sample(*samples(spark, sf_dir)).agg(F.count_if("unmatched").alias("__n"))
-    return neighbors.patched(dense.crossJoin(n), 1, F.col("__n")).drop("__n")  # one row
+    """Each sample's own histogram, its bucket 1 replaced by how many of its records the other sample doesn't match."""
+    return each_sample(lineage.patched_histogram, barcoded(spark, sf_dir))
 
 
 # -- the similarity graph
@@ -274,7 +303,7 @@ def graph_edges(spark, sf_dir):
 def graph_union(spark, sf_dir):
     """The union of what two disjoint parts of the barcodes find against all of them."""
     b = barcoded(spark, sf_dir)
-    halves = [similar_pairs(h, b, "infix").filter("a <> b") for h in samples(spark, sf_dir)]
+    halves = [similar_pairs(h, b, "infix").filter("a <> b") for h in samples(b).values()]
     return graph.union(*[h.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")) for h in halves])
 
 
@@ -318,18 +347,34 @@ def clique_numbers(spark, sf_dir):
     return graph.clique_numbers(*_graph(spark, sf_dir))
 
 
+#: Every clique of the components that aren't cliques, grown by later neighbours of all its members.
+CLIQUES_SQL = STATS_SQL + """, open_ as (select component, nodes from stats where not is_clique),
+after_ as materialized (select component, src, list(dst) as later from e join comp on e.src = comp.barcode join open_ using (component) group by all),
+q(component, later, k) as (select component, later, 1 from after_ union all
+  select q.component, list_intersect(q.later, coalesce(a.later, [])), k + 1
+  from (select component, later, k, unnest(later) as v from q) q left join after_ a on a.src = q.v)"""
+_recursive("clique_numbers", CLIQUES_SQL + " select component, nodes, max(k) as clique_number from q join open_ using (component) group by 1, 2")
+
+
 # -- fuzzy search
 
-#: A third of the word is whole where at most two edits touch it; only starts near such a third are tried.
-THIRDS = ", ".join(f"({i}, '{WORD[i : i + 4]}')" for i in range(0, len(WORD), 4))
-LOCATE_SQL = f""", spot as (select record_index, seq, unnest(range(length(seq) - 3)) as p from reads),
-near as (select record_index, seq, p - o as f from spot join (values {THIRDS}) t(o, third) on seq[p + 1 : p + 4] = third),
-s as (select distinct record_index, seq, f + d as start from near, (values (-2), (-1), (0), (1), (2)) x(d) where f + d >= 0),
-l as (select *, unnest(range({len(WORD) - WORD_ERRORS}, {len(WORD) + WORD_ERRORS + 1})) as n from s),
-m as (select record_index, start, start + n as stop, levenshtein(seq[start + 1 : start + n], '{WORD}') as cost from l
+def locate_sql(word: str, name: str = "") -> str:
+    """Where the word occurs best in each read, as table {name}best.
+
+    A third of the word is whole where at most two edits touch it; only starts near such a third are tried.
+    """
+    thirds = ", ".join(f"({i}, '{word[i : i + 4]}')" for i in range(0, len(word), 4))
+    return f""", {name}spot as (select record_index, seq, unnest(range(length(seq) - 3)) as p from reads),
+{name}near as (select record_index, seq, p - o as f from {name}spot join (values {thirds}) t(o, third) on seq[p + 1 : p + 4] = third),
+{name}s as (select distinct record_index, seq, f + d as start from {name}near, (values (-2), (-1), (0), (1), (2)) x(d) where f + d >= 0),
+{name}l as (select *, unnest(range({len(word) - WORD_ERRORS}, {len(word) + WORD_ERRORS + 1})) as n from {name}s),
+{name}m as (select record_index, start, start + n as stop, levenshtein(seq[start + 1 : start + n], '{word}') as cost from {name}l
   where start + n <= length(seq)),
-best as (select record_index, arg_min({{'start': start, 'stop': stop, 'cost': cost}}, cost * 1e12 + start * 1e4 - stop + start) as b
-  from m where cost <= {WORD_ERRORS} group by 1)"""
+{name}best as (select record_index, arg_min({{'start': start, 'stop': stop, 'cost': cost}}, cost * 1e12 + start * 1e4 - stop + start) as b
+  from {name}m where cost <= {WORD_ERRORS} group by 1)"""
+
+
+LOCATE_SQL = locate_sql(WORD)
 
 
 @query(LOCATE_SQL + " select record_index, b.start::int as sine_start, b.stop::int as sine_end, b.cost::int as cost from best")
@@ -358,21 +403,12 @@ def sine_bodies(spark, sf_dir):
     return sine.bodies(sine.locate(reads(spark, sf_dir), WORD, most=WORD_ERRORS)).select("record_index", "sine")
 
 
-@query(
-    LOCATE_SQL.replace("best as", "best1 as")
-    + f""", one as (select record_index, 'word' as element, b.start::int as sine_start, b.stop::int as sine_end, b.cost::int as cost
-  from best1), hit as (select record_index, instr(seq, '{WORD[::-1]}') as p from reads)
-select * from one union all select record_index, 'reversed', (p - 1)::int, (p - 1 + {len(WORD)})::int, 0 from hit where p > 0"""
-)
-def locate_each(spark, sf_dir):
-    """The word with errors and, where it occurs without any, its mirror image: several elements at once."""
-    found = sine.locate_each(reads(spark, sf_dir), {"word": WORD, "reversed": WORD[::-1]}, most=WORD_ERRORS)
-    return found.filter("element = 'word' or cost = 0").drop("id", "seq")
+EACH_SQL = """ select record_index, '{0}' as element, b.start::int as sine_start, b.stop::int as sine_end, b.cost::int as cost from {1}best"""
 
 
-@query()
-def locate_each_inexact(spark, sf_dir):
-    """locate_each with errors in both elements."""
+@query(LOCATE_SQL + locate_sql(WORD[::-1], "mirror_") + EACH_SQL.format("word", "") + " union all" + EACH_SQL.format("reversed", "mirror_"))
+def locate_each(spark, sf_dir):
+    """The word and its mirror image, both with errors: several elements at once."""
     return sine.locate_each(reads(spark, sf_dir), {"word": WORD, "reversed": WORD[::-1]}, most=WORD_ERRORS).drop("id", "seq")
 
 
@@ -385,9 +421,7 @@ def dense_histogram_of_others(spark, sf_dir):
 @query()
 def locate_element(spark, sf_dir):
     """The precise search with its own constants, on both strands."""
-    r, e = reads(spark, sf_dir), element(spark, sf_dir)
-    found = [sine.locate(r, e, strand=s).drop("seq").withColumn("strand", F.lit(s)) for s in ("forward", "rc")]
-    return found[0].unionByName(found[1])
+    return sine.locate_both(reads(spark, sf_dir), element(spark, sf_dir))
 
 
 def mates(r: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -418,13 +452,37 @@ def mates(r: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r1, r2
 
 
-@query()
+#: Where each of OVERLAPS begins and how long its pair is, in turn over the whole sequence.
+CUTS = ", ".join(f"({i}, {sum(2 * READ - n for n in OVERLAPS[:i])}, {2 * READ - OVERLAPS[i]})" for i in range(len(OVERLAPS)))
+CYCLE = sum(2 * READ - n for n in OVERLAPS)
+MERGE_SQL = f""", cuts(i, first, n) as (values {CUTS}),
+turns as (select *, unnest(range((length(seq) - 1) // {CYCLE} + 1)) as c from reads where seq <> ''),
+piece as (select record_index, id || ':' || (c * {len(OVERLAPS)} + i) as id, n, seq[c * {CYCLE} + first + 1 : c * {CYCLE} + first + n] as piece
+  from turns, cuts where c * {CYCLE} + first < length(seq)),
+mate as materialized (select record_index, id, left(piece, case when length(piece) = n then {READ} else (length(piece) + 1) // 2 end) as s1,
+  right(piece, case when length(piece) = n then {READ} else length(piece) // 2 end) as s2 from piece),
+tried as (select *, unnest(range(length(s2) + 1)) as p from mate where length(s1) >= 20),
+tries as (select *, unnest(range(16, 25)) as len from tried),
+seeded as materialized (select id, arg_min(p, c * 1e9 + p * 1e4 - len) as s from (
+  select id, p, len, levenshtein(right(s1, 20), s2[p + 1 : p + len]) as c from tries where p + len <= length(s2)) where c <= 4 group by 1),
+asked as materialized (select mate.*, s, s + 20 as n, greatest(4, ceil((s + 20) * 10 / 100))::int as k from mate join seeded using (id)),
+found as materialized (select *, levenshtein(right(s1, n), left(s2, n)) <= k as direct from asked),
+wide as (select id, s1, s2, n, k, p, unnest(range(greatest(n - k, 0), n + k + 1)) as len
+  from (select *, unnest(range(length(s2) + 1)) as p from found where not direct)),
+more as (select distinct id from wide where p + len <= length(s2) and levenshtein(right(s1, n), s2[p + 1 : p + len]) <= k),
+merged as materialized (select mate.*, f.s, f.n, coalesce(f.direct or more.id is not null, false) as merged
+  from mate left join found f using (id) left join more on more.id = mate.id),
+pairs as materialized (select record_index, id, case when merged then left(s1, greatest(length(s1) - n, 0)) || s2 else s1 || s2 end as seq,
+  s::int as seed_start, case when merged then n else 0 end::int as overlap, merged from merged)"""
+
+
+@query(MERGE_SQL + " select record_index, id, seq, repeat('?', length(seq)) as qual, seed_start, overlap, merged from pairs")
 def merge_pairs(spark, sf_dir):
     """Mates of READ bases, made from the whole of every read."""
     return merge.merge_pairs(merge.pair_up(*mates(reads(spark, sf_dir)), same_id=True))
 
 
-@query()
+@query(MERGE_SQL + " select count(*) as pairs, count(seed_start) as seeded, count(*) filter (merged) as merged from pairs")
 def merge_counts(spark, sf_dir):
     return merge.merge_counts(merge_pairs(spark, sf_dir))
 
@@ -436,6 +494,13 @@ def consensus_distances(spark, sf_dir):
     return sine.distance_histogram(sine.consensus_distances(centers, element(spark, sf_dir)))
 
 
+@query()
+def consensus_mean(spark, sf_dir):
+    """The mean of the same distances."""
+    centers = reads(spark, sf_dir).select("record_index", F.col("seq").alias("center"))
+    return sine.mean_distance(sine.consensus_distances(centers, element(spark, sf_dir)))
+
+
 # -- order, chunks, samples, files
 
 

@@ -6,7 +6,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from strandloom import cli
+from strandloom import cli, session
 from strandloom.operators import chunk, merge, sine
 from strandloom.plans import catalog
 from strandloom.sources import fastx
@@ -48,7 +48,7 @@ def test_merge(spark):
 def test_registered_pairs_hold_the_whole_text(spark, tmp_path):
     rng = random.Random(4)
     texts = {i: "".join(rng.choice("abcd") for _ in range(n)) for i, n in enumerate([0, 3, 30, 279, 280, 281, 1505, 4000])}
-    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("source", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/documents.parquet")
     got, as_bases = {}, str.maketrans("abcd", "ACGT")
     rows = catalog.QUERIES["merge_pairs"](spark, str(tmp_path)).collect()
     for r in rows:
@@ -87,6 +87,8 @@ def test_candidates_locate_and_cut(spark):
     found = sine.locate(r, ELEMENT)
     assert {(x.id, x.sine_start, x.cost) for x in found.collect()} == {("at36", 36, 0), ("at35", 35, 0), ("worn", 50, 10)}
     assert ids(sine.locate(r, ELEMENT, strand="rc")) == {"back"}
+    strands = {(x.id, x.strand, x.sine_start, x.cost) for x in sine.locate_both(r, ELEMENT).collect()}
+    assert strands == {("at36", "forward", 36, 0), ("at35", "forward", 35, 0), ("worn", "forward", 50, 10), ("back", "rc", 40, 0)}
     both = sine.locate_each(r, {"e": ELEMENT, "f": BASES[200:267]}).select("id", "element").collect()
     assert {tuple(x) for x in both} == {("at36", "e"), ("at35", "e"), ("worn", "e"), ("none", "f")}
     cut = {x.id: x.barcode for x in sine.barcodes(found).collect()}
@@ -98,8 +100,8 @@ def test_each_element_is_located_with_errors(spark, tmp_path):
     words = {"word": catalog.WORD, "reversed": catalog.WORD[::-1]}
     seqs = [BASES[:60] + spoil(w, *places) + BASES[90:120] for w in words.values() for places in ((), (5,), (3, 8), (1, 5, 9))]
     rows = [(i, s.lower().translate(str.maketrans("acgt", "abcd"))) for i, s in enumerate(seqs)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in catalog.QUERIES["locate_each_inexact"](spark, str(tmp_path)).select("record_index", "element", "sine_start", "sine_end", "cost").collect()}
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s1")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["locate_each"](spark, str(tmp_path)).select("record_index", "element", "sine_start", "sine_end", "cost").collect()}
     found = {(i, name, *brute(w, s, 2)) for i, s in enumerate(seqs) for name, w in words.items()}
     assert got == {x for x in found if x[-1] >= 0}
     assert {x[-1] for x in got if x[1] == "reversed"} == {0, 1, 2}
@@ -111,6 +113,7 @@ def test_sample_and_centers(spark):
     c = spark.createDataFrame([(ELEMENT[:67],), (spoil(ELEMENT[:67], 30),), ("ACGT",)], ["center"])
     got = [(x.distance, x.centers) for x in sine.distance_histogram(sine.consensus_distances(c, ELEMENT)).collect()]
     assert got == [(0, 1), (1, 1)]
+    assert tuple(sine.mean_distance(sine.consensus_distances(c, ELEMENT)).first()) == (2, 0.5)
 
 
 def test_record_index_and_chunks(spark):
@@ -175,6 +178,41 @@ def test_commands(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/g/stats").count() == 2
     cli.main(["split", f"{tmp_path}/r.fasta", f"{tmp_path}/s", "--records", "4", "--format", "fasta"])
     assert spark.read.text(f"{tmp_path}/s").select("part").distinct().count() == 2
+    cli.main(["dictionary", f"{tmp_path}/b", f"{tmp_path}/dict"])
+    assert spark.read.parquet(f"{tmp_path}/dict").select("id").distinct().count() == 2
+    cli.main(["fake-quality", f"{tmp_path}/r.fasta", f"{tmp_path}/q"])
+    assert {(len(r.seq), r.qual) for r in fastx.read(spark, f"{tmp_path}/q").collect()} == {(len(r.seq), "?" * len(r.seq)) for r in sines(spark).collect()}
+
+
+def test_parts_are_read_in_natural_order(spark, tmp_path):
+    (tmp_path / "r.fastq").write_text(fastq(24))
+    cli.main(["split", f"{tmp_path}/r.fastq", f"{tmp_path}/s", "--records", "2"])
+    assert [r.id for r in cli.indexed(spark, f"{tmp_path}/s").orderBy("record_index").collect()] == [f"r{i}" for i in range(24)]
+    (tmp_path / "c").mkdir()
+    cli.main(["split", f"{tmp_path}/r.fastq", f"{tmp_path}/c/reads", "--power", "1", "--skip", "3"])  # of two records each
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == sorted(f"reads.part{i}e1.fastq.gz" for i in range(12) if i != 3)
+    back = cli.indexed(spark, f"{tmp_path}/c").orderBy("record_index").collect()
+    assert [r.id for r in back] == [f"r{i}" for i in range(24) if i not in (6, 7)] and back[0].description == "r0 some words"
+
+
+def test_modes_run_one_after_the_other(spark, tmp_path):
+    (tmp_path / "e.fasta").write_text(f">e\n{ELEMENT}\n")
+    head, own, both = ELEMENT[:67], BASES[100:136], BASES[200:236]
+    samples = {"wt": [own, both, both], "old": [spoil(both, 3), BASES[300:336]]}
+    for name, cuts in samples.items():
+        (tmp_path / f"{name}.fasta").write_text("".join(f">{name}{i}\n{c}{head}\n" for i, c in enumerate(cuts)))
+        cli.main(["run", "all", f"{tmp_path}/{name}.fasta", f"{tmp_path}/e.fasta", f"{tmp_path}/o", "--sample", name, "--buckets", "5"])
+    for mode in ("cross", "bodies", "bodies", "graph", "dictionary"):
+        cli.main(["run", mode, "-", "-", f"{tmp_path}/o", "--sample", "wt", "--other", "old", "--buckets", "5"])
+    line = lambda table: spark.read.text(f"{tmp_path}/o/wt-{table}").first().value
+    assert line("histogram") == "0,1,2,0,0" and line("crossed-histogram") == "1,0,0,0,0" and line("filtered-histogram") == "0,1,2,0,0"
+    assert [r.value for r in spark.read.text(f"{tmp_path}/o/wt-bodies").collect()] == [head] * 6  # appended
+    assert spark.read.text(f"{tmp_path}/o/wt-bodies-random").count() == 6
+
+
+def test_the_package_can_be_shipped(spark):
+    session.ship(spark)
+    assert spark.range(1).mapInArrow(lambda it: it, "id long").count() == 1
 
 
 def test_stream_gives_what_the_table_gives(spark, tmp_path):
