@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandloom.session import scratch_dir
 
-SCHEMA = "file string, position long, id string, description string, seq string, qual string"
+SCHEMA = "file string, file_order long, position long, id string, description string, seq string, qual string"
 CODECS = (".gz", ".bz2", ".zst")
 RANGE_BYTES = 64 * 1024 * 1024
 ROWS = 4096
@@ -32,6 +32,7 @@ ROWS = 4096
 @dataclass
 class Piece(InputPartition):
     file: str
+    order: int
     start: int
     end: int | None  # None: to the end, through the codec
 
@@ -42,6 +43,11 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.LocalFileSystem(), path
 
 
+def natural(path: str) -> list[str | int]:
+    """A sort key that takes digits as numbers: part=2 comes before part=10."""
+    return [int(x) if i % 2 else x for i, x in enumerate(re.split(r"([0-9]+)", path))]
+
+
 def base_and_suffix(path: str) -> tuple[str, str]:
     """A file's name without and with its known suffixes: ("x/a", ".fastq.gz")."""
     m = re.search(r"(\.(?:fasta|fastq|fa|fq|txt|pickle|parquet))?(\.(?:gz|bz2|zst))?$", path)
@@ -126,11 +132,11 @@ class FastxReader(DataSourceReader):
         elif not info.is_file:
             raise FileNotFoundError(self.path)
         pieces = []
-        for f in sorted(files, key=lambda f: f.path):
+        for order, f in enumerate(sorted(files, key=lambda f: natural(f.path))):
             if f.path.endswith(CODECS):
-                pieces.append(Piece(f.path, 0, None))
+                pieces.append(Piece(f.path, order, 0, None))
             else:
-                pieces += [Piece(f.path, at, min(at + self.range, f.size)) for at in range(0, f.size, self.range)]
+                pieces += [Piece(f.path, order, at, min(at + self.range, f.size)) for at in range(0, f.size, self.range)]
         return pieces
 
     def lines(self, piece: Piece) -> Iterator[tuple[int, bytes]]:
@@ -181,15 +187,15 @@ class FastxReader(DataSourceReader):
 
         records = fasta_records(every(), self.wrapped) if kind == "fasta" else fastq_records(every())
         rows: list[tuple] = []
-        names = ["file", "position", "id", "description", "seq", "qual"]
+        names = ["file", "file_order", "position", "id", "description", "seq", "qual"]
 
         def batch() -> pa.RecordBatch:
             columns = zip(*rows, strict=True)
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for at, header, seq, qual in records:
-            rows.append((piece.file, at, (header.split() or [""])[0], header, seq, qual))
+            rows.append((piece.file, piece.order, at, (header.split() or [""])[0], header, seq, qual))
             if len(rows) == ROWS:
                 yield batch()
                 rows = []
@@ -212,7 +218,10 @@ class FastxSource(DataSource):
 
 
 def read(spark: SparkSession, path: str, kind: str = "auto", **options: str) -> DataFrame:
-    """file, position (in the file's uncompressed bytes), id, description, seq, qual; order by the first two."""
+    """file, file_order, position (in the file's uncompressed bytes), id, description, seq, qual.
+
+    file_order numbers the files in natural order, digits as numbers; order records by it and position.
+    """
     spark.dataSource.register(FastxSource)
     return spark.read.format("fastx").options(format=kind, **options).load(path)
 
@@ -247,5 +256,46 @@ def write(df: DataFrame, path: str, kind: str, compression: str = "gzip", by: st
     return path
 
 
+def append_lines(df: DataFrame, column: str, path: str) -> str:
+    """Add a text line for each row to what the folder at path holds, such as the bodies of elements; returns path."""
+    df.select(F.col(column).alias("value")).write.mode("append").text(path)
+    return path
+
+
+def write_chunks(df: DataFrame, base: str, power: int, kind: str = "fastq", level: int = 2) -> DataFrame:
+    """Write records (part, record_index, ...) as one file a part, {base}.part{i}e{power}.{kind}.gz; (part, file, records).
+
+    Each part is one task, in the order of record_index. A file appears whole under its name or not at all, and a task that
+    runs again puts the same in its place. The base may be a URI; executors must reach it.
+    """
+    ordered = df.repartition("part").sortWithinPartitions("part", "record_index").select("part", record_lines(df, kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = file_system(base)
+        out, part, number, last = None, None, 0, None
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            raw.close()
+            fs.move(last + made, last)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([last]), pa.array([number], pa.int64())], ["part", "file", "records"])
+
+        for batch in batches:
+            for p, line in zip(batch.column("part").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if p != part:
+                    if out is not None:
+                        yield done()
+                    part, number, last, made = p, 0, f"{path}.part{p}e{power}.{kind}.gz", f".{uuid.uuid4().hex}.tmp"
+                    raw = fs.open_output_stream(last + made, compression=None)
+                    out = gzip.GzipFile(filename="", fileobj=raw, mode="wb", compresslevel=level, mtime=0)
+                out.write(line.encode() + b"\n")
+                number += 1
+        if out is not None:
+            yield done()
+
+    written = ordered.select(F.col("part").cast("long").alias("part"), "value").mapInArrow(run, "part long, file string, records long")
+    return df.sparkSession.createDataFrame(written.collect(), written.schema)  # a row a file
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
