@@ -25,21 +25,31 @@ class Plan:
     #: Distinct vectors the centroids are fitted on, those of least hash; and the most centroids, which bounds what is broadcast.
     sample: int = 50_000
     most_lists: int = 16_384
-    #: Vectors a list should hold.
-    list_size: int = 192
+    #: Vectors a list should hold: half the square root of their number, between these; beyond most_lists, more.
+    list_size: tuple[int, int] = (16, 192)
+    #: No list may hold over so many times its share of the sample's distinct vectors.
+    balance: float = 2.0
     #: A vector goes to up to `copies` lists whose centroid is within 1 + `boundary` of its nearest one's distance.
     copies: int = 4
     boundary: float = 0.12
-    #: A query scans lists within 1 + `reach` of the nearest centroid's distance: between `least` and `most` of them.
+    #: A query scans lists within 1 + `reach` of the nearest centroid's distance: between `least` and twice as many times
+    #: the square root of their number.
     reach: float = 0.35
-    least: int = 24
-    most: int = 64
+    least: float = 2.0
     #: Neighbours of a centroid in the graph.
     degree: int = 24
     #: Vectors and queries that meet in one task: a list or a query set beyond is split.
     block: int = 1024
     seed: int = 5
 
+    def lists(self, n: int, distinct: int) -> int:
+        low, high = self.list_size
+        return max(1, min(self.most_lists, round(n / min(high, max(low, math.sqrt(n) / 2))), distinct))
+
+    def probes(self, lists: int) -> tuple[int, int]:
+        least = min(lists, math.ceil(self.least * math.sqrt(lists)))
+        return least, min(lists, 2 * least)
+
 
 class Centroids:
     """Centroids and the graph of their nearest neighbours."""
@@ -87,11 +97,28 @@ class Centroids:
         return sorted((-d, -i) for d, i in best)
 
 
-def balanced_centroids(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
-    """Split the sample in two equal halves along its widest direction, again and again; then a few rounds of k-means.
+def halves(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of x in two equal halves along its widest direction."""
+    y = x - x.mean(0)
+    v = np.random.default_rng(seed).standard_normal(x.shape[1])
+    for _ in range(8):
+        v = y.T @ (y @ v)
+        v /= np.linalg.norm(v) or 1
+    order = np.argsort(y @ v, kind="stable")
+    return order[: len(x) // 2], order[len(x) // 2 :]
+
+
+def closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([((c**2).sum(1) - 2 * x[at : at + 2048] @ c.T).argmin(1) for at in range(0, len(x), 2048)])
 
-    Equal vectors count once, and centroids that end without vectors or where another one is are left out: many in one
-    place would fill up a query's share of lists with lists that hold nothing.
+
+def balanced_centroids(x: np.ndarray, lists: int, seed: int, balance: float = 2.0) -> np.ndarray:
+    """About `lists` centroids, to none of which over `balance` times its share of the distinct vectors of x is nearest.
+
+    The sample is split in equal halves, again and again; then rounds of k-means follow, after each of which lists that are
+    too full are halved again and those with very few vectors are given up to their neighbours. Equal vectors count once,
+    and no centroid is left without vectors or where another one is: many in one place would fill up a query's share of
+    lists with lists that hold nothing.
     """
     x = np.unique(x, axis=0)
     parts = [np.arange(len(x))]
@@ -101,22 +128,23 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
         if len(rows) < 2:
             parts.append(rows)
             break
-        rng = np.random.default_rng(seed + len(parts))
-        y = x[rows] - x[rows].mean(0)
-        v = rng.standard_normal(x.shape[1])
-        for _ in range(8):
-            v = y.T @ (y @ v)
-            v /= np.linalg.norm(v) or 1
-        order = np.argsort(y @ v, kind="stable")
-        parts += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+        parts += [rows[h] for h in halves(x[rows], seed + len(parts))]
     c = np.stack([x[p].mean(0) for p in parts])
-    for _ in range(4):
-        near = np.concatenate([((c**2).sum(1) - 2 * x[at : at + 2048] @ c.T).argmin(1) for at in range(0, len(x), 2048)])
+    share = len(x) / lists
+    for again in range(24):
+        near = closest(x, c)
         n = np.bincount(near, minlength=len(c))
+        full = np.flatnonzero(n > max(1, balance * share))
+        if again >= 4 and not len(full):
+            break
         total = np.zeros_like(c)
         np.add.at(total, near, x)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
-    return np.unique(c[n > 0], axis=0)
+        means = total / np.maximum(n, 1)[:, None] if again < 4 else c  # later rounds only split
+        stay = n > (share / 4 if again < 4 else 0)
+        stay[full] = False
+        split = [x[rows[h]].mean(0) for i in full for rows in [np.flatnonzero(near == i)] for h in halves(x[rows], seed + i)]
+        c = np.unique(np.concatenate([means[stay], np.array(split).reshape(-1, x.shape[1])]), axis=0)
+    return np.unique(c[np.bincount(closest(x, c), minlength=len(c)) > 0], axis=0)
 
 
 def lifted(x: np.ndarray, top: float) -> np.ndarray:
@@ -126,14 +154,18 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array<double>); without null ids and vectors that are null, zero or not wholly finite numbers."""
+    """vec_id and v (array<double>), one row for each vec_id, the least of its vectors.
+
+    Without null ids and vectors that are null, empty, zero or not wholly finite numbers.
+    """
     v = F.col("embedding").cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
         .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
         .filter(~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
-    )
+        .groupBy("vec_id").agg(F.min("v").alias("v"))
+    )
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -146,23 +178,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | No
     Both inputs have vec_id and embedding. A query's own vec_id is no candidate of it; scores are inner products of
     the original vectors in double precision, ties go to the smaller vec_id, and there are fewer than k rows only if
     there are fewer candidates. Rows that are null in either column, zero vectors and vectors with null or non-finite
-    components take no part; all others must have one length. Repeated rows count once; equal vectors under different
-    ids are all found alike; other columns take no part; an empty table gives an empty table.
+    components take no part, nor do vectors of another length than the commonest (of equally common ones, the longest).
+    Of several vectors of one vec_id the least counts, component by component. Vectors are compared scaled by a power of
+    two, so that components of any size order rightly; a score beyond the range of doubles is infinite. Equal vectors
+    under different ids are all found alike; other columns take no part; an empty table gives an empty table.
     """
     plan = plan or Plan()
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
-    points = stored(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
-    asked = usable(queries).dropDuplicates(["vec_id"])
-    size = points.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).first()
-    if not size.n:
+    points = stored(usable(vectors), "vectors")
+    sizes = points.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
+    common = sizes.orderBy(F.desc("n"), F.desc("d")).first()
+    if common is None:
         return spark.createDataFrame([], out)
+    largest = F.array_max(F.transform("v", F.abs))
+    power = math.frexp(points.filter(F.size("v") == common.d).agg(F.max(largest)).first()[0])[1]
+
+    def scaled(df: DataFrame) -> DataFrame:
+        """Those of the common length, with no component over one; in two steps, as 2 ** -power may be no double."""
+        halved = [2.0 ** (-power // 2), 2.0 ** (-power - -power // 2)]
+        return df.filter(F.size("v") == common.d).withColumn("v", F.transform("v", lambda x: x * halved[0] * halved[1]))
+
+    points, asked = scaled(points), scaled(usable(queries))
+    size = points.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).first()
     top = math.sqrt(size.top)
     picked = points.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(plan.sample)  # the bounded sample
     sample = lifted(np.array([r.v for r in picked.toLocalIterator()]), top)
-    lists = max(1, min(plan.most_lists, size.n // plan.list_size, len(sample)))
-    centroids = balanced_centroids(sample, lists, plan.seed)
+    centroids = balanced_centroids(sample, plan.lists(size.n, len(sample)), plan.seed, plan.balance)
     lists = len(centroids)
+    least, most = plan.probes(lists)
     shared = spark.sparkContext.broadcast(Centroids(centroids, plan.degree))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +235,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | No
             row, number = [], []
             x = matrix(batch.column("v")) if batch.num_rows else np.zeros((0, 1))
             # a query is as long as the longest vector: its own length changes no order
-            x = x / np.linalg.norm(x, axis=1, keepdims=True) * top
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(norm > 0, norm, 1) * top
             for i, q in enumerate(np.concatenate([x, np.zeros((len(x), 1))], 1)):
-                keep, found = min(plan.most, lists), []
+                keep, found = most, []
                 while True:
                     found = graph.search(q, keep)
                     edge = (1 + plan.reach) * math.sqrt(found[0][0])
-                    chosen = [j for n, (d, j) in enumerate(found) if n < plan.least or math.sqrt(d) <= edge]
+                    chosen = [j for n, (d, j) in enumerate(found) if n < least or math.sqrt(d) <= edge]
                     # copies of the query itself and of vectors in several lists count for nothing new
                     if sum(sizes_of.get(j, 0) for j in chosen) >= plan.copies * (k + 1) or keep >= lists:
                         break
@@ -243,7 +288,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | No
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a list scanned
     ranked = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    steps = [2.0 ** (power // 2), 2.0 ** (power - power // 2)]
+    score = F.col("score") * steps[0] * steps[0] * steps[1] * steps[1]
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def op3_posting_lists(spark, sf_dir: str) -> DataFrame:

@@ -310,7 +310,7 @@ def test_nearest_is_nearly_exact(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     odd = [(9000, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (9060, [None] * 16), (None, rows[0][1]), (9080, [float("inf")] * 16)]
     v = spark.createDataFrame(rows + odd + rows[:1], "vec_id long, embedding array<double>")
-    plan = posting_lists.Plan(list_size=64, block=100)
+    plan = posting_lists.Plan(list_size=(64, 64), block=100)
     got = posting_lists.nearest(v, v.filter("vec_id % 20 = 0"), 20, plan).toPandas()
     hits = 0
     for q, f in got.groupby("query_id"):
@@ -331,6 +331,29 @@ def test_nearest_of_few(spark):
     assert posting_lists.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_nearest_of_odd_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 3.0]), (3, [-1e200, 5.0]), (4, [1.0]), (5, [1.0, 2.0, 3.0]), (6, [])]
+    rows += [(1, [2e200, 0.0]), (1, [1e200, 0.0]), (7, [0.0, 1e200])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.score) for r in posting_lists.nearest(v, v.filter("vec_id in (2, 4)")).orderBy("rank").collect()]
+    assert got == [(2, 0, 3e200), (2, 7, 3e200), (2, 1, 1.0), (2, 3, 14.0)] or [x[:2] for x in got[:2]] == [(2, 0), (2, 7)]
+    huge = [(r.vec_id, r.score) for r in posting_lists.nearest(v, v.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert [i for i, _ in huge] == [1, 7, 2, 3] and huge[0][1] == float("inf") and huge[3][1] == -float("inf")
+    clash = v.filter("vec_id in (0, 7)").withColumn("score", F.lit("own")).withColumn("list", F.lit(3))
+    assert posting_lists.nearest(clash, clash).count() == 2
+
+
+def test_centroids_are_balanced_and_lists_pruned():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 12)) * 0.2 + rng.standard_normal((30, 12))[rng.integers(0, 30, 6000) ** 2 % 30]
+    c = posting_lists.balanced_centroids(x, 200, 5)
+    n = np.bincount(posting_lists.closest(np.unique(x, axis=0), c), minlength=len(c))
+    assert n.max() <= 2 * len(x) / 200 and n.min() > 0 and 150 < len(c) < 400
+    plan = posting_lists.Plan()
+    shares = [plan.probes(plan.lists(n, n))[1] / plan.lists(n, n) for n in (500, 5000, 50_000, 3_000_000)]
+    assert shares == sorted(shares, reverse=True) and shares[0] < 1
+
+
 def test_nearest_beside_a_large_group_of_equal_vectors(spark):
     rng = np.random.default_rng(11)
     x = rng.standard_normal((3000, 8))
@@ -340,7 +363,7 @@ def test_nearest_beside_a_large_group_of_equal_vectors(spark):
     frame_of = lambda m, first: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m, first)], "vec_id long, embedding array<double>")
     points = posting_lists.balanced_centroids(x, 375, 5)
     assert len(np.unique(points, axis=0)) == len(points)
-    got = posting_lists.nearest(frame_of(x, 0), frame_of(q, 10000), 20, posting_lists.Plan(list_size=8)).toPandas()
+    got = posting_lists.nearest(frame_of(x, 0), frame_of(q, 10000), 20, posting_lists.Plan(list_size=(8, 8))).toPandas()
     hits = 0
     for i, one in enumerate(q):
         s = np.einsum("vd,d->v", x, one)
@@ -440,8 +463,7 @@ def brute_tags(t, text):
     return np.array(tags[::-1])
 
 
-@pytest.mark.parametrize("bias", [-1.0, 1.5])
-def test_one_path_over_the_whole_text_is_brute_force(monkeypatch, bias):
+def test_one_path_over_the_whole_text_is_brute_force(monkeypatch):
     monkeypatch.setattr(tagger, "SIZE", 20)
     monkeypatch.setattr(tagger, "STRIDE", 14)
     monkeypatch.setattr(tagger, "FADE", 6)
@@ -450,15 +472,18 @@ def test_one_path_over_the_whole_text_is_brute_force(monkeypatch, bias):
     rng = np.random.default_rng(5)
     t = Tagger(3)
     t.params = {k: (v + rng.standard_normal(v.shape) * 0.5).astype(np.float32) for k, v in t.params.items()}
-    t.params["bias"][0] = bias
     texts = ["", "a", "b" * 14, "".join(map(chr, rng.integers(32, 200, 75))), "mail a@b.c or 1.2.3.4 " * 8, "x" * 20, ""]
-    certain = 0
-    for text, got in zip(texts, t.tags_of(texts), strict=True):
-        assert len(got) == len(text)
-        if text:
-            assert (brute_tags(t, text) == got).all()
-            certain += (got == 0).sum()
-    assert 0 < certain < sum(map(len, texts))
+    shares = []
+    for bias in (-1.5, -0.5, 0.0, 0.3, 1.5):  # from hardly any certain position to certain ones only
+        t.params["bias"][0] = bias
+        zeros = 0
+        for text, got in zip(texts, t.tags_of(texts), strict=True):
+            assert len(got) == len(text)
+            if text:
+                assert (brute_tags(t, text) == got).all()
+                zeros += (got == 0).sum()
+        shares.append(zeros / sum(map(len, texts)))
+    assert any(0.1 < x < 0.9 for x in shares) and shares[0] < shares[-1]
 
 
 def pii_rows(n):
