@@ -197,15 +197,12 @@ class _Blocks:
         return 100 * common >= self.plan.percent * (together - common)
 
     def few(self, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-        """Sizes of intersections, one set of a at a time."""
-        flat = np.concatenate(b).view(np.uint64)
-        starts = np.cumsum([0, *map(len, b[:-1])])
-        out = []
-        for x in a:
-            x = x.view(np.uint64)  # sets are in unsigned order
-            held = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
-            out.append(np.add.reduceat(held.astype(np.int64), starts))
-        return np.array(out)
+        """Sizes of intersections, one set of a with one of b at a time."""
+        return np.array([[self.shared(x.view(np.uint64), y.view(np.uint64)) for y in b] for x in a])
+
+    def shared(self, x: np.ndarray, y: np.ndarray) -> int:
+        """How much of y is in x; sets are in unsigned order."""
+        return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
 
     def common(self, a: list[np.ndarray], b: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         """Sizes of intersections, all by products of matrices."""
