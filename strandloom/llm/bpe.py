@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCAB = "byte_bpe_50k.tiktoken"
-#: Distinct words that one recursion takes; bounds the rows DuckDB holds.
-WORDS_A_QUERY = 30_000
-#: Longer words are contracted by a loop over one table, as the recursion keeps all earlier states of a word.
-LONG_WORD = 512
+#: Words over so many bytes are contracted by the recursion with a key.
+LONG_WORD = 64
+#: Distinct words and bytes of them that one recursion takes; bounds the rows DuckDB holds. A longer word goes alone.
+WORDS_A_QUERY, BYTES_A_QUERY = 30_000, 400_000
+#: What DuckDB may take; a word longer than a query's bytes gets a quarter of a KB for each of its bytes besides.
+MEMORY_MB = 150
 #: Rows, characters of text and bytes of ids that are taken at once; a longer text is taken alone.
 ROWS, TEXT_SLICE, IDS_SLICE = 4000, 12_000_000, 1_000_000
 #: Pieces of text whose ids a Python worker keeps from one batch to the next; the rest are simply encoded again.
@@ -44,19 +46,38 @@ with recursive t(place, tok, done) as (
    from pairs p left join best b on p.place >> 10 = b.w where b.b is null or p.place & 1023 <> b.b & 1023))
 select place >> 10 as w, tok from t where done order by place
 """
-PAIRS = """
-create or replace temp table pairs as select p.*, m.rank from (
-  select pos, tok, lead(tok) over (order by pos) as nxt, row_number() over (order by pos) as nth from word) p
-left join merges m on m.a = p.tok and m.b = p.nxt
-"""
-#: One step over a long word: all occurrences of its pair of least rank, from the left, none overlapping.
-CONTRACT_ALL = """
-create or replace temp table word as
-with hit as (select nth, nth - row_number() over (order by nth) as run from pairs where rank = $rank),
-picked as (select nth from (select nth, row_number() over (partition by run order by nth) as i from hit)
-           where i % 2 = 1 and ($all or nth = (select min(nth) from hit)))
-select pos, case when a.nth is not null then $rank else p.tok end as tok
-from pairs p left join picked a on p.nth = a.nth left join picked b on p.nth = b.nth + 1 where b.nth is null
+#: The same for long words, whose earlier states would fill memory: a row's place, with 32 bits for the position, is its
+#: key, so only the newest state is kept; a token contracted into the one before is null. Long words also repeat pairs.
+#: Of a word's other pairs of the least rank those follow in the same step (`more`) that would be next anyhow: not
+#: overlapping, and up to one that makes a pair of lesser rank with what stands beside it.
+CONTRACT_LONG = """
+with recursive t(place, tok) using key (place) as (
+  select (w::bigint << 32) | pos, tok from start
+  union all
+  (with pairs as materialized (
+     select place, tok, lead(tok) over o as nxt, lead(place) over o as gone from t where tok is not null window o as (order by place)),
+   ranked as materialized (
+     select place, gone, m.rank::bigint as rank from pairs p join merges m on m.a = p.tok and m.b = p.nxt where place >> 32 = gone >> 32),
+   best as materialized (
+     select w, (w << 32) + ((least >> 10) & 4294967295) as place, least & 1023 as size, least >> 42 as rank, (w << 32) + (last & 4294967295) as last
+     from (select place >> 32 as w, min((rank << 42) + ((place & 4294967295) << 10) + (gone - place)) as least,
+                  max(((1048575 - rank) << 32) + (place & 4294967295)) as last from ranked group by 1)),
+   hits as materialized (
+     select r.place, r.gone, r.rank, row_number() over o as i, r.place is distinct from lag(r.gone) over o as first
+     from ranked r join best b on r.place >> 32 = b.w and r.rank = b.rank where b.place <> b.last window o as (order by r.place)),
+   lowering as materialized (
+     select h.place from hits h join pairs p on p.gone = h.place join merges m on m.a = p.tok and m.b = h.rank where m.rank < h.rank
+     union all
+     select h.place from hits h join pairs p on p.place = h.gone join merges m on m.a = h.rank and m.b in (p.nxt, h.rank) where m.rank < h.rank),
+   more as materialized (
+     select place, gone, rank from hits
+     qualify (i - max(i) filter (first) over (order by place)) % 2 = 0
+       and not coalesce(bool_or(place in (from lowering)) over (
+         partition by place >> 32 order by place rows between unbounded preceding and 1 preceding), false))
+   select p.place, case when p.place = b.place or k.place is not null then b.rank
+                        when p.place <> b.place + b.size and g.gone is null then p.tok end
+   from pairs p join best b on p.place >> 32 = b.w left join more k on p.place = k.place left join more g on p.place = g.gone))
+select place >> 32 as w, tok from t where tok is not null order by place
 """
 DECODE = """
 select t.r, string_agg(v.hex, '' order by t.pos) as hex from tokens t join vocab v on v.id = t.id group by t.r
@@ -96,7 +117,7 @@ class Codec:
     @property
     def db(self) -> duckdb.DuckDBPyConnection:
         if self._db is None:
-            self._db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB"})
             self.put("merges", a=self.merges[0], b=self.merges[1], rank=self.merges[2])
             self.put("vocab", id=pa.array(self.ranks.values(), pa.int32()), hex=[t.hex() for t in self.ranks])
         return self._db
@@ -116,41 +137,29 @@ class Codec:
     def contract(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
         # words of like length take like numbers of steps, each of which has a cost of its own
-        short = sorted((i for i, w in enumerate(words) if len(w) <= LONG_WORD), key=lambda i: len(words[i]))
-        for at in range(0, len(short), WORDS_A_QUERY):
-            part = short[at : at + WORDS_A_QUERY]
-            sizes = np.array([len(words[i]) for i in part])
-            data = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
-            w = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
-            pos = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            self.put("start", w=w, pos=pos, tok=self.byte_id[data])
-            got = self.db.execute(CONTRACT).fetchnumpy()
-            ids = np.asarray(got["tok"]).astype("<u4")
-            ends = np.cumsum(np.bincount(np.asarray(got["w"]), minlength=len(part)))
-            for i, begin, end in zip(part, [0, *ends], ends, strict=False):
-                out[i] = ids[begin:end].tobytes()
-        for i, word in enumerate(words):
-            if len(word) > LONG_WORD:
-                out[i] = self.contract_long(word)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        first_long = sum(len(w) <= LONG_WORD for w in words)
+        for sql, some in ((CONTRACT, order[:first_long]), (CONTRACT_LONG, order[first_long:])):
+            for run in slices(some, lambda i: len(words[i]), BYTES_A_QUERY):
+                for at in range(0, len(run), WORDS_A_QUERY):
+                    part = run[at : at + WORDS_A_QUERY]
+                    for i, ids in zip(part, self.contracted(sql, [words[i] for i in part]), strict=True):
+                        out[i] = ids
         return out
 
-    def contract_long(self, word: bytes) -> bytes:
-        """As contract(), a rank at a time. Equal pairs contract together unless one step could make a pair to go first."""
-        self.put("word", pos=np.arange(len(word)), tok=self.byte_id[np.frombuffer(word, np.uint8)])
-        one = lambda sql: self.db.execute(sql).fetchone()
-        one(PAIRS)
-        while (rank := one("select min(rank) from pairs")[0]) is not None:
-            first = f"(select tok from pairs where rank = {rank} limit 1)"
-            safe = one(f"select count(*) from merges where a = {rank} and b = {first} and rank <= {rank}")[0] == 0
-            self.db.execute("create or replace temp table before as select * from pairs").fetchall()
-            self.db.execute(CONTRACT_ALL, {"rank": rank, "all": safe}).fetchall()
-            one(PAIRS)
-            if safe and one(f"select count(*) from pairs where rank <= {rank}")[0]:
-                self.db.execute("create or replace temp table pairs as select * from before").fetchall()
-                self.db.execute(CONTRACT_ALL, {"rank": rank, "all": False}).fetchall()
-                one(PAIRS)
-        got = self.db.execute("select tok from word order by pos").fetchnumpy()
-        return np.asarray(got["tok"]).astype("<u4").tobytes()
+    def contracted(self, sql: str, words: list[bytes]) -> Iterator[bytes]:
+        sizes = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        if len(data) > BYTES_A_QUERY:  # one word that is longer than that
+            self.db.execute(f"set memory_limit = '{MEMORY_MB + len(data) // 4000}MB'")
+        self.put("start", w=w, pos=pos, tok=self.byte_id[data])
+        got = self.db.execute(sql).fetchnumpy()
+        ids = np.asarray(got["tok"]).astype("<u4")
+        ends = np.cumsum(np.bincount(np.asarray(got["w"]), minlength=len(words)))
+        for begin, end in zip([0, *ends], ends, strict=False):
+            yield ids[begin:end].tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Texts are cut where a match always begins; all pieces but a text's first have lost their space."""
@@ -271,7 +280,8 @@ def encode(
     """df with the binary column `to`: the ids of df[column] as little-endian unsigned 32-bit integers.
 
     Each match of the pattern is encoded separately, without special tokens. A null text counts as empty and has no
-    ids; repeated rows and other columns pass through; an empty table gives an empty table; no text is cut.
+    ids; repeated rows and other columns pass through; an empty table gives an empty table; no text is cut. A match takes
+    some 250 bytes of memory for each of its own, whatever its length.
     """
     return _mapped(df, [(column, to, _encoder(path or public_tokenizers.path(VOCAB), pattern), TEXT_SLICE)])
 

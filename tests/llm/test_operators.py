@@ -640,6 +640,18 @@ def test_bpe_is_tiktoken_and_comes_back(spark):
     assert bpe.encode(frame(spark, []), "text", "ids").count() == 0
 
 
+def test_long_words_are_contracted_as_the_library_would():
+    ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCAB))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pick = random.Random(8)
+    alphabets = ["ab", "the", "aeiou", "etaoinshrdlu", "=-", "ää", "ha", "abcdefghijklmnopqrstuvwxyz"]
+    made = ["".join(pick.choices(a, k=n)) for a in alphabets for n in (bpe.LONG_WORD, bpe.LONG_WORD + 1, 300, 1500)]
+    made += ["a" * n for n in (65, 66, 127, 20_001, 500_000)] + ["banana" * 30, "é" * 90, "ab" * 33]
+    codec = bpe.Codec(public_tokenizers.path(bpe.VOCAB), public_tokenizers.PATTERN)
+    for word, ids in zip(made, codec.contract([w.encode() for w in made]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library._core_bpe.encode_single_piece(word.encode()), word[:40]
+
+
 # -- queries over a small table
 
 
