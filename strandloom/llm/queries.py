@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandloom.llm.bloom_lm import op11_log_frequency_bloom
 from strandloom.llm.bpe import op10_byte_bpe
 from strandloom.llm.decontamination import OP8_SQL, op8_contained_items
 from strandloom.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_contained_items": op8_contained_items,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_log_frequency_bloom": op11_log_frequency_bloom,
 }
 ORACLES = {
     "op2_odd_sketches": OP2_SQL,

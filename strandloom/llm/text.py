@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +35,15 @@ def free_name(name: str, taken: list[str]) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of texts that hold some `chars` characters each; a longer text is taken alone."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= chars:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
