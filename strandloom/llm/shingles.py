@@ -11,6 +11,14 @@ PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
                   0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
+#: A-Z lower-cased, and a space for every other character but digits, a-z and those beyond ASCII.
+PLAIN = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256)).lower()
+
+
+def plain(texts: list[str | None]) -> list[bytes]:
+    """Texts in which only spaces separate words of digits, letters a-z and characters beyond ASCII."""
+    return [(t or "").encode("utf-8", "surrogatepass").translate(PLAIN) for t in texts]
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit integers."""
