@@ -179,8 +179,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | No
     the original vectors in double precision, ties go to the smaller vec_id, and there are fewer than k rows only if
     there are fewer candidates. Rows that are null in either column, zero vectors and vectors with null or non-finite
     components take no part, nor do vectors of another length than the commonest (of equally common ones, the longest).
-    Of several vectors of one vec_id the least counts, component by component. Vectors are compared scaled by a power of
-    two, so that components of any size order rightly; a score beyond the range of doubles is infinite. Equal vectors
+    Of several vectors of one vec_id the least counts, component by component. Vectors are placed in lists scaled by a
+    power of two; scores come from the vectors as they are. Where that overflows, the score is that of the scaled ones
+    scaled back, which may be infinite; infinite scores are in the order of those. Equal vectors
     under different ids are all found alike; other columns take no part; an empty table gives an empty table.
     """
     plan = plan or Plan()
@@ -194,16 +195,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | No
     largest = F.array_max(F.transform("v", F.abs))
     power = math.frexp(points.filter(F.size("v") == common.d).agg(F.max(largest)).first()[0])[1]
 
-    def scaled(df: DataFrame) -> DataFrame:
-        """Those of the common length, with no component over one; in two steps, as 2 ** -power may be no double."""
-        halved = [2.0 ** (-power // 2), 2.0 ** (-power - -power // 2)]
-        return df.filter(F.size("v") == common.d).withColumn("v", F.transform("v", lambda x: x * halved[0] * halved[1]))
+    halved = [2.0 ** (-power // 2), 2.0 ** (-power - -power // 2)]  # 2 ** -power may be no double
 
-    points, asked = scaled(points), scaled(usable(queries))
-    size = points.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).first()
+    def scaled(column: pa.Array) -> np.ndarray:
+        """With no component over one."""
+        return np.ldexp(matrix(column), -power)
+
+    points, asked = (df.filter(F.size("v") == common.d) for df in (points, usable(queries)))
+    square = F.aggregate(F.transform("v", lambda x: x * halved[0] * halved[1]), F.lit(0.0), lambda s, x: s + x * x)
+    size = points.agg(F.count("*").alias("n"), F.max(square).alias("top")).first()
     top = math.sqrt(size.top)
     picked = points.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(plan.sample)  # the bounded sample
-    sample = lifted(np.array([r.v for r in picked.toLocalIterator()]), top)
+    sample = lifted(np.ldexp(np.array([r.v for r in picked.toLocalIterator()]), -power), top)
     centroids = balanced_centroids(sample, plan.lists(size.n, len(sample)), plan.seed, plan.balance)
     lists = len(centroids)
     least, most = plan.probes(lists)
@@ -216,9 +219,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | No
                 part = batch.slice(at, 1024)
                 if not part.num_rows:
                     continue
-                x = lifted(matrix(part.column("v")), top)
+                x = lifted(scaled(part.column("v")), top)
                 d = np.maximum(graph.norms + (x**2).sum(1)[:, None] - 2 * x @ graph.points.T, 0)
-                near = np.argsort(d, axis=1, kind="stable")[:, : plan.copies]
+                near = np.argpartition(d, min(plan.copies, lists) - 1, axis=1)[:, : plan.copies]
+                near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
                 far = np.take_along_axis(d, near, 1)
                 row, col = (np.sqrt(far) <= (1 + plan.boundary) * np.sqrt(far[:, :1])).nonzero()
                 yield pa.RecordBatch.from_arrays(
@@ -233,7 +237,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | No
         graph = shared.value
         for batch in batches:
             row, number = [], []
-            x = matrix(batch.column("v")) if batch.num_rows else np.zeros((0, 1))
+            x = scaled(batch.column("v")) if batch.num_rows else np.zeros((0, 1))
             # a query is as long as the longest vector: its own length changes no order
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             x = x / np.where(norm > 0, norm, 1) * top
@@ -269,28 +273,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | No
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         """The k best of a block of a list for each query of a block."""
         if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64(), "beyond": pa.float64()}
+            return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
         x, y = (matrix(t.column("v").combine_chunks()) for t in (a, b))
         ids, q = (t.column("vec_id").to_numpy() for t in (a, b))
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        scores = np.einsum("qd,vd->qv", y, x)
-        scores[q[:, None] == ids[None, :]] = -np.inf
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ties stay in the order of ids
-        found = np.take_along_axis(scores, best, 1)
-        row, col = (found > -np.inf).nonzero()
-        return pa.table({"query_id": q[row], "vec_id": ids[best[row, col]], "score": found[row, col]})
+        beyond = np.zeros((len(q), len(ids)))
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = np.einsum("qd,vd->qv", y, x)
+            over = ~np.isfinite(scores)
+            if over.any():
+                small = np.einsum("qd,vd->qv", *(np.ldexp(m, -power) for m in (y, x)))
+                scores[over] = np.ldexp(np.ldexp(small[over], power), power)
+                beyond = np.where(np.isinf(scores), small, 0)
+        order = np.lexsort((np.broadcast_to(ids, scores.shape), -beyond, -scores), axis=1)
+        own = np.take_along_axis(q[:, None] == ids[None, :], order, 1)
+        best = np.take_along_axis(order, np.argsort(own, axis=1, kind="stable"), 1)[:, :k]  # a query's own row comes last
+        row, col = (np.take_along_axis(q[:, None] == ids[None, :], best, 1) == 0).nonzero()
+        at = best[row, col]
+        return pa.table({"query_id": q[row], "vec_id": ids[at], "score": scores[row, at], "beyond": beyond[row, at]})
 
     met = (
         left.groupBy("list", "part", "ask").cogroup(right.groupBy("list", "part", "ask"))
-        .applyInArrow(meet, "query_id long, vec_id long, score double")
-        .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        .applyInArrow(meet, "query_id long, vec_id long, score double, beyond double")
+        .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max("beyond").alias("beyond"))
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a list scanned
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")  # at most k rows a list scanned
     ranked = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    steps = [2.0 ** (power // 2), 2.0 ** (power - power // 2)]
-    score = F.col("score") * steps[0] * steps[0] * steps[1] * steps[1]
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_posting_lists(spark, sf_dir: str) -> DataFrame:
