@@ -20,8 +20,9 @@ from strandloom.llm.shingles import shingle_set, words_of
 from strandloom.session import stored
 
 WIDTH, PERCENT = 5, 80
-#: Each partition's sketches also go to the tasks as a bitmap of fixed size, to which only hashes that may meet pass.
-BITMAP_BITS = 1 << 20
+#: Sketches also go to the tasks as bitmaps, which let only hashes pass that may meet: 16 to 32 bits for each hash. Where
+#: that is more than MOST_BITS (16 MB), documents are read several times, each time for some of the hashes.
+BITS_A_HASH, MOST_BITS = 16, 1 << 27
 #: Sketches and ids are broadcast up to so many rows; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -47,21 +48,33 @@ def item_sets(items: DataFrame, width: int) -> DataFrame:
     return cols.mapInArrow(run, "item_id long, width int, n long, set array<long>")
 
 
-def _bitmaps(sketches: DataFrame) -> list[tuple[int, int, int, np.uint64, np.ndarray]]:
-    """(width, part, least document size, largest hash, bitmap) of each partition; all of fixed size, of which few exist."""
-    bit = f"pmod(hash, {BITMAP_BITS})"
-    words = sketches.groupBy("width", "part", F.expr(f"cast({bit} div 64 as int)").alias("word")).agg(
-        F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 as int)))").alias("bits")
-    )
+def _bitmaps(sketches: DataFrame) -> list[tuple[int, int, int, np.uint64, np.uint64, np.ndarray]]:
+    """(width, part, least document size, largest hash, bits, bitmap) of each partition, of which there are few."""
     sign = F.lit(-(2**63)).cast("long")  # unsigned order
-    ends = sketches.groupBy("width", "part").agg(F.max(F.col("hash").bitwiseXOR(sign)).alias("top"), F.min("need").alias("need"))
-    maps = {(r.width, r.part): (r.need, np.uint64(r.top + 2**63), np.zeros(BITMAP_BITS // 64, np.int64)) for r in ends.collect()}
-    for r in words.toLocalIterator():
-        maps[r.width, r.part][2][r.word] = r.bits
-    return [
-        (width, part, need, top, np.unpackbits(m.view(np.uint8), bitorder="little").view(bool))
-        for (width, part), (need, top, m) in sorted(maps.items())
-    ]
+    bits = F.pow(F.lit(2.0), F.ceil(F.log2(F.count("*") * BITS_A_HASH))).cast("long")
+    ends = sketches.groupBy("width", "part").agg(
+        F.max(F.col("hash").bitwiseXOR(sign)).alias("top"), F.min("need").alias("need"), bits.alias("bits")
+    )
+    ends = stored(ends, "partitions")
+    bit = "pmod(hash, bits)"
+    words = sketches.join(F.broadcast(ends.select("width", "part", "bits")), ["width", "part"]).groupBy(
+        "width", "part", F.expr(f"{bit} div 64").alias("word")
+    ).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 as int)))").alias("set"))
+    held = words.toArrow()  # MOST_BITS / 64 rows at most
+    width, part, word, filled = (held.column(c).to_numpy() for c in ("width", "part", "word", "set"))
+    found = []
+    for r in sorted(ends.collect()):
+        here = (width == r.width) & (part == r.part)
+        bitmap = np.zeros(r.bits // 64 + 1, np.int64)
+        bitmap[word[here]] = filled[here]
+        found.append((r.width, r.part, r.need, np.uint64(r.top + 2**63), np.uint64(r.bits), bitmap.view(np.uint64)))
+    return found
+
+
+def passing(hashes: np.ndarray, bits: np.uint64, bitmap: np.ndarray) -> np.ndarray:
+    """Those of the hashes whose bit is set."""
+    at = hashes % bits
+    return hashes[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
 
 
 def contained_items(
@@ -84,41 +97,42 @@ def contained_items(
         ),
         "sketches",
     )
-    maps = spark.sparkContext.broadcast(_bitmaps(sketches))
+    widths_used = sorted(r.width for r in sets.select("width").distinct().collect())  # `width` at most
+
+    def probing(maps):
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, widths, parts, hashes = [], [], [], []
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    words, of = words_of(text, punctuation=False), {}
+                    for w, part, least, top, bits, bitmap in maps.value:
+                        if w > len(words):
+                            continue
+                        s = of.setdefault(w, None)
+                        if s is None:
+                            s = of[w] = shingle_set(words, w)
+                        if len(s) < least:
+                            continue
+                        hit = passing(s[: np.searchsorted(s, top, "right")], bits, bitmap).view(np.int64)
+                        ids += [doc] * len(hit)
+                        widths += [w] * len(hit)
+                        parts += [part] * len(hit)
+                        hashes += hit.tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(widths, pa.int32()), pa.array(parts, pa.int32()), pa.array(hashes, pa.int64())],
+                    ["doc_id", "width", "part", "hash"],
+                )
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, widths, parts, hashes = [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words, of = words_of(text, punctuation=False), {}
-                for w, part, least, top, bitmap in maps.value:
-                    if w > len(words):
-                        continue
-                    s = of.setdefault(w, None)
-                    if s is None:
-                        s = of[w] = shingle_set(words, w)
-                    if len(s) < least:
-                        continue
-                    low = s[: np.searchsorted(s, top, "right")]
-                    hit = low[bitmap[(low % np.uint64(BITMAP_BITS)).astype(np.int64)]].view(np.int64)
-                    ids += [doc] * len(hit)
-                    widths += [w] * len(hit)
-                    parts += [part] * len(hit)
-                    hashes += hit.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(widths, pa.int32()), pa.array(parts, pa.int32()), pa.array(hashes, pa.int64())],
-                ["doc_id", "width", "part", "hash"],
-            )
+        return probe
 
     def doc_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = sorted({w for w, *_ in maps.value})
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = []
                 part = batch.slice(at, 200)
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     words = words_of(text, punctuation=False)
-                    rows += [(doc, w, shingle_set(words, w).view(np.int64)) for w in used if w <= len(words)]
+                    rows += [(doc, w, shingle_set(words, w).view(np.int64)) for w in widths_used if w <= len(words)]
                 ids, widths, found = ([r[k] for r in rows] for k in range(3))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(widths, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
@@ -126,9 +140,16 @@ def contained_items(
                 )
 
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = texts.mapInArrow(probe, "doc_id long, width int, part int, hash long")
     index = sketches.select("width", "part", "hash", "item_id")
-    if index.count() <= BROADCAST_ROWS:
+    n = index.count()
+    passes = max(1, -(-2 * BITS_A_HASH * n // MOST_BITS))
+    hits = None
+    for turn in range(passes):
+        some = sketches if passes == 1 else sketches.filter(F.pmod(F.xxhash64("hash"), passes) == turn)
+        maps = spark.sparkContext.broadcast(_bitmaps(some))
+        found = texts.mapInArrow(probing(maps), "doc_id long, width int, part int, hash long")
+        hits = found if hits is None else hits.unionByName(found)
+    if n <= BROADCAST_ROWS:
         index = F.broadcast(index)
     pairs = stored(hits.join(index, ["width", "part", "hash"]).select("doc_id", "item_id").distinct(), "pairs")
     ids = stored(pairs.select("doc_id").distinct(), "ids")
@@ -154,13 +175,15 @@ def op8_contained_items(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 with t as (select 'd' as side, doc_id as id, text from documents union all select 'i', item_id, text from benchmark),
-w as (select side, id, [x for x in string_split_regex(regexp_replace(translate(coalesce(text, ''),
+w as materialized (select side, id, [x for x in string_split_regex(regexp_replace(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]', '', 'g'),
         '[\x20\x09-\x0D]+') if x <> ''] as w from t),
-s as (select distinct side, id, array_to_string(w[i : i + 4], ' ') as g
-      from (select side, id, w, unnest(range(1, len(w) - 3)) as i from w)),
+k as (select distinct least(5, len(w)) as k from w where side = 'i' and len(w) > 0),
+s as (select distinct side, id, k, array_to_string(w[i : i + k - 1], ' ') as g
+      from (select side, id, k, w, unnest(range(1, len(w) - k + 2)) as i
+            from w join k on len(w) >= k and (side = 'd' or k = least(5, len(w))))),
 n as (select id, count(*) as n from s where side = 'i' group by id)
 select d.id as doc_id, i.id as item_id, n.n as n_item, count(*) as n_shared, count(*) / n.n as containment
-from s d join s i on d.g = i.g and d.side = 'd' and i.side = 'i' join n on n.id = i.id
+from s d join s i on d.g = i.g and d.k = i.k and d.side = 'd' and i.side = 'i' join n on n.id = i.id
 group by d.id, i.id, n.n having count(*) * 100 >= n.n * 80
 """
