@@ -26,10 +26,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, counts:
     rows = docs.select(
         F.struct("*").alias("__row"),
         F.col("doc_id").alias("__id"),
-        F.split(text_of(F.col("text")), "\n", -1).alias("__lines"),
         F.xxhash64("text").alias("__th"),
     )
-    line = rows.select("__id", "__th", F.posexplode("__lines").alias("__pos", "__line"))
+    lines = lambda text: F.split(text_of(text), "\n", -1)
+    line = rows.select("__id", "__th", F.posexplode(lines(F.col("__row.text"))).alias("__pos", "__line"))
     key = ascii_lower(F.btrim(F.col("__line"), F.lit(SPACES)))
     keyed = line.select("__id", "__th", "__pos", key.alias("__key")).filter(F.char_length("__key") >= min_chars)
     h1, h2 = key128(F.col("__key"))
@@ -50,6 +50,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, counts:
     )
     joined = rows.join(dropped, F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__th") == F.col("__dth")), "left")
     none = F.array().cast("array<int>")
+    joined = joined.select("__row", "__drop", lines(F.col("__row.text")).alias("__lines"))  # a text is shuffled once
     kept = joined.select(
         "__row",
         "__lines",
