@@ -128,16 +128,17 @@ def spread(slot_map: DataFrame, weights: DataFrame, shards: int) -> float:
 
 
 def edited_map(spark, path: str, weights: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """The map at path after rebalancing: a new version where that at least halves the spread, else the one that is there."""
+    """The map at path, rebalanced where its shards differ by more than the largest slot and a new version is more even."""
     current = load_map(spark, path)
     if current is None:
         current = save_map(first_map(spark, shards, slots), path)
     if current.count() != slots:
         raise ValueError(f"the map at {path} has not {slots} slots")
-    edited = stored(rebalance(current, weights, shards), "slot-map")
-    if spread(edited, weights, shards) > spread(current, weights, shards) / 2:
+    uneven = spread(current, weights, shards)
+    if uneven <= (weights.agg(F.max("bytes")).first()[0] or 0):
         return current
-    return save_map(edited, path)
+    edited = stored(rebalance(current, weights, shards), "slot-map")
+    return save_map(edited, path) if spread(edited, weights, shards) < uneven else current
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
