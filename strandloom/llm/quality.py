@@ -17,8 +17,6 @@ WIDTH, EMBED, FILTERS, CHUNK = 6, 8, 16, 512
 #: spread over the whole document. Scoring always sees all chunks.
 SAMPLE_DOCS, SAMPLE_CHUNKS = 1500, 4
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
-#: Scores assume that so large a share of documents has label 1, whatever share the sample has.
-PRIOR = 0.8
 #: A document is kept from this score on.
 KEEP = 0.7
 ROWS = 8192
@@ -95,8 +93,8 @@ def gradients(net: Network, data: np.ndarray, size: np.ndarray, y: np.ndarray, s
                   "out": on.T @ d, "out_bias": d.sum(keepdims=True)}
 
 
-def train(chunks: list[bytes], labels: list[int]) -> Network:
-    """Fit by Adam on the weighted log loss of chunks."""
+def train(chunks: list[bytes], labels: list[int], prior: float = 0.5) -> Network:
+    """Fit by Adam on the log loss of chunks, weighted as if a share `prior` had label 1, whatever share the sample has."""
     rng = np.random.default_rng(SEED)
     f32 = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     net = Network(rng.standard_normal((256, EMBED)).astype(np.float32) * 0.5, f32(WIDTH * EMBED, FILTERS),
@@ -106,7 +104,7 @@ def train(chunks: list[bytes], labels: list[int]) -> Network:
         net.out[:] = 0
         net.out_bias[:] = -5 if len(y) and not y.any() else 5
         return net
-    share = np.where(y == 1, PRIOR / y.mean(), (1 - PRIOR) / (1 - y.mean()))
+    share = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     x = np.zeros((len(chunks), CHUNK + WIDTH - 1), np.uint8)
     size = np.array([min(max(len(c), 1), CHUNK) for c in chunks])
     for row, c in zip(x, chunks, strict=True):
@@ -132,10 +130,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of every document that isn't held out; the least of several labels."""
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
 def training_chunks(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int]]:
     """The bounded sample: at most 2 * SAMPLE_DOCS * SAMPLE_CHUNKS chunks, none of a held-out document."""
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = known_labels(labels)
     order = (F.xxhash64("doc_id"), "doc_id")
     picked = [known.filter(F.col("quality") == q).orderBy(*order).limit(SAMPLE_DOCS) for q in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * SAMPLE_DOCS rows at most
@@ -166,7 +169,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_of: DataFrame | None = None
     """
     names = [c for c in docs.columns if c != to]
     sample = training_chunks(docs if sample_of is None else sample_of, labels)
-    net = train([c for c, _ in sample], [q for _, q in sample])
+    prior = known_labels(labels).agg(F.avg("quality")).first()[0] or 0.0  # over all labels
+    net = train([c for c, _ in sample], [q for _, q in sample], prior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
