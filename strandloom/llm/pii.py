@@ -33,8 +33,6 @@ WORN = {
     "card": [".", "/", "_", " - ", "  ", ". "],
     "phone": [".", "/", " / ", " . ", "_", "-"],
 }
-#: Forms of the same kinds that training never sees; only tests use them.
-HELD_OUT = {"at": ["{at}", " <at> "], "dot": ["{dot}", "<.>"], "ip": ["{.}", "(dot)"], "card": ["|", "\u2013"], "phone": ["|", "\u2013"]}
 
 Span = tuple[int, int, int]  # (place in KINDS, start, end)
 
