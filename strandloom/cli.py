@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence
 from strandloom.operators import chunk, graph, lineage, merge, neighbors, sine
+from strandloom.operators.index import NeighborIndex
+from strandloom.operators.simjoin import similar_pairs
 from strandloom.session import ship
 from strandloom.sources import fastx
 
@@ -91,7 +93,34 @@ def new(spark, a) -> None:
 
 
 def cross(spark, a) -> None:
-    lineage.cross_sample(spark.read.parquet(a.new), spark.read.parquet(a.other)).write.parquet(a.output)
+    """With --index the other sample's stored index is used, and its barcodes aren't indexed again."""
+    found = NeighborIndex(spark, a.index) if a.index else None
+    lineage.cross_sample(spark.read.parquet(a.new), spark.read.parquet(a.other), index=found).write.parquet(a.output)
+
+
+def index(spark, a) -> None:
+    """Add a sample's barcodes to a stored index, as a new version."""
+    print(NeighborIndex(spark, a.output).append(spark.read.parquet(a.barcodes)))
+
+
+def graph_part(spark, a) -> None:
+    """Edges of one part of the barcodes with all of them, and the components they make."""
+    b = spark.read.parquet(a.barcodes)
+    mine = b.filter(F.pmod(F.xxhash64("barcode"), F.lit(a.of)) == a.part)
+    pairs = similar_pairs(mine, b, "infix").filter("a <> b")
+    pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct().write.parquet(f"{a.output}/edges")
+    e = spark.read.parquet(f"{a.output}/edges")
+    ends = e.select(F.explode(F.array("src", "dst")).alias("barcode")).unionByName(mine.select("barcode"))
+    graph.components(ends.filter("barcode is not null").distinct(), e).write.parquet(f"{a.output}/members")
+
+
+def graph_union(spark, a) -> None:
+    """The components and statistics of the parts' graphs together."""
+    members = graph.merged_components(*[spark.read.parquet(f"{p}/members") for p in a.parts])
+    members.write.parquet(f"{a.output}/members")
+    graph.union(*[spark.read.parquet(f"{p}/edges") for p in a.parts]).write.parquet(f"{a.output}/edges")
+    members, e = (spark.read.parquet(f"{a.output}/{x}") for x in ("members", "edges"))
+    graph.component_stats(members, e).write.parquet(f"{a.output}/stats")
 
 
 def components(spark, a) -> None:
@@ -158,7 +187,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(name)
         for name, default in options.items():
             kind = type(default) if default is not None else int
-            if isinstance(default, bool):
+            if default == "+":
+                p.add_argument(name, nargs="+")
+            elif isinstance(default, bool):
                 p.add_argument(f"--{name.replace('_', '-')}", action="store_true")
             elif isinstance(default, list):
                 p.add_argument(f"--{name}", nargs="*", type=int, default=default)
@@ -179,8 +210,11 @@ def parser() -> argparse.ArgumentParser:
     stage(histogram, "barcodes", "output", length=50, recall="complete")
     stage(report, "input")
     stage(new, "barcodes", "output")
-    stage(cross, "new", "other", "output")
+    stage(cross, "new", "other", "output", index="")
+    stage(index, "barcodes", "output")
     stage(components, "barcodes", "output")
+    stage(graph_part, "barcodes", "output", part=0, of=1)
+    stage(graph_union, "output", parts="+")
     stage(centers, "centers", "element")
     return top
 

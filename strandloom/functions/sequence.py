@@ -75,20 +75,3 @@ def windows(seq: Column, size: int = PART, complete: bool = True) -> Column:
             lambda j: F.substring(seq, j + 1, F.lit(size)),
         )
     )
-
-
-def infix_within(pattern: Column, text: Column, errors: int = BARCODE_ERRORS, size: int = BARCODE) -> Column:
-    """Whether some substring of text is within `errors` edits of pattern, for strings that both have `size` characters.
-
-    Such a substring lacks at most `errors` characters of the text, so there are few to try, and none where the whole
-    strings are more than twice as many edits apart.
-    """
-    tries = [
-        F.levenshtein(pattern, F.substring(text, start + 1, n), errors) >= 0
-        for n in range(size - errors, size + 1)
-        for start in range(size - n + 1)
-    ]
-    found = tries[0]
-    for t in tries[1:]:
-        found = found | t
-    return (F.levenshtein(pattern, text, 2 * errors) >= 0) & found

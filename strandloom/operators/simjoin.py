@@ -1,19 +1,32 @@
-"""Similarity join of short strings: a k-mer that errors must leave whole brings pairs together, edit distance decides."""
+"""Similarity join of short strings: a part that errors must leave whole brings pairs together, edit distance decides.
+
+Barcodes are joined as bits (functions.bits). An index has an entry for each stretch of a barcode in which a part of a
+similar one may lie; a probe has a key for each of its parts. Keys that very many share are refined by a second part.
+What meets is screened by bits, and only what passes is spelled out and measured.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import BARCODE, BARCODE_ERRORS, PART, infix_within, parts, windows
+from strandloom.functions import bits
+from strandloom.functions.sequence import BARCODE, BARCODE_ERRORS, PART
 from strandloom.session import stored
 
 #: Rows of one key that a task compares with others; what a key has beyond is dealt out to further tasks.
 HOT = 5000
-#: Bases of the stretches by which pairs are screened before edit distance is computed.
-GRAM = 4
-#: Hot keys are broadcast up to so many rows; beyond, they are joined by shuffle.
+#: Parts of a key from which on it is refined: rows for every refinement cost more than pairs below.
+CROWD = 500
+#: Hot and crowded keys are broadcast up to so many rows; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Where a key's fields begin: a part's letters, its number, and for refined ones the number of the second part, its letters, and a mark.
+NUMBER, SECOND, SECOND_LETTERS, REFINED = 27, 29, 31, 1 << 60
 
 
 def bad_barcodes(records: DataFrame) -> DataFrame:
@@ -22,81 +35,206 @@ def bad_barcodes(records: DataFrame) -> DataFrame:
     return bad.groupBy("barcode").agg(F.count("*").alias("records"))
 
 
-def grams(barcodes: DataFrame) -> DataFrame:
-    """barcodes (barcode) with g0 to g3: 256 bits, of which every stretch of GRAM bases that it holds sets one by its hash."""
-    held = F.transform(F.sequence(F.lit(0), F.lit(BARCODE - GRAM)), lambda i: F.hash(F.substring("barcode", i + 1, F.lit(GRAM))))
-    word = "aggregate(__held, 0L, (s, x) -> if(shiftright(x, 6) & 3 = {}, s | shiftleft(1L, x & 63), s))"
-    return barcodes.withColumn("__held", held).select("barcode", *[F.expr(word.format(i)).alias(f"g{i}") for i in range(4)])
+def coded(records: DataFrame, on_bad_base: str = "drop") -> DataFrame:
+    """(p0, p1, p2): the distinct barcodes of records as bits, written once as they are read several times."""
+    fit = F.col("barcode").rlike(f"^[ATCGN]{{{BARCODE}}}$")
+    if on_bad_base == "fail":
+        wrong = F.raise_error(F.concat(F.lit("not a barcode: "), F.col("barcode"))).cast("boolean")
+        fit = F.when(fit, True).when(F.col("barcode").isNull(), False).otherwise(wrong)
+    rows = records.filter(fit).select("barcode").distinct()
+    return stored(rows.select(*[p.alias(f"p{k}") for k, p in enumerate(bits.planes(F.col("barcode")))]), "codes")
+
+
+def _as(codes: DataFrame, name: str) -> DataFrame:
+    """codes with columns {name}0 to {name}2 that are never null, which keeps what is computed of them simple."""
+    return codes.select(*[F.coalesce(f"p{k}", F.lit(0).cast("long")).alias(f"{name}{k}") for k in range(bits.PLANES)])
+
+
+def _planes(name: str) -> list[Column]:
+    return [F.col(f"{name}{k}") for k in range(bits.PLANES)]
+
+
+def _key(of: list[Column], part: int, at: int) -> Column:
+    return bits.piece(of, at, PART).bitwiseOR(F.lit(part << NUMBER).cast("long"))
 
 
-def may_be_near(errors: int) -> Column:
-    """Of a pair within `errors` edits, b lacks at most GRAM of a's stretches for each edit. Most that meet lack far more."""
-    lacks = [f"bit_count(a{i} & ~b{i})" for i in range(4)]
-    return F.expr(" + ".join(lacks)) <= GRAM * errors
+def probes(codes: DataFrame, parts: list[int]) -> DataFrame:
+    """(key, a0, a1, a2): a row for each of these parts."""
+    a = _as(codes, "a")
+    return a.select(F.explode(F.array(*[_key(_planes("a"), i, i * PART) for i in parts])).alias("key"), *a.columns)
 
 
-def meeting(probe: DataFrame, index: DataFrame, on: list[str], hot: int = HOT) -> DataFrame:
-    """probe and index joined by equal keys `on`.
+def entries(codes: DataFrame, match: str, parts: list[int], errors: int = BARCODE_ERRORS, narrow: bool = False) -> DataFrame:
+    """(key, b0, b1, b2): a row for each distinct stretch in which one of these parts of a similar barcode may lie.
 
-    Of keys with more than `hot` rows in probe, these are dealt to several tasks, and index rows are sent to each.
+    With `narrow` a column more tells those that match "global" has too.
     """
-    counts = probe.groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot)
-    salts = stored(counts.select(*on, F.ceil(F.col("__n") / hot).cast("int").alias("__s")), "hot")
-    n = salts.count()
-    if not n:
-        return probe.join(index, on)
-    salts = F.broadcast(salts) if n <= BROADCAST_ROWS else salts
-    many = F.coalesce("__s", F.lit(1))
-    left = probe.join(salts, on, "left").select(*probe.columns, F.pmod(F.xxhash64("a"), many).cast("int").alias("__salt"))
-    right = index.join(salts, on, "left").select(*index.columns, F.explode(F.sequence(F.lit(0), many - 1)).alias("__salt"))
-    return left.join(right, [*on, "__salt"])
+    b = _as(codes, "b")
+    spots = lambda match: F.array_distinct(
+        F.array(*[_key(_planes("b"), i, i * PART + s) for i, s in bits.offsets(match, errors) if i in parts])
+    )
+    if not narrow:
+        return b.select(F.explode(spots(match)).alias("key"), *b.columns)
+    near = b.withColumn("__narrow", spots("global"))
+    found = near.select(F.explode(spots(match)).alias("key"), *near.columns)
+    return found.select("key", *b.columns, F.array_contains("__narrow", F.col("key")).alias("narrow"))
+
+
+def second_parts(part: int, errors: int = BARCODE_ERRORS) -> list[tuple[int, int]]:
+    """(place, size) of errors + 1 pieces of the letters beside a part, as even as can be.
+
+    Where a part is whole, all errors are in these letters, so one of the pieces is whole too.
+    """
+    left, right = part * PART, BARCODE - PART - part * PART
+    n_left = round((errors + 1) * left / (left + right))
+    found = []
+    for first, size, n in ((0, left, n_left), (left + PART, right, errors + 1 - n_left)):
+        edges = [first + size * k // n for k in range(n + 1)] if n else []
+        found += [(x, y - x) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+    return found
+
+
+def _refined_keys(of: list[Column], errors: int, shifts: range) -> Column:
+    """The refinements of key: with each piece beside the part, wherever the shifts let it lie."""
+
+    def of_part(i: int) -> Column:
+        found = []
+        for n, (place, size) in enumerate(second_parts(i, errors)):
+            mark = F.lit(REFINED | n << SECOND).cast("long")
+            for s in shifts:
+                if 0 <= place + s <= BARCODE - size:
+                    letters = F.shiftleft(bits.piece(of, place + s, size), SECOND_LETTERS)
+                    found.append(F.col("key").bitwiseOR(mark).bitwiseOR(letters))
+        return F.array_distinct(F.array(*found))
+
+    number = F.shiftrightunsigned("key", NUMBER)
+    keys = of_part(errors)
+    for i in range(errors):
+        keys = F.when(number == i, of_part(i)).otherwise(keys)
+    return keys
+
+
+def refined(
+    rows: DataFrame, name: str, crowded: DataFrame | None, errors: int, whole_too: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """rows with crowded keys replaced by their refinements; with whole_too they keep the key itself as well.
+
+    For each pair that met by a crowded key there is a refinement by which it meets. name is "a" for probes, whose
+    pieces have one place, and "b" for entries.
+    """
+    if crowded is None:
+        return rows
+    marked = rows.join(crowded.select("key", F.lit(True).alias("__crowded")), "key", "left")
+    keys = _refined_keys(_planes(name), errors, range(1) if name == "a" else range(-errors, errors + 1))
+    keys = F.concat(F.array("key"), keys) if whole_too else keys
+    keys = F.when(F.col("__crowded"), keys).otherwise(F.array("key"))
+    return marked.select(F.explode(keys).alias("key"), *[f"{name}{k}" for k in range(bits.PLANES)], *keep)
+
+
+def small(df: DataFrame, name: str) -> DataFrame | None:
+    """df written, and broadcast if it has few rows; None if it has none."""
+    df = stored(df, name)
+    n = df.count()
+    return (F.broadcast(df) if n <= BROADCAST_ROWS else df) if n else None
+
+
+def crowded_keys(left: DataFrame, right: DataFrame, parts: list[int], crowd: int) -> DataFrame | None:
+    """(key) of parts that more than `crowd` barcodes of either side have."""
+    sides = [probes(c, parts).groupBy("key").agg(F.count("*").alias("n")) for c in ([left] if right is left else [left, right])]
+    many = [s.filter(F.col("n") > crowd).select("key") for s in sides]
+    return small(reduce(DataFrame.unionByName, many).distinct(), "crowded")
+
+
+def meeting(probe: DataFrame, index: DataFrame, hot: int = HOT) -> DataFrame:
+    """probe and index joined by key. Keys with more than `hot` rows on either side are dealt to tasks, on both sides."""
+    many = lambda df, n: df.groupBy("key").agg(F.count("*").alias(n)).filter(F.col(n) > hot)
+    shares = lambda n: F.coalesce(F.ceil(F.col(n) / hot), F.lit(1)).cast("int").alias(n)
+    salts = small(many(probe, "s").join(many(index, "t"), "key", "full").select("key", shares("s"), shares("t")), "hot")
+    if salts is None:
+        return probe.join(index, "key")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    s, t = (F.coalesce(n, F.lit(1)) for n in ("s", "t"))
+    mine = lambda name, n: F.pmod(F.xxhash64(*_planes(name)), n).cast("int")
+    left = probe.join(salts, "key", "left").select(*probe.columns, mine("a", s).alias("__s"), F.explode(upto(t)).alias("__t"))
+    right = index.join(salts, "key", "left").select(*index.columns, F.explode(upto(s)).alias("__s"), mine("b", t).alias("__t"))
+    return left.join(right, ["key", "__s", "__t"])
+
+
+def measured(met: DataFrame, match: str, recall: str, errors: int, once: bool = False) -> DataFrame:
+    """(a, b, cost) of the pairs among `met` that are near. With `once` met has one order of each pair, and both are given."""
+    # most of what meets isn't near: the screen comes before repeated pairs are sent to one task
+    names = [f"{side}{k}" for side in "ab" for k in range(bits.PLANES)]
+    pairs = met.filter(bits.may_be_near(_planes("a"), _planes("b"), errors)).select(*names).distinct()
+    infix = match == "infix"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [batch.column(n).to_numpy() for n in names]
+            a, b = codes[: bits.PLANES], codes[bits.PLANES :]
+            cost = bits.edit_costs(a, b, infix)
+            near = cost <= errors
+            a, b, cost = [p[near] for p in a], [p[near] for p in b], cost[near]
+            if once:
+                other = np.any([x != y for x, y in zip(a, b, strict=True)], axis=0)
+                a, b = ([np.append(x, y[other]) for x, y in zip(p, q, strict=True)] for p, q in ((a, b), (b, a)))
+                cost = np.append(cost, cost[other])
+            costs = pa.nulls(len(cost), pa.int32()) if infix else pa.array(cost.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([bits.spelled(a), bits.spelled(b), costs], ["a", "b", "cost"])
+
+    near = pairs.mapInArrow(run, "a string, b string, cost int")
+    if recall == "compat":  # one of a's first three parts lies in b, at an offset but the last
+        inside = [F.contains(F.left("b", F.lit(BARCODE - 1)), F.substring("a", i * PART + 1, F.lit(PART))) for i in range(BARCODE // PART - 1)]
+        near = near.filter(reduce(Column.__or__, inside))
+    return near
+
+
+def _ordered() -> Column:
+    """Whether a's bits come before b's, or are the same."""
+    before = F.col("a2") <= F.col("b2")
+    for k in (1, 0):
+        before = (F.col(f"a{k}") < F.col(f"b{k}")) | ((F.col(f"a{k}") == F.col(f"b{k}")) & before)
+    return before
 
 
 def similar_pairs(
     left: DataFrame,
-    right: DataFrame,
+    right,
     match: str = "global",
     recall: str = "complete",
     errors: int = BARCODE_ERRORS,
     on_bad_base: str = "drop",
     hot: int = HOT,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """(a, b, cost): pairs of distinct barcodes, a of left and b of right, within `errors` edits; equal ones included.
 
-    Both inputs have a column barcode of BARCODE characters; nulls, other lengths and letters but A, T, C, G and N
-    meet nothing; with on_bad_base "fail" the first such barcode that isn't null ends the job. match "global" compares whole strings; "infix" asks whether a is near a substring of b, and has no
+    Both inputs have a column barcode of BARCODE characters; right may be a NeighborIndex instead, which is joined as it is
+    stored. Nulls, other lengths and letters but A, T, C, G and N
+    meet nothing; with on_bad_base "fail" the first such barcode that isn't null ends the job. match "global" compares
+    whole strings; "infix" asks whether a is near a substring of b, and has no
     cost. recall "complete" finds all pairs; "compat" only those where one of a's first three parts occurs in b at an
     offset but the last.
     """
     if match not in ("global", "infix") or recall not in ("complete", "compat") or on_bad_base not in ("drop", "fail"):
         raise ValueError(f"unknown mode: {match}, {recall}, {on_bad_base}")
-    fit = F.col("barcode").rlike(f"^[ATCGN]{{{BARCODE}}}$")
-    if on_bad_base == "fail":
-        wrong = F.raise_error(F.concat(F.lit("not a barcode: "), F.col("barcode"))).cast("boolean")
-        fit = F.when(fit, True).when(F.col("barcode").isNull(), False).otherwise(wrong)
-    # written, so that bits are computed once
-    one = stored(grams(left.filter(fit).select("barcode").distinct()), "grams")
-    other = one if right is left else stored(grams(right.filter(fit).select("barcode").distinct()), "grams")
-    a, b = (d.toDF(n, *[f"{n}{i}" for i in range(4)]) for d, n in ((one, "a"), (other, "b")))
-    a_words, b_words = a.columns, b.columns
-    whole = recall == "complete"
-    probe = a.select(*a_words, F.explode(parts(F.col("a"), PART, whole)).alias("p")).select(*a_words, "p.place", "p.kmer")
-    if whole:
-        # a part that errors leave whole is shifted by insertions less deletions before it, and in infix mode by what of
-        # the text lies before the match: at most `errors` in all; of equal whole strings, insertions equal deletions
-        shift = errors // 2 if match == "global" else errors
-        offsets = [(i, i + d) for i in range(0, BARCODE, PART) for d in range(-shift, shift + 1) if 0 <= i + d <= BARCODE - PART]
-        spots = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(j).alias("at")) for i, j in offsets])
-        index = b.select(*b_words, F.explode(spots).alias("s")).select(
-            *b_words, "s.place", F.substring("b", F.col("s.at") + 1, F.lit(PART)).alias("kmer")
-        )
-        met = meeting(probe, index, ["place", "kmer"], hot)
-    else:
-        index = b.select(*b_words, F.explode(windows(F.col("b"), PART, whole)).alias("kmer"))
-        met = meeting(probe.select(*a_words, "kmer"), index, ["kmer"], hot)
-    # most of what meets isn't near: tests come before repeated pairs are sent to one task
-    met = met.filter(may_be_near(errors)).select("a", "b")
-    if match == "infix":
-        near = met.filter(infix_within(F.col("a"), F.col("b"), errors)).distinct()
-        return near.select("a", "b", F.lit(None).cast("int").alias("cost"))
-    return met.withColumn("cost", F.levenshtein("a", "b", errors)).filter("cost >= 0").distinct()
+    if not 0 <= errors < BARCODE // PART:
+        raise ValueError(f"up to {BARCODE // PART - 1} errors leave one of the parts whole")
+    one = coded(left, on_bad_base)
+    if not isinstance(right, DataFrame):
+        return measured(right.met(one, match, errors), match, recall, errors)
+    other = one if right is left else coded(right, on_bad_base)
+    return near_pairs(one, other, match, recall, errors, hot, crowd)
+
+
+def near_pairs(
+    one: DataFrame, other: DataFrame, match: str, recall: str, errors: int = BARCODE_ERRORS, hot: int = HOT, crowd: int = CROWD,
+    parts: list[int] | None = None,
+) -> DataFrame:
+    """similar_pairs() of coded barcodes; only pairs that meet by one of the given parts, where these are given."""
+    parts = list(range(errors + 1)) if parts is None else parts
+    crowded = crowded_keys(one, other, parts, crowd)
+    probe = refined(probes(one, parts), "a", crowded, errors)
+    index = refined(entries(other, match, parts, errors), "b", crowded, errors)
+    met = meeting(probe, index, hot)
+    once = match == "global" and one is other  # it is symmetric, and every pair meets both ways
+    return measured(met.filter(_ordered()) if once else met, match, recall, errors, once)

@@ -7,6 +7,7 @@ the number in the document's source.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from strandloom.functions.sequence import (
     but_suffix, cut, dna, fake_quality, first_token, parts, pieces, revcomp, suffix, windows,
 )
 from strandloom.operators import chunk, graph, lineage, merge, neighbors, sine
+from strandloom.operators.index import NeighborIndex
 from strandloom.operators.simjoin import similar_pairs
-from strandloom.session import stored
+from strandloom.session import scratch_dir, stored
 from strandloom.sources import fastx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,7 +269,32 @@ x as materialized (select bc.*, coalesce(n, 0) as matches from bc left join m on
 @query(INFIX_SQL + CROSS_SQL + " select *, matches = 0 as unmatched, matches = 1 as single_match from x")
 def cross_sample_new(spark, sf_dir):
     """Each sample's records against the other sample."""
-    return each_sample(lineage.cross_sample, barcoded(spark, sf_dir))
+    b = barcoded(spark, sf_dir)
+    pairs = stored(similar_pairs(b, b, "infix"), "pairs")  # those of both directions
+    return each_sample(lambda x, y: lineage.cross_sample(x, y, pairs=pairs), b)
+
+
+@query(INFIX_SQL + CROSS_SQL + " select *, matches = 0 as unmatched, matches = 1 as single_match from x")
+def cross_sample_indexed(spark, sf_dir):
+    """The same by stored indexes: each sample's barcodes are indexed once, the other's records are looked up there."""
+    b = barcoded(spark, sf_dir)
+    index = {}
+    for name, x in samples(b).items():
+        index[name] = NeighborIndex(spark, f"{scratch_dir(spark)}/index-{name}-{uuid.uuid4().hex}")
+        index[name].append(x)
+    other = {"even": "odd", "odd": "even"}
+    found = [lineage.cross_sample(x, samples(b)[other[n]], index=index[other[n]]).withColumn("sample", F.lit(n)) for n, x in samples(b).items()]
+    return found[0].unionByName(found[1])
+
+
+@query(COMPLETE_SQL + " select a, b, cost from full_")
+def indexed_pairs_of_versions(spark, sf_dir):
+    """All near pairs by an index to which one sample is appended after the other."""
+    b = barcoded(spark, sf_dir)
+    index = NeighborIndex(spark, f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}")
+    for x in samples(b).values():
+        index.append(x)
+    return similar_pairs(b, index)
 
 
 @query(INFIX_SQL + CROSS_SQL + """, n as (select full_.a, o.sample, count(distinct o.id) as n from full_ join bc o on o.barcode = full_.b group by all),
@@ -278,7 +305,9 @@ select sample, bucket, case when bucket = 1 then (select count(*) from x where x
   else barcodes end as barcodes from dense""")
 def patched_histogram(spark, sf_dir):
     """Each sample's own histogram, its bucket 1 replaced by how many of its records the other sample doesn't match."""
-    return each_sample(lineage.patched_histogram, barcoded(spark, sf_dir))
+    b = barcoded(spark, sf_dir)
+    own, pairs = stored(similar_pairs(b, b), "own"), stored(similar_pairs(b, b, "infix"), "pairs")
+    return each_sample(lambda x, y: lineage.patched_histogram(x, y, own=own, pairs=pairs), b)
 
 
 # -- the similarity graph
