@@ -557,3 +557,11 @@ def fasta_roundtrip(spark, sf_dir):
     r = reads(spark, sf_dir).filter("seq <> ''")
     path = fastx.write(r, fastx.scratch(spark, "reads"), "fasta", compression="bzip2")
     return fastx.read(spark, path, "fasta").select("id", "seq")
+
+
+@query(" select id, seq, repeat('?', length(seq)) as qual from reads where seq <> ''")
+def committed_roundtrip(spark, sf_dir):
+    """Reads written by the sink that commits, as Zstandard frames, and read back by ranges that enter between them."""
+    r = reads(spark, sf_dir).filter("seq <> ''").withColumn("qual", fake_quality(F.col("seq")))
+    path = fastx.write_files(r, fastx.scratch(spark, "reads"), "fastq", "zst")
+    return fastx.read(spark, path, "fastq", ("id", "seq", "qual"), rangeBytes="1000000")

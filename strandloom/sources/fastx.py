@@ -1,7 +1,8 @@
 """FASTA and FASTQ files as a data source, and the sinks that write them.
 
-Files may be plain, .gz, .bz2 or .zst. Plain files are cut in byte ranges, each read by one task from its first whole
-record on; compressed ones are read by one task each, as their codecs can't be entered midway. Paths are opened through
+Files may be plain, .gz, .bz2 or .zst. They are cut in byte ranges, each read by one task from its first whole record on.
+Compressed ones are entered where one of their gzip members, bzip2 blocks or Zstandard frames begins; a file that is one member or
+frame has no such place but its start, and is read by one task. Paths are opened through
 pyarrow's file systems, so a URI (s3://, hdfs://, file:) works as well as a local path.
 """
 
@@ -10,23 +11,35 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import json
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage,
+)
+from pyspark.sql.types import StructType
 
 from strandloom.session import scratch_dir
+from strandloom.sources.blocks import entries
 
 SCHEMA = "file string, file_order long, position long, id string, description string, seq string, qual string"
 CODECS = (".gz", ".bz2", ".zst")
 RANGE_BYTES = 64 * 1024 * 1024
 ROWS = 4096
+#: Uncompressed bytes of a gzip member or Zstandard frame that is written.
+MEMBER_BYTES = 4 * 1024 * 1024
+#: A compressed line's place is its entry's, shifted by so many bits, and a number.
+PLACE_BITS = 24
 
 
 @dataclass
@@ -34,7 +47,7 @@ class Piece(InputPartition):
     file: str
     order: int
     start: int
-    end: int | None  # None: to the end, through the codec
+    end: int
 
 
 def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -54,19 +67,6 @@ def base_and_suffix(path: str) -> tuple[str, str]:
     return path[: m.start()], m[0]
 
 
-def opened(fs: pa.fs.FileSystem, path: str) -> io.BufferedIOBase:
-    raw = fs.open_input_stream(path, compression=None)
-    if path.endswith(".gz"):
-        return gzip.GzipFile(fileobj=raw)
-    if path.endswith(".bz2"):
-        return bz2.BZ2File(raw)
-    if path.endswith(".zst"):
-        import zstandard
-
-        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True))
-    return io.BufferedReader(raw)
-
-
 def kind_of(first: bytes) -> str:
     kinds = {b">": "fasta", b"@": "fastq"}
     if first[:1] not in kinds:
@@ -115,63 +115,111 @@ def fastq_records(lines: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, str
             record = []
 
 
+def files_of(fs: pa.fs.FileSystem, path: str) -> list[pa.fs.FileInfo]:
+    """The file at path, or those of the folder there but hidden ones, in natural order."""
+    info = fs.get_file_info(path)
+    if info.is_file:
+        return [info]
+    if info.type != pa.fs.FileType.Directory:
+        raise FileNotFoundError(path)
+    found = fs.get_file_info(pa.fs.FileSelector(path, recursive=True))
+    shown = [f for f in found if f.is_file and not re.search(r"/[_.]", f.path[len(path.rstrip("/")) :])]
+    return sorted(shown, key=lambda f: natural(f.path))
+
+
+class Lines:
+    """What a task reads: (place, line, own) from its range's first whole line on; own until a line begins beyond the range.
+
+    A line that begins exactly where a range, or the first entry in it, does belongs to the range before.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.fs, _ = file_system(path)
+
+    def __call__(self, piece: Piece) -> Iterator[tuple[int, bytes, bool]]:
+        suffix = base_and_suffix(piece.file)[1]
+        codec = next((c for c in CODECS if suffix.endswith(c)), None)
+        return self.compressed(piece, codec) if codec else self.plain(piece)
+
+    def plain(self, piece: Piece) -> Iterator[tuple[int, bytes, bool]]:
+        f = self.fs.open_input_file(piece.file)
+        f.seek(max(0, piece.start - 1))
+        buffered = io.BufferedReader(f)
+        at = piece.start - 1 + len(buffered.readline()) if piece.start else 0  # to the next line's beginning
+        for line in buffered:
+            yield at, line, at < piece.end
+            at += len(line)
+
+    def compressed(self, piece: Piece, codec: str) -> Iterator[tuple[int, bytes, bool]]:
+        """A line's place is that of its entry, shifted, and its number there: no entry has so many lines for each of its bytes."""
+        f = self.fs.open_input_file(piece.file)
+        held: list[bytes] = []  # of the line that isn't at its end
+        place, own, crossed, skip = 0, True, False, piece.start > 0
+        for entry, chunks in entries(f, codec, piece.start, piece.end):
+            number = 0
+            crossed = crossed or entry >= piece.end
+            if not held:
+                place = entry << PLACE_BITS
+            for chunk in chunks:
+                *whole, rest = chunk.split(b"\n")
+                for line in whole:
+                    if not skip:
+                        yield place, b"".join([*held, line, b"\n"]), own
+                    held, number, skip, own = [], number + 1, False, not crossed
+                    place = (entry << PLACE_BITS) + number
+                if rest:
+                    held.append(rest)
+        if held and not skip:
+            yield place, b"".join(held), own
+
+
 class FastxReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict, columns: list[str]) -> None:
         self.path = options["path"]
         self.kind = options.get("format", "auto")
         self.wrapped = str(options.get("wrapped", "false")).lower() == "true"
         self.range = int(options.get("rangeBytes", RANGE_BYTES))
+        self.columns = columns
+        self.filters: list[Filter] = []
+
+    def wanted(self, file: str, order: int) -> bool:
+        values = {("file",): file, ("file_order",): order}
+        return all(values[f.attribute] in (f.value if isinstance(f, In) else (f.value,)) for f in self.filters)
 
     def partitions(self) -> list[Piece]:
         fs, path = file_system(self.path)
-        info = fs.get_file_info(path)
-        files = [info]
-        if info.type == pa.fs.FileType.Directory:
-            found = fs.get_file_info(pa.fs.FileSelector(path, recursive=True))
-            files = [f for f in found if f.is_file and not f.base_name.startswith(("_", "."))]
-        elif not info.is_file:
-            raise FileNotFoundError(self.path)
-        pieces = []
-        for order, f in enumerate(sorted(files, key=lambda f: natural(f.path))):
-            if f.path.endswith(CODECS):
-                pieces.append(Piece(f.path, order, 0, None))
-            else:
-                pieces += [Piece(f.path, order, at, min(at + self.range, f.size)) for at in range(0, f.size, self.range)]
-        return pieces
+        return [
+            Piece(f.path, order, at, min(at + self.range, f.size))
+            for order, f in enumerate(files_of(fs, path))
+            if self.wanted(f.path, order)
+            for at in range(0, f.size, self.range)
+        ]
 
     def lines(self, piece: Piece) -> Iterator[tuple[int, bytes]]:
-        """(position, line) from the first record that begins in the piece to the end of the last one that does."""
-        fs, _ = file_system(self.path)
-        if piece.end is None:
-            at = 0
-            for line in opened(fs, piece.file):
-                yield at, line
-                at += len(line)
-            return
-        f = fs.open_input_file(piece.file)
-        kind = self.kind if self.kind != "auto" else kind_of(f.read_at(20, 0))
-        f.seek(max(0, piece.start - 1))
-        buffered = io.BufferedReader(f)
-        at = piece.start - 1 + len(buffered.readline()) if piece.start else 0  # to the next line's beginning
-        ahead: list[bytes] = []
+        """(place, line) from the first record that begins in the piece to the end of the last one that does."""
+        source, kind = Lines(self.path), self.kind
+        if kind == "auto":
+            first = next(source(Piece(piece.file, piece.order, 0, 16)), None)  # a first entry begins within that
+            if first is None:
+                return
+            kind = kind_of(first[1])
+        rows = source(piece)
+        ahead: list[tuple[int, bytes, bool]] = []
         if piece.start:  # find where a record begins
             size, begins = (4, fastq_start) if kind == "fastq" else (1, lambda few: few[0][:1] == b">")
             while True:
-                while len(ahead) < size and (line := buffered.readline()):
-                    ahead.append(line)
-                if len(ahead) < size or at >= piece.end:
+                while len(ahead) < size and (row := next(rows, None)):
+                    ahead.append(row)
+                if len(ahead) < size or not ahead[0][2]:
                     return
-                if begins(ahead):
+                if begins([line for _, line, _ in ahead]):
                     break
-                at += len(ahead.pop(0))
+                ahead.pop(0)
         number = 0
-        while True:
-            line = ahead.pop(0) if ahead else buffered.readline()
-            new = number % 4 == 0 if kind == "fastq" else line[:1] == b">"
-            if not line or (new and at >= piece.end):
+        for place, line, own in chain(ahead, rows):
+            if not own and (number % 4 == 0 if kind == "fastq" else line[:1] == b">"):
                 return
-            yield at, line
-            at += len(line)
+            yield place, line
             number += 1
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
@@ -180,31 +228,181 @@ class FastxReader(DataSourceReader):
         if first is None:
             return
         kind = self.kind if self.kind != "auto" else kind_of(first[1])
+        records = chain([first], lines)
+        records = fasta_records(records, self.wrapped) if kind == "fasta" else fastq_records(records)
+        while rows := list(islice(records, ROWS)):
+            made = {
+                "file": lambda: [piece.file] * len(rows),
+                "file_order": lambda: [piece.order] * len(rows),
+                "position": lambda: [at for at, *_ in rows],
+                "id": lambda: [(header.split() or [""])[0] for _, header, *_ in rows],
+                "description": lambda: [header for _, header, *_ in rows],
+                "seq": lambda: [seq for _, _, seq, _ in rows],
+                "qual": lambda: [qual for *_, qual in rows],
+            }  # only what is asked for is made
+            kinds = {c: pa.int64() if c in ("file_order", "position") else pa.string() for c in self.columns}
+            yield pa.RecordBatch.from_arrays([pa.array(made[c](), kinds[c]) for c in self.columns], self.columns)
+
+
+class FilteringReader(FastxReader):
+    """A reader that takes filters, which Spark allows only where spark.sql.python.filterPushdown.enabled is set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Filters on the file spare files; Spark applies all of them again."""
+        self.filters = [f for f in filters if isinstance(f, (EqualTo, In)) and f.attribute in (("file",), ("file_order",))]
+        return iter(filters)
+
+
+class FastxStreamReader(DataSourceStreamReader):
+    """Files as they arrive in a folder, each read once.
+
+    Which files belong to which batch is written to a log folder before a batch begins, and an offset is the number of the last
+    batch. So a query that starts again from its checkpoint reads the same files for the same batch. Files must appear whole, as by a rename.
+    """
+
+    def __init__(self, options: dict, columns: list[str]) -> None:
+        if "log" not in options:
+            raise ValueError("a stream needs the option log, a folder for what it has seen")
+        self.reader = FastxReader(options, columns)
+        self.path, self.log = options["path"], options["log"]
+        self.most = int(options.get("maxFilesPerTrigger", 1 << 30))
+        self.batches: list[list[tuple[str, int]]] = []
+
+    def catch_up(self) -> None:
+        """Read the log from where it was read to last."""
+        fs, log = file_system(self.log)
+        while fs.get_file_info(name := f"{log}/{len(self.batches) + 1:012d}.json").is_file:
+            with fs.open_input_stream(name) as f:
+                self.batches.append([tuple(x) for x in json.loads(f.read())])
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"batch": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        self.catch_up()
+        seen = {name for batch in self.batches for name, _ in batch}
+        fs, path = file_system(self.path)
+        there = files_of(fs, path) if fs.get_file_info(path).type != pa.fs.FileType.NotFound else []
+        new = [(f.path, f.size) for f in there if f.path not in seen][: self.most]
+        if new:
+            fs, log = file_system(self.log)
+            fs.create_dir(log, recursive=True)
+            name = f"{log}/{len(self.batches) + 1:012d}.json"
+            with fs.open_output_stream(f"{name}.tmp") as f:
+                f.write(json.dumps(new).encode())
+            fs.move(f"{name}.tmp", name)
+            self.batches.append(new)
+        return {"batch": len(self.batches)}
+
+    def partitions(self, start: dict, end: dict) -> list[Piece]:
+        self.catch_up()
+        order = sum(map(len, self.batches[: start["batch"]]))
+        files = [f for batch in self.batches[start["batch"] : end["batch"]] for f in batch]
+        step = self.reader.range
+        return [
+            Piece(name, order + i, at, min(at + step, size)) for i, (name, size) in enumerate(files) for at in range(0, size, step)
+        ]
+
+    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    file: str | None  # of no name that readers see
+    part: int
+    records: int
+
 
-        def every() -> Iterator[tuple[int, bytes]]:
-            yield first
-            yield from lines
+class FastxWriter(DataSourceArrowWriter):
+    """Record files that appear when the job is over, or never.
 
-        records = fasta_records(every(), self.wrapped) if kind == "fasta" else fastq_records(every())
-        rows: list[tuple] = []
-        names = ["file", "file_order", "position", "id", "description", "seq", "qual"]
+    Tasks write to a hidden folder of the job. Committing moves the files of those that count to their names and drops the folder,
+    with whatever failed or doubled tasks have left in it; a job that aborts drops it as it is.
+    """
 
-        def batch() -> pa.RecordBatch:
-            columns = zip(*rows, strict=True)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
+        self.path, self.kind = options["path"], options.get("format", "fastq")
+        self.codec = options.get("compression", "gz")
+        if self.kind not in ("fasta", "fastq") or self.codec not in ("gz", "bz2", "zst", "none"):
+            raise ValueError(f"unknown format or compression: {self.kind}, {self.codec}")
+        self.columns, self.overwrite, self.job = schema.names, overwrite, uuid.uuid4().hex
 
-        for at, header, seq, qual in records:
-            rows.append((piece.file, piece.order, at, (header.split() or [""])[0], header, seq, qual))
-            if len(rows) == ROWS:
-                yield batch()
-                rows = []
-        if rows:
-            yield batch()
+    def place(self) -> tuple[pa.fs.FileSystem, str, str]:
+        fs, path = file_system(self.path)
+        return fs, path.rstrip("/"), f"{path.rstrip('/')}/_write-{self.job}"
+
+    def text(self, batch: pa.RecordBatch) -> bytes:
+        """Lines of all records. A missing quality becomes #."""
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        header, seq = columns["id"], columns["seq"]
+        if "description" in columns:
+            header = pc.coalesce(columns["description"], header)
+        if self.kind == "fasta":
+            lines = pc.binary_join_element_wise(">", header, "\n", seq, "\n", "")
+        else:
+            missing = pc.binary_repeat("#", pc.utf8_length(seq))
+            qual = pc.coalesce(columns["qual"], missing) if "qual" in columns else missing
+            lines = pc.binary_join_element_wise("@", header, "\n", seq, "\n+\n", qual, "\n", "")
+        if lines.null_count:
+            raise ValueError("a record has no id or no sequence")
+        return b"".join(x.encode() for x in lines.to_pylist())
+
+    def packed(self, data: bytes) -> bytes:
+        """A gzip member, bzip2 stream or Zstandard frame of its own, so that readers can enter there."""
+        if self.codec == "gz":
+            return gzip.compress(data, 6, mtime=0)
+        if self.codec == "bz2":
+            return bz2.compress(data)
+        if self.codec == "zst":
+            import zstandard
+
+            return zstandard.ZstdCompressor().compress(data)
+        return data
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        context = TaskContext.get()
+        fs, _, hidden = self.place()
+        suffix = "" if self.codec == "none" else f".{self.codec}"
+        name, out, held, records = f"{hidden}/{context.partitionId()}-{context.taskAttemptId()}.{self.kind}{suffix}", None, [], 0
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                fs.create_dir(hidden, recursive=True)
+                out = fs.open_output_stream(name, compression=None)
+            records += batch.num_rows
+            held.append(self.text(batch))
+            if sum(map(len, held)) >= MEMBER_BYTES:
+                out.write(self.packed(b"".join(held)))
+                held = []
+        if out is None:
+            return Written(None, context.partitionId(), 0)
+        if held:
+            out.write(self.packed(b"".join(held)))
+        out.close()
+        return Written(name, context.partitionId(), records)
+
+    def commit(self, messages: list[Written]) -> None:
+        fs, path, hidden = self.place()
+        fs.create_dir(path, recursive=True)
+        old = files_of(fs, path) if self.overwrite else []
+        for m in messages:
+            if m is not None and m.file:
+                fs.move(m.file, f"{path}/part-{m.part:05d}-{self.job}{base_and_suffix(m.file)[1]}")
+        for f in old:
+            fs.delete_file(f.path)
+        if fs.get_file_info(hidden).type != pa.fs.FileType.NotFound:
+            fs.delete_dir(hidden)
+
+    def abort(self, messages: list[Written]) -> None:
+        fs, _, hidden = self.place()
+        if fs.get_file_info(hidden).type != pa.fs.FileType.NotFound:
+            fs.delete_dir(hidden)
 
 
 class FastxSource(DataSource):
-    """spark.read.format("fastx").option("format", "auto" | "fasta" | "fastq").load(path)."""
+    """The format "fastx", option format "auto", "fasta" or "fastq", to read, to read as a stream, and to write."""
 
     @classmethod
     def name(cls) -> str:
@@ -213,17 +411,41 @@ class FastxSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> FastxReader:  # noqa: ANN001
-        return FastxReader(self.options)
+    def reader(self, schema: StructType) -> FastxReader:
+        filtering = self.options.get("pushFilters", "false") == "true"
+        return (FilteringReader if filtering else FastxReader)(self.options, schema.names)
+
+    def streamReader(self, schema: StructType) -> FastxStreamReader:  # noqa: N802
+        return FastxStreamReader(self.options, schema.names)
 
+    def writer(self, schema: StructType, overwrite: bool) -> FastxWriter:
+        return FastxWriter(self.options, schema, overwrite)
 
-def read(spark: SparkSession, path: str, kind: str = "auto", **options: str) -> DataFrame:
-    """file, file_order, position (in the file's uncompressed bytes), id, description, seq, qual.
 
-    file_order numbers the files in natural order, digits as numbers; order records by it and position.
+def read(spark: SparkSession, path: str, kind: str = "auto", columns: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """file, file_order, position, id, description, seq, qual; or only the given columns, then the others aren't made.
+
+    file_order numbers the files in natural order, digits as numbers; order records by it and position, which is the byte in
+    a plain file, and grows likewise in a compressed one.
     """
     spark.dataSource.register(FastxSource)
-    return spark.read.format("fastx").options(format=kind, **options).load(path)
+    known = {c.split()[0]: c for c in SCHEMA.split(", ")}
+    asked = ", ".join(known[c] for c in columns or known)
+    filtering = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("fastx").schema(asked).options(format=kind, pushFilters=filtering, **options).load(path)
+
+
+def read_stream(spark: SparkSession, path: str, log: str, kind: str = "auto", **options: str) -> DataFrame:
+    """The records of files as they arrive in the folder at path, with the columns of read(); `log` is a folder of the stream's own."""
+    spark.dataSource.register(FastxSource)
+    return spark.readStream.format("fastx").options(format=kind, log=log, **options).load(path)
+
+
+def write_files(df: DataFrame, path: str, kind: str = "fastq", compression: str = "gz", mode: str = "append") -> str:
+    """Write records (id, seq, ...) to files in the folder at path, all of them or none; returns path."""
+    df.sparkSession.dataSource.register(FastxSource)
+    df.write.format("fastx").mode(mode).options(format=kind, compression=compression).save(path)
+    return path
 
 
 def reference(spark: SparkSession, path: str) -> str:

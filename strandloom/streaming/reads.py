@@ -1,4 +1,4 @@
-"""The row-local stages over a stream of reads: merge apart, nothing here needs state."""
+"""The row-local stages over a stream of reads, which need no state; fastx.read_stream() reads files, mates merges."""
 
 from __future__ import annotations
 
