@@ -2,7 +2,7 @@
 
 A count is quantised to a level on a scale that is exact up to 8 and logarithmic beyond. An n-gram of level j is put in
 the filter j times, as (n-gram, 1) to (n-gram, j); its level is read by probing 1, 2, ... until one isn't there. So
-levels are never read too low, and too high with a chance of some 0.3 % a step. The filter is cut into blocks by hash.
+levels are never read too low, and too high with a chance of some 0.8 % a step. The filter is cut into blocks by hash.
 Workers get as many blocks at once as a bound on broadcasts allows; where there are more, documents take further passes,
 each over other blocks, with what they have read so far. The number of passes changes no result.
 
@@ -13,7 +13,8 @@ chosen by the likelihood of all training texts, each token left out of the count
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -27,18 +28,19 @@ from strandloom.llm.shingles import PLACE, SPLIT, mixed
 from strandloom.llm.text import slices
 from strandloom.session import stored
 
-#: Words in an n-gram, at most.
+#: Words in an n-gram, at most; two to four.
 ORDER = 2
-#: Probes of a member, and bits for each: one in 300 of what isn't there seems to be.
-PROBES, BITS_A_MEMBER = 8, 12
+#: Probes of a member, and bits for each: one in 130 or so of what isn't there seems to be. A member's probes all lie in one line
+#: of memory.
+PROBES, BITS_A_MEMBER, LINE = 7, 12, 512
 #: Blocks that are broadcast at once, in MB; a block has the n-grams of some PART_BYTES of text, and there are LEAST_PARTS at least.
 FILTER_MB, PART_BYTES, LEAST_PARTS = 128, 4_000_000, 64
 #: So many of the most frequent words are broadcast with their exact counts (16 bytes each); the rest are joined by shuffle.
 FREQUENT = 1 << 20
 #: Weights of the shorter history, in tokens, to choose from.
-MU = tuple(4.0**i for i in range(10))
-#: Characters of text taken at once.
-SLICE_CHARS = 6_000_000
+MU = tuple(8.0**i for i in range(7))
+#: Characters of text taken at once, in counting and in scoring.
+LEARN_CHARS, SCORE_CHARS = 6_000_000, 2_000_000
 #: The token that begins a text, which is never counted or scored, and the one that ends it: no word has such bytes.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" ", b""))
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -56,17 +58,37 @@ LEAST = scale()
 GREATEST = np.append(LEAST[1:] - 1, LEAST[-1])
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of BEGIN, the words and END of each text, one after the other; each one's place in its text; where texts begin."""
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    first = np.cumsum(n + 2) - n - 2
-    seq = np.empty(int(n.sum()) + 2 * len(n), np.uint64)
-    inner = np.ones(len(seq), bool)
-    inner[first] = inner[first + n + 1] = False
-    seq[inner] = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(n.sum()))
-    seq[first], seq[first + n + 1] = BEGIN, END
-    return seq, np.arange(len(seq)) - np.repeat(first, n + 2), first
+class Numbers(dict):
+    """A number for each word, in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+@dataclass
+class Tokens:
+    """BEGIN, the words and END of some texts, one text after the other."""
+
+    hashes: np.ndarray  # of the distinct tokens
+    which: np.ndarray  # the place there of each token
+    place: np.ndarray  # of each token in its text, 0 for BEGIN
+    first: np.ndarray  # where texts begin
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Tokens:
+        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(n + 2) - n - 2
+        which = np.zeros(int(n.sum()) + 2 * len(n), np.int32)
+        inner = np.ones(len(which), bool)
+        inner[first] = inner[first + n + 1] = False
+        numbers = Numbers()
+        which[inner] = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int32, int(n.sum())) + 2
+        which[first + n + 1] = 1
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+        place = np.arange(len(which)) - np.repeat(first, n + 2)
+        return cls(np.append(np.array([BEGIN, END]), hashes), which, place, first)
 
 
 def grams(seq: np.ndarray, order: int) -> list[np.ndarray]:
@@ -84,53 +106,58 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> SPLIT) * np.uint64(parts)) >> SPLIT
 
 
-def halves(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 32-bit hashes of (h, level), the second odd."""
-    x = mixed(h + np.uint64(level * int(PLACE[5]) % 2**64))
-    return x >> SPLIT, x & LOW32 | np.uint64(1)
+def line_of(h: np.ndarray, level: int, parts: int, lines: np.ndarray | np.uint64) -> np.ndarray:
+    """Which of so many lines of its part's block (h, level) is in. For level 1, of which most is asked, the order is that of h."""
+    spread = ((h >> SPLIT) * np.uint64(parts)) & LOW32 if level == 1 else mixed(h ^ PLACE[(level + 1) % 8]) >> SPLIT
+    return (spread * lines) >> SPLIT
 
 
-def probe(a: np.ndarray, b: np.ndarray, nth: int, bits: np.ndarray | np.uint64) -> np.ndarray:
-    """The nth place of a member among so many bits."""
-    return (((a + np.uint64(nth) * b) & LOW32) * bits) >> SPLIT
+def spots_of(h: np.ndarray, level: int) -> np.ndarray:
+    """The places in the line, nine bits for each."""
+    return mixed(h + np.uint64(level * int(PLACE[5]) % 2**64))
 
 
-def block_of(h: np.ndarray, level: np.ndarray) -> tuple[int, bytes]:
+def spot(spots: np.ndarray, nth: int) -> np.ndarray:
+    return (spots >> np.uint64(9 * nth)) & np.uint64(LINE - 1)
+
+
+def block_of(h: np.ndarray, level: np.ndarray, parts: int) -> tuple[int, bytes]:
     """The number of bits, and the block that holds h up to its levels."""
-    bits = -(-max(int(level.sum()) * BITS_A_MEMBER, 8) // 8) * 8
-    on = np.zeros(bits, bool)
+    lines = max(1, -(-int(level.sum()) * BITS_A_MEMBER // LINE))
+    on = np.zeros(lines * LINE, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         h, level = h[level >= j], level[level >= j]
-        a, b = halves(h, j)
+        first, spots = line_of(h, j, parts, np.uint64(lines)) * np.uint64(LINE), spots_of(h, j)
         for nth in range(PROBES):
-            on[probe(a, b, nth, np.uint64(bits))] = True
-    return bits, np.packbits(on, bitorder="little").tobytes()
+            on[first + spot(spots, nth)] = True
+    return len(on), np.packbits(on, bitorder="little").tobytes()
 
 
 class Filter:
-    """Blocks of consecutive parts from `first`, of `parts` in all."""
+    """Blocks of some of `parts` parts, given as (part, bits, block), with so many bits in all."""
 
-    def __init__(self, parts: int, first: int, blocks: list[tuple[int, int, bytes]]):
+    def __init__(self, parts: int, total: int, blocks: Iterable[tuple[int, int, bytes]]):
         self.parts = parts
         self.bits, self.start = np.zeros(parts, np.uint64), np.zeros(parts, np.uint64)
-        at = 0
+        self.data, at = np.zeros(total // 8 + 1, np.uint8), 0
         for part, bits, block in blocks:
             self.bits[part], self.start[part] = bits, at
-            at += 8 * len(block)
-        self.data = np.frombuffer(b"".join(b for *_, b in blocks) or b"\0", np.uint8)
+            self.data[at // 8 : at // 8 + len(block)] = np.frombuffer(block, np.uint8)
+            at += bits
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The level of each h; 0 for those of other parts."""
         part = part_of(h, self.parts)
-        bits, start = self.bits[part], self.start[part]
+        lines, start = self.bits[part] // np.uint64(LINE), self.start[part]
         level = np.zeros(len(h), np.uint8)
-        alive = np.flatnonzero(bits)
+        alive = np.flatnonzero(lines)
         for j in range(1, len(LEAST)):
-            a, b = halves(h[alive], j)
+            some = h[alive]
+            first, spots = start[alive] + line_of(some, j, self.parts, lines[alive]) * np.uint64(LINE), spots_of(some, j)
             for nth in range(PROBES):  # one at a time: most of what isn't there is out after two
-                at = start[alive] + probe(a, b, nth, bits[alive])
+                at = first + spot(spots, nth)
                 on = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                alive, a, b = alive[on], a[on], b[on]
+                alive, first, spots = alive[on], first[on], spots[on]
             if not len(alive):
                 break
             level[alive] = j
@@ -157,13 +184,14 @@ def gathered(texts: DataFrame, order: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column("text").to_pylist()
-            for first, end in slices(held, SLICE_CHARS):
-                seq, place, _ = tokens(held[first:end])
-                found = grams(seq, order)
-                longer = np.concatenate([np.zeros(0, np.uint64), *[found[n][place >= n] for n in range(1, order)]])
+            for first, end in slices(held, LEARN_CHARS):
+                seen = Tokens.of(held[first:end])
+                found = grams(seen.hashes[seen.which], order)
+                longer = np.concatenate([found[n][seen.place >= n] for n in range(1, order)])
+                by_hash = np.argsort(seen.hashes)
+                counts = np.bincount(seen.which, minlength=len(seen.hashes))
                 cut, edges = [], np.arange(1, parts, dtype=np.uint64)
-                for h in (seq, longer):
-                    h, n = np.unique(h, return_counts=True)
+                for h, n in ((seen.hashes[by_hash], counts[by_hash]), np.unique(longer, return_counts=True)):
                     ends = np.searchsorted(part_of(h, parts), edges)
                     cut += [np.split(h, ends), np.split(n.astype(np.uint32), ends)]
                 rows = [(p, *[x.tobytes() for x in four]) for p, four in enumerate(zip(*cut, strict=True)) if len(four[0]) or len(four[2])]
@@ -176,12 +204,12 @@ def gathered(texts: DataFrame, order: int, parts: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, GATHERED)
 
 
-def merged(table: pa.Table) -> pa.Table:
+def merged(table: pa.Table, parts: int) -> pa.Table:
     """One part of the model: its block of the filter, its words with exact counts, and how many words have each level."""
     h, n = summed(table["words"].to_pylist(), table["word_n"].to_pylist())
     g, m = summed(table["grams"].to_pylist(), table["gram_n"].to_pylist())
     every, count = np.concatenate([h, g]), np.concatenate([n, m])
-    bits, block = block_of(every, np.searchsorted(LEAST, count, "right") - 1)
+    bits, block = block_of(every, np.searchsorted(LEAST, count, "right") - 1, parts)
     h, n = h[h != BEGIN], n[h != BEGIN]
     spread = np.bincount(np.searchsorted(LEAST, n, "right") - 1, minlength=1)
     row = [table["part"][0].as_py(), bits, block, h.tobytes(), n.tobytes(), len(h), int(n.sum()), spread.tolist()]
@@ -194,13 +222,14 @@ class Model:
     """What is learnt from the text of all rows of `training`: a table of parts in the shared folder, and its sums."""
 
     def __init__(self, training: DataFrame, order: int = ORDER, filter_mb: float = FILTER_MB, frequent: int = FREQUENT):
-        if order < 2:
-            raise ValueError("n-grams have two words at least")
+        if not 2 <= order <= 4:
+            raise ValueError("n-grams have two to four words")
         self.order = order
         size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.parts = max(LEAST_PARTS, -(-size // PART_BYTES))
         rows = gathered(training, order, self.parts)
-        self.table = stored(rows.groupBy("part").applyInArrow(merged, MODEL), "model")
+        parts = self.parts
+        self.table = stored(rows.groupBy("part").applyInArrow(lambda table: merged(table, parts), MODEL), "model")
         sums = self.table.agg(F.sum("words"), F.sum("tokens"), F.sum("bits")).first()
         self.words, self.tokens, self.bits = (x or 0 for x in sums)
         spread = self.table.select(F.posexplode("spread").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n"))
@@ -210,19 +239,16 @@ class Model:
             if held > frequent:
                 break
             self.cut = r.level
-        # runs of parts whose blocks fit
-        self.runs, held = [], 0.0
-        for r in self.table.select("part", "bits").orderBy("part").toLocalIterator():
-            if not self.runs or held + r.bits > filter_mb * 8e6:
-                self.runs.append([r.part, r.part])
-                held = 0
-            self.runs[-1][1] = r.part
-            held += r.bits
-        self.runs = self.runs or [[0, 0]]
+        # hashes are spread evenly, so equal runs of parts have about as many bits
+        passes = min(max(1, -(-self.bits // int(filter_mb * 8e6))), self.parts)
+        edges = [self.parts * k // passes for k in range(passes + 1)]
+        self.runs = [(a, b - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def filter_of(self, first: int, last: int) -> Filter:
-        rows = self.table.filter(F.col("part").between(first, last)).select("part", "bits", "block").collect()
-        return Filter(self.parts, first, sorted((r.part, r.bits, bytes(r.block)) for r in rows))
+        """The blocks of these parts, filled in one by one."""
+        rows = self.table.filter(F.col("part").between(first, last)).select("part", "bits", "block")
+        total = rows.agg(F.sum("bits")).first()[0] or 0
+        return Filter(self.parts, total, ((r.part, r.bits, r.block) for r in rows.toLocalIterator()))
 
     def frequent_words(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes and exact counts of the words from the level `cut` on."""
@@ -256,16 +282,31 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)
 
 
-def levels_read(found: list[np.ndarray], place: np.ndarray, held: Filter, before: np.ndarray | None) -> np.ndarray:
-    """For each n, level of the n-gram up to each place (0 where a text has fewer tokens); `before` has those of other blocks."""
-    level = np.zeros((len(found), len(place)), np.uint8) if before is None else before.copy()
-    for n, h in enumerate(found):
-        whole = np.flatnonzero(place >= n)
+def levels_read(seen: Tokens, order: int, held: Filter, before: np.ndarray | None) -> np.ndarray:
+    """For each n, level of the n-gram up to each token (0 where a text has fewer); `before` has those of other blocks."""
+    level = np.zeros((order, len(seen.which)), np.uint8) if before is None else before.copy()
+    level[0] += held.levels(seen.hashes)[seen.which]
+    for n, h in enumerate(grams(seen.hashes[seen.which], order)[1:], 1):
+        whole = np.flatnonzero(seen.place >= n)
         distinct, back = np.unique(h[whole], return_inverse=True)
         level[n, whole] += held.levels(distinct)[back]
     return level
 
 
+def combinations(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one of each combination of small numbers, and for each place which of these it has."""
+    code, size = np.zeros(len(columns[0]), np.int64), 1
+    for x in columns:
+        most = int(x.max(initial=0)) + 1
+        code, size = code * most + x, size * most
+    if size > 4_000_000:
+        _, some, back = np.unique(code, return_index=True, return_inverse=True)
+        return some, back
+    at = np.full(size, -1)
+    at[code] = np.arange(len(code))
+    return at[at >= 0], (np.cumsum(at >= 0) - 1)[code]
+
+
 def log_probabilities(level: np.ndarray, place: np.ndarray, total: int, distinct: int, mu: np.ndarray, left_out: bool) -> np.ndarray:
     """log10 of each token's smoothed probability, a row for each mu; with left_out from counts that are less by the token itself.
 
@@ -289,7 +330,7 @@ SCORED = (
 )
 
 
-def score(docs: DataFrame, model: Model, training: Column, filter_mb: float = FILTER_MB) -> DataFrame:
+def score(docs: DataFrame, model: Model, training: Column) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of docs; `training` says which the model has learnt.
 
     Tokens are the runs of other characters than the six ASCII white spaces, A-Z lower-cased, and one end; a null text is
@@ -306,18 +347,18 @@ def score(docs: DataFrame, model: Model, training: Column, filter_mb: float = FI
     def read(batches: Iterator[pa.RecordBatch], held: Filter):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for first, end in slices(texts, SLICE_CHARS):
-                seq, place, begins = tokens(texts[first:end])
+            for first, end in slices(texts, SCORE_CHARS):
+                seen = Tokens.of(texts[first:end])
                 before = None
                 if "levels" in batch.schema.names:
                     earlier = batch.column("levels").slice(first, end - first).to_pylist()
                     before = np.concatenate([np.frombuffer(x, np.uint8).reshape(order, -1) for x in earlier], 1)
-                yield batch.slice(first, end - first), seq, place, begins, levels_read(grams(seq, order), place, held, before)
+                yield batch.slice(first, end - first), seen, levels_read(seen, order, held, before)
 
     def pass_over(blocks):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, _, _, begins, level in read(batches, blocks.value):
-                cells = [x.tobytes() for x in np.split(level, begins[1:], axis=1)]
+            for part, seen, level in read(batches, blocks.value):
+                cells = [x.tobytes() for x in np.split(level, seen.first[1:], axis=1)]
                 kept = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "learnt", "text")]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(cells, pa.binary())], ["doc_id", "learnt", "text", "levels"])
 
@@ -327,34 +368,29 @@ def score(docs: DataFrame, model: Model, training: Column, filter_mb: float = FI
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = TaskContext.get().partitionId() << 33
             known, counts = exact.value
-            for part, seq, place, begins, level in read(batches, blocks.value):
+            for part, seen, level in read(batches, blocks.value):
                 docs_here = part.num_rows
-                token = np.flatnonzero(place > 0)
-                doc = np.repeat(np.arange(docs_here), np.diff(np.append(begins, len(seq))) - 1)
-                starts = begins - np.arange(docs_here)
+                token = np.flatnonzero(seen.place > 0)
+                which, place = seen.which[token], seen.place[token]
+                doc = np.repeat(np.arange(docs_here), np.diff(np.append(seen.first, len(seen.which))) - 1)
+                starts = seen.first - np.arange(docs_here)
                 # exact counts of frequent words; the others are left to a join
-                h, back = np.unique(seq[token], return_inverse=True)
+                h = seen.hashes
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 hit = known[at] == h if len(known) else np.zeros(len(h), bool)
                 share = np.where(hit, np.log10(np.where(hit, counts[at] if len(known) else 0, 0) + 0.5) - unit, 0)
-                base = np.add.reduceat(share[back], starts)
-                frequent = np.add.reduceat(hit[back].astype(np.int64), starts)
-                other = np.flatnonzero(~hit[back])
-                key = doc[other] * len(h) + back[other]
-                key, times = np.unique(key, return_counts=True)
+                base = np.add.reduceat(share[which], starts)
+                frequent = np.add.reduceat(hit[which].astype(np.int64), starts)
+                other = np.flatnonzero(~hit[which])
+                key, times = np.unique(doc[other] * len(h) + which[other], return_counts=True)
                 cuts = np.searchsorted(key, np.arange(1, docs_here) * len(h))
                 rare = [x.view(np.int64) for x in np.split(h[key % len(h)], cuts)]
-                # a token's probability is that of its longest n-gram, computed once for each
-                found = grams(seq, order)
-                full = seq.copy()
-                for n in range(1, order):
-                    full[place >= n] = found[n][place >= n]
-                _, some, back = np.unique(full[token], return_index=True, return_inverse=True)
-                some = token[some]
-                both = np.concatenate([level[:, some], np.zeros((1, len(some)), np.uint8), level[: order - 1, some - 1]])
+                # levels decide a token's probability, so it is computed once for each combination of them
+                read_levels = [*level[:, token], np.zeros(len(token), np.uint8), *level[: order - 1, token - 1]]
+                some, back = combinations([np.minimum(place, order - 1), *read_levels])
                 sums = []
                 for out in (False, True):
-                    each = log_probabilities(both, place[some], total, distinct, mu, out)
+                    each = log_probabilities(np.stack(read_levels)[:, some], place[some], total, distinct, mu, out)
                     sums.append(np.stack([np.add.reduceat(x[back], starts) for x in each], 1))
                 learnt = np.array(part.column("learnt").to_pylist(), bool)
                 sums[1][~learnt] = 0

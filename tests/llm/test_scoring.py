@@ -77,7 +77,8 @@ def same_rows(got, expected):
 def test_lm_scores_against_exact_counts(spark, monkeypatch, order, frequent):
     """The filter gives what exact counts give, but for its false positives; with few frequent words most are joined by shuffle."""
     monkeypatch.setattr(bloom_lm, "MU", (32.0,))
-    monkeypatch.setattr(bloom_lm, "SLICE_CHARS", 3000)
+    monkeypatch.setattr(bloom_lm, "LEARN_CHARS", 3000)
+    monkeypatch.setattr(bloom_lm, "SCORE_CHARS", 2000)
     rows = [(i, t) for i, t in enumerate(texts(1, 60) + ODD_TEXTS)] + [(None, "the same text"), (3, "rare-word a"), (3, "rare-word a")]
     docs = frame(spark, rows).withColumn("levels", F.lit("x")).withColumn("learnt", F.lit(1))
     training = ~bloom_lm.held_out(F.col("doc_id"))
@@ -105,7 +106,7 @@ def test_lm_filter_never_reads_too_low():
     n = rng.zipf(1.5, len(h)).clip(1, 10**12)
     level = np.searchsorted(bloom_lm.LEAST, n, "right") - 1
     part = bloom_lm.part_of(h, 16)
-    blocks = [(p, *bloom_lm.block_of(h[part == p], level[part == p])) for p in range(16)]
+    blocks = [(p, *bloom_lm.block_of(h[part == p], level[part == p], 16)) for p in range(16)]
     held = bloom_lm.Filter(16, sum(b[1] for b in blocks), blocks)
     assert (held.levels(h) >= level).all()
     assert (held.levels(h) > level).mean() < 0.015
