@@ -2,7 +2,7 @@
 
 A count is quantised to a level on a scale that is exact up to 8 and logarithmic beyond. An n-gram of level j is put in
 the filter j times, as (n-gram, 1) to (n-gram, j); its level is read by probing 1, 2, ... until one isn't there. So
-levels are never read too low, and too high with a chance of some 0.8 % a step. The filter is cut into blocks by hash.
+levels are never read too low, and too high with a chance of some 1 % a step. The filter is cut into blocks by hash.
 Workers get as many blocks at once as a bound on broadcasts allows; where there are more, documents take further passes,
 each over other blocks, with what they have read so far. The number of passes changes no result.
 
@@ -19,28 +19,28 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.shingles import PLACE, SPLIT, mixed
-from strandloom.llm.text import slices
 from strandloom.session import stored
 
 #: Words in an n-gram, at most; two to four.
 ORDER = 2
-#: Probes of a member, and bits for each: one in 130 or so of what isn't there seems to be. A member's probes all lie in one line
+#: Probes of a member, and bits for each: one in 100 or so of what isn't there seems to be. A member's probes all lie in one line
 #: of memory.
-PROBES, BITS_A_MEMBER, LINE = 7, 12, 512
+PROBES, BITS_A_MEMBER, LINE = 7, 10, 512
 #: Blocks that are broadcast at once, in MB; a block has the n-grams of some PART_BYTES of text, and there are LEAST_PARTS at least.
 FILTER_MB, PART_BYTES, LEAST_PARTS = 128, 4_000_000, 64
 #: So many of the most frequent words are broadcast with their exact counts (16 bytes each); the rest are joined by shuffle.
 FREQUENT = 1 << 20
 #: Weights of the shorter history, in tokens, to choose from.
 MU = tuple(8.0**i for i in range(7))
-#: Characters of text taken at once, in counting and in scoring.
-LEARN_CHARS, SCORE_CHARS = 6_000_000, 2_000_000
+#: Bytes of text taken at once, in counting and in scoring.
+LEARN_BYTES, SCORE_BYTES = 6_000_000, 2_000_000
 #: The token that begins a text, which is never counted or scored, and the one that ends it: no word has such bytes.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" ", b""))
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -58,6 +58,17 @@ LEAST = scale()
 GREATEST = np.append(LEAST[1:] - 1, LEAST[-1])
 
 
+def runs_of(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose texts have some `most` bytes; a longer text is a run of its own."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first = 0
+    while first < batch.num_rows:
+        before = held[first - 1] if first else 0
+        end = min(batch.num_rows, max(first + 1, int(np.searchsorted(held, before + most, "right"))))
+        yield first, end
+        first = end
+
+
 class Numbers(dict):
     """A number for each word, in the order in which they come."""
 
@@ -183,9 +194,8 @@ def gathered(texts: DataFrame, order: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.column("text").to_pylist()
-            for first, end in slices(held, LEARN_CHARS):
-                seen = Tokens.of(held[first:end])
+            for first, end in runs_of(batch, LEARN_BYTES):
+                seen = Tokens.of(batch.column("text").slice(first, end - first).to_pylist())
                 found = grams(seen.hashes[seen.which], order)
                 longer = np.concatenate([found[n][seen.place >= n] for n in range(1, order)])
                 by_hash = np.argsort(seen.hashes)
@@ -346,9 +356,8 @@ def score(docs: DataFrame, model: Model, training: Column) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch], held: Filter):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for first, end in slices(texts, SCORE_CHARS):
-                seen = Tokens.of(texts[first:end])
+            for first, end in runs_of(batch, SCORE_BYTES):
+                seen = Tokens.of(batch.column("text").slice(first, end - first).to_pylist())
                 before = None
                 if "levels" in batch.schema.names:
                     earlier = batch.column("levels").slice(first, end - first).to_pylist()

@@ -77,8 +77,8 @@ def same_rows(got, expected):
 def test_lm_scores_against_exact_counts(spark, monkeypatch, order, frequent):
     """The filter gives what exact counts give, but for its false positives; with few frequent words most are joined by shuffle."""
     monkeypatch.setattr(bloom_lm, "MU", (32.0,))
-    monkeypatch.setattr(bloom_lm, "LEARN_CHARS", 3000)
-    monkeypatch.setattr(bloom_lm, "SCORE_CHARS", 2000)
+    monkeypatch.setattr(bloom_lm, "LEARN_BYTES", 3000)
+    monkeypatch.setattr(bloom_lm, "SCORE_BYTES", 2000)
     rows = [(i, t) for i, t in enumerate(texts(1, 60) + ODD_TEXTS)] + [(None, "the same text"), (3, "rare-word a"), (3, "rare-word a")]
     docs = frame(spark, rows).withColumn("levels", F.lit("x")).withColumn("learnt", F.lit(1))
     training = ~bloom_lm.held_out(F.col("doc_id"))
