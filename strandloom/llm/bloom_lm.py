@@ -2,7 +2,9 @@
 
 A count is quantised to a level on a scale that is exact up to 8 and logarithmic beyond. An n-gram of level j is put in
 the filter j times, as (n-gram, 1) to (n-gram, j); its level is read by probing 1, 2, ... until one isn't there. So
-levels are never read too low, and too high with a chance of some 1 % a step. The filter is cut into blocks by hash.
+levels are never read too low, and too high with a chance of some 1.2 % a step. A member's bits lie in two words of one
+line, so a probe is two reads, and at each level n-grams in the order of their hashes meet the lines in order. The filter
+is cut into blocks by hash.
 Workers get as many blocks at once as a bound on broadcasts allows; where there are more, documents take further passes,
 each over other blocks, with what they have read so far. The number of passes changes no result.
 
@@ -13,9 +15,9 @@ chosen by the likelihood of all training texts, each token left out of the count
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,19 @@ from strandloom.session import stored
 
 #: Words in an n-gram, at most; two to four.
 ORDER = 2
-#: Probes of a member, and bits for each: one in 100 or so of what isn't there seems to be. A member's probes all lie in one line
-#: of memory.
-PROBES, BITS_A_MEMBER, LINE = 7, 10, 512
+#: Bits for each member of the filter; a line has eight words of 64 bits. A member sets some bits of a word in the first half of its
+#: line and of one in the second: one in 85 or so of what isn't there seems to be.
+BITS_A_MEMBER, LINE = 10, 512
+#: The bits that a member may set in a word, three of 64.
+MASKS = np.array([sum(1 << b for b in random.Random(i).sample(range(64), 3)) for i in range(2048)], np.uint64)
+#: The lines of a level are those of the level below, turned by this part of 2^32.
+TURN = 0x9E3779B1
+#: Words of more bytes are hashed one by one.
+LONG = 64
+#: Levels from which on a task remembers what it read, and how many at most.
+WORTH, MEMORY = 4, 1 << 18
+#: N-grams that are probed at once, so that what is computed for them stays in the cache.
+PROBED = 1 << 15
 #: Blocks that are broadcast at once, in MB; a block has the n-grams of some PART_BYTES of text, and there are LEAST_PARTS at least.
 FILTER_MB, PART_BYTES, LEAST_PARTS = 128, 4_000_000, 64
 #: So many of the most frequent words are broadcast with their exact counts (16 bytes each); the rest are joined by shuffle.
@@ -69,37 +81,61 @@ def runs_of(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int]]:
         first = end
 
 
-class Numbers(dict):
-    """A number for each word, in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and its bytes: eight bytes of all words at a time, long words by xxhash."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    data = np.append(data[: ends[-1]], np.zeros(8, np.uint8))
+    eights = np.lib.stride_tricks.sliding_window_view(data, 8)
+    size, start = np.diff(ends), ends[:-1]
+    h = size.astype(np.uint64) * PLACE[6]
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    for at in range(0, LONG, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        # bytes beyond the word are shifted out
+        beyond = np.maximum(8 * (at + 8) - 8 * size[left], 0).astype(np.uint64)
+        h[left] = mixed((h[left] ^ (eights[start[left] + at].view("<u8")[:, 0] << beyond)) + PLACE[at // 8])
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : ends[i + 1]])
+    return h, size
 
 
 @dataclass
 class Tokens:
     """BEGIN, the words and END of some texts, one text after the other."""
 
-    hashes: np.ndarray  # of the distinct tokens
+    hashes: np.ndarray  # of the distinct tokens, in order
     which: np.ndarray  # the place there of each token
     place: np.ndarray  # of each token in its text, 0 for BEGIN
     first: np.ndarray  # where texts begin
 
     @classmethod
-    def of(cls, texts: list[str | None]) -> Tokens:
-        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        n = np.fromiter(map(len, words), np.int64, len(words))
+    def of(cls, texts: pa.Array) -> Tokens:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = lists.flatten().dictionary_encode()
+        distinct, size = hashed(words.dictionary)
+        # white space at either end of a text gives an empty word there
+        code, real = words.indices.to_numpy(), size > 0
+        keep = real[code]
+        before = np.append(0, np.cumsum(keep))
+        n = np.diff(before[lists.offsets.to_numpy()])
+        hashes = np.concatenate([np.array([BEGIN, END]), distinct[real]])
+        by_hash = np.argsort(hashes)
+        rank = np.empty(len(hashes), np.int32)
+        rank[by_hash] = np.arange(len(hashes), dtype=np.int32)
         first = np.cumsum(n + 2) - n - 2
-        which = np.zeros(int(n.sum()) + 2 * len(n), np.int32)
+        which = np.full(int(n.sum()) + 2 * len(n), rank[0])
         inner = np.ones(len(which), bool)
         inner[first] = inner[first + n + 1] = False
-        numbers = Numbers()
-        which[inner] = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int32, int(n.sum())) + 2
-        which[first + n + 1] = 1
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+        which[inner] = rank[(np.cumsum(real) + 1)[code[keep]]]
+        which[first + n + 1] = rank[1]
         place = np.arange(len(which)) - np.repeat(first, n + 2)
-        return cls(np.append(np.array([BEGIN, END]), hashes), which, place, first)
+        return cls(hashes[by_hash], which, place, first)
 
 
 def grams(seq: np.ndarray, order: int) -> list[np.ndarray]:
@@ -117,31 +153,56 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> SPLIT) * np.uint64(parts)) >> SPLIT
 
 
-def line_of(h: np.ndarray, level: int, parts: int, lines: np.ndarray | np.uint64) -> np.ndarray:
-    """Which of so many lines of its part's block (h, level) is in. For level 1, of which most is asked, the order is that of h."""
-    spread = ((h >> SPLIT) * np.uint64(parts)) & LOW32 if level == 1 else mixed(h ^ PLACE[(level + 1) % 8]) >> SPLIT
-    return (spread * lines) >> SPLIT
-
-
-def spots_of(h: np.ndarray, level: int) -> np.ndarray:
-    """The places in the line, nine bits for each."""
-    return mixed(h + np.uint64(level * int(PLACE[5]) % 2**64))
+def spread_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Where h is in its part, in parts of 2^32, in the order of h."""
+    return ((h >> SPLIT) * np.uint64(parts)) & LOW32
 
 
-def spot(spots: np.ndarray, nth: int) -> np.ndarray:
-    return (spots >> np.uint64(9 * nth)) & np.uint64(LINE - 1)
+def spots_of(h: np.ndarray, spread: np.ndarray, level: int, lines: np.ndarray | np.uint64, start: np.ndarray | np.uint64) -> tuple[np.ndarray, ...]:
+    """The two words that (h, level) has bits in, and the bits in each; its part's block has so many lines from `start` on."""
+    line = start + (((spread + np.uint64(level * TURN % 2**32)) & LOW32) * lines >> SPLIT)
+    bits = mixed(h + np.uint64(level * int(PLACE[5]) % 2**64))
+    first = line << np.uint64(3) | bits & np.uint64(3)
+    second = first ^ (bits >> np.uint64(2) & np.uint64(3) | np.uint64(4))
+    nth = lambda shift: (bits >> np.uint64(shift) & np.uint64(len(MASKS) - 1)).view(np.int64)
+    return first.view(np.int64), MASKS[nth(4)], second.view(np.int64), MASKS[nth(15)]
 
 
 def block_of(h: np.ndarray, level: np.ndarray, parts: int) -> tuple[int, bytes]:
     """The number of bits, and the block that holds h up to its levels."""
     lines = max(1, -(-int(level.sum()) * BITS_A_MEMBER // LINE))
-    on = np.zeros(lines * LINE, bool)
+    words = np.zeros(lines * LINE // 64, np.uint64)
+    spread = spread_of(h, parts)
     for j in range(1, int(level.max(initial=0)) + 1):
-        h, level = h[level >= j], level[level >= j]
-        first, spots = line_of(h, j, parts, np.uint64(lines)) * np.uint64(LINE), spots_of(h, j)
-        for nth in range(PROBES):
-            on[first + spot(spots, nth)] = True
-    return len(on), np.packbits(on, bitorder="little").tobytes()
+        some = level >= j
+        h, level, spread = h[some], level[some], spread[some]
+        first, a, second, b = spots_of(h, spread, j, np.uint64(lines), np.uint64(0))
+        np.bitwise_or.at(words, first, a)
+        np.bitwise_or.at(words, second, b)
+    return lines * LINE, words.tobytes()
+
+
+class Remembered:
+    """Levels of a filter; of what took many probes the level is kept, up to a bound, as most of it comes again."""
+
+    def __init__(self, held: Filter):
+        self.held = held
+        self.h, self.level = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The level of each h; they are distinct and in order."""
+        level = np.zeros(len(h), np.uint8)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            level = np.where(self.h[at] == h, self.level[at], level)
+        unknown = np.flatnonzero(level == 0)
+        level[unknown] = read = self.held.levels(h[unknown])
+        new = unknown[read >= WORTH][: max(0, MEMORY - len(self.h))]
+        if len(new):
+            every = np.append(self.h, h[new])
+            order = np.argsort(every, kind="stable")
+            self.h, self.level = every[order], np.append(self.level, level[new])[order]
+        return level
 
 
 class Filter:
@@ -149,30 +210,36 @@ class Filter:
 
     def __init__(self, parts: int, total: int, blocks: Iterable[tuple[int, int, bytes]]):
         self.parts = parts
-        self.bits, self.start = np.zeros(parts, np.uint64), np.zeros(parts, np.uint64)
-        self.data, at = np.zeros(total // 8 + 1, np.uint8), 0
+        self.lines, self.start = np.zeros(parts, np.uint64), np.zeros(parts, np.uint64)
+        self.data, at = np.zeros(total // 64, np.uint64), 0
         for part, bits, block in blocks:
-            self.bits[part], self.start[part] = bits, at
-            self.data[at // 8 : at // 8 + len(block)] = np.frombuffer(block, np.uint8)
-            at += bits
+            words = np.frombuffer(block, np.uint64)
+            self.lines[part], self.start[part] = bits // LINE, at // 8
+            self.data[at : at + len(words)] = words
+            at += len(words)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """The level of each h; 0 for those of other parts."""
-        part = part_of(h, self.parts)
-        lines, start = self.bits[part] // np.uint64(LINE), self.start[part]
+        """The level of each h, soonest if they are in order; 0 for those of other parts."""
         level = np.zeros(len(h), np.uint8)
+        for a in range(0, len(h), PROBED):
+            self._read(h[a : a + PROBED], level[a : a + PROBED])
+        return level
+
+    def _read(self, h: np.ndarray, level: np.ndarray) -> None:
+        part = part_of(h, self.parts).view(np.int64)
+        lines, start, spread = self.lines[part], self.start[part], spread_of(h, self.parts)
         alive = np.flatnonzero(lines)
+        if len(alive) < len(h):
+            h, lines, start, spread = h[alive], lines[alive], start[alive], spread[alive]
         for j in range(1, len(LEAST)):
-            some = h[alive]
-            first, spots = start[alive] + line_of(some, j, self.parts, lines[alive]) * np.uint64(LINE), spots_of(some, j)
-            for nth in range(PROBES):  # one at a time: most of what isn't there is out after two
-                at = first + spot(spots, nth)
-                on = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                alive, first, spots = alive[on], first[on], spots[on]
-            if not len(alive):
+            first, a, second, b = spots_of(h, spread, j, lines, start)
+            on = (self.data[first] & a == a) & (self.data[second] & b == b)
+            left = np.flatnonzero(on)
+            if len(left) < len(h):
+                alive, h, lines, start, spread = alive[left], h[left], lines[left], start[left], spread[left]
+            if not len(left):
                 break
             level[alive] = j
-        return level
 
 
 def summed(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,13 +262,12 @@ def gathered(texts: DataFrame, order: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end in runs_of(batch, LEARN_BYTES):
-                seen = Tokens.of(batch.column("text").slice(first, end - first).to_pylist())
+                seen = Tokens.of(batch.column("text").slice(first, end - first))
                 found = grams(seen.hashes[seen.which], order)
                 longer = np.concatenate([found[n][seen.place >= n] for n in range(1, order)])
-                by_hash = np.argsort(seen.hashes)
                 counts = np.bincount(seen.which, minlength=len(seen.hashes))
                 cut, edges = [], np.arange(1, parts, dtype=np.uint64)
-                for h, n in ((seen.hashes[by_hash], counts[by_hash]), np.unique(longer, return_counts=True)):
+                for h, n in ((seen.hashes, counts), np.unique(longer, return_counts=True)):
                     ends = np.searchsorted(part_of(h, parts), edges)
                     cut += [np.split(h, ends), np.split(n.astype(np.uint32), ends)]
                 rows = [(p, *[x.tobytes() for x in four]) for p, four in enumerate(zip(*cut, strict=True)) if len(four[0]) or len(four[2])]
@@ -292,14 +358,17 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)
 
 
-def levels_read(seen: Tokens, order: int, held: Filter, before: np.ndarray | None) -> np.ndarray:
-    """For each n, level of the n-gram up to each token (0 where a text has fewer); `before` has those of other blocks."""
+def levels_read(seen: Tokens, order: int, held: list[Remembered], before: np.ndarray | None) -> np.ndarray:
+    """For each n, level of the n-gram up to each token (0 where a text has fewer); `before` has those of other blocks.
+
+    `held` has the filter for each n.
+    """
     level = np.zeros((order, len(seen.which)), np.uint8) if before is None else before.copy()
-    level[0] += held.levels(seen.hashes)[seen.which]
+    level[0] += held[0].levels(seen.hashes)[seen.which]
     for n, h in enumerate(grams(seen.hashes[seen.which], order)[1:], 1):
         whole = np.flatnonzero(seen.place >= n)
         distinct, back = np.unique(h[whole], return_inverse=True)
-        level[n, whole] += held.levels(distinct)[back]
+        level[n, whole] += held[n].levels(distinct)[back]
     return level
 
 
@@ -354,10 +423,11 @@ def score(docs: DataFrame, model: Model, training: Column) -> DataFrame:
     exact = spark.sparkContext.broadcast(model.frequent_words())
     unit = np.log10(total + 0.5 * (distinct + 1))
 
-    def read(batches: Iterator[pa.RecordBatch], held: Filter):
+    def read(batches: Iterator[pa.RecordBatch], blocks: Filter):
+        held = [Remembered(blocks) for _ in range(order)]
         for batch in batches:
             for first, end in runs_of(batch, SCORE_BYTES):
-                seen = Tokens.of(batch.column("text").slice(first, end - first).to_pylist())
+                seen = Tokens.of(batch.column("text").slice(first, end - first))
                 before = None
                 if "levels" in batch.schema.names:
                     earlier = batch.column("levels").slice(first, end - first).to_pylist()
@@ -373,47 +443,50 @@ def score(docs: DataFrame, model: Model, training: Column) -> DataFrame:
 
         return run
 
+    def scored_rows(part: pa.RecordBatch, seen: Tokens, level: np.ndarray, row: int) -> pa.RecordBatch:
+        known, counts = exact.value
+        docs_here = part.num_rows
+        token = np.flatnonzero(seen.place > 0)
+        which, place = seen.which[token], seen.place[token]
+        doc = np.repeat(np.arange(docs_here), np.diff(np.append(seen.first, len(seen.which))) - 1)
+        starts = seen.first - np.arange(docs_here)
+        # exact counts of frequent words; the others are left to a join
+        h = seen.hashes
+        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+        hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+        share = np.where(hit, np.log10(np.where(hit, counts[at] if len(known) else 0, 0) + 0.5) - unit, 0)
+        base = np.add.reduceat(share[which], starts)
+        frequent = np.add.reduceat(hit[which].astype(np.int64), starts)
+        other = np.flatnonzero(~hit[which])
+        key, times = np.unique(doc[other] * len(h) + which[other], return_counts=True)
+        cuts = np.searchsorted(key, np.arange(1, docs_here) * len(h))
+        rare = [x.view(np.int64) for x in np.split(h[key % len(h)], cuts)]
+        # levels decide a token's probability, so it is computed once for each combination of them
+        read_levels = [*level[:, token], np.zeros(len(token), np.uint8), *level[: order - 1, token - 1]]
+        some, back = combinations([np.minimum(place, order - 1), *read_levels])
+        sums = []
+        for out in (False, True):
+            each = log_probabilities(np.stack(read_levels)[:, some], place[some], total, distinct, mu, out)
+            sums.append(np.stack([np.add.reduceat(x[back], starts) for x in each], 1))
+        learnt = np.array(part.column("learnt").to_pylist(), bool)
+        sums[1][~learnt] = 0
+        lists = lambda a: pa.array(list(a), pa.list_(pa.float64()))
+        longs = lambda a: pa.array(list(a), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column("doc_id"), pa.array(np.arange(row, row + docs_here)),
+                pa.array(np.bincount(doc, minlength=docs_here)), pa.array(frequent), pa.array(base),
+                longs(rare), longs(np.split(times, cuts)), lists(sums[0]), lists(sums[1]),
+            ],
+            [x.split()[0] for x in SCORED.split(", ")],
+        )
+
     def last(blocks):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = TaskContext.get().partitionId() << 33
-            known, counts = exact.value
             for part, seen, level in read(batches, blocks.value):
-                docs_here = part.num_rows
-                token = np.flatnonzero(seen.place > 0)
-                which, place = seen.which[token], seen.place[token]
-                doc = np.repeat(np.arange(docs_here), np.diff(np.append(seen.first, len(seen.which))) - 1)
-                starts = seen.first - np.arange(docs_here)
-                # exact counts of frequent words; the others are left to a join
-                h = seen.hashes
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-                share = np.where(hit, np.log10(np.where(hit, counts[at] if len(known) else 0, 0) + 0.5) - unit, 0)
-                base = np.add.reduceat(share[which], starts)
-                frequent = np.add.reduceat(hit[which].astype(np.int64), starts)
-                other = np.flatnonzero(~hit[which])
-                key, times = np.unique(doc[other] * len(h) + which[other], return_counts=True)
-                cuts = np.searchsorted(key, np.arange(1, docs_here) * len(h))
-                rare = [x.view(np.int64) for x in np.split(h[key % len(h)], cuts)]
-                # levels decide a token's probability, so it is computed once for each combination of them
-                read_levels = [*level[:, token], np.zeros(len(token), np.uint8), *level[: order - 1, token - 1]]
-                some, back = combinations([np.minimum(place, order - 1), *read_levels])
-                sums = []
-                for out in (False, True):
-                    each = log_probabilities(np.stack(read_levels)[:, some], place[some], total, distinct, mu, out)
-                    sums.append(np.stack([np.add.reduceat(x[back], starts) for x in each], 1))
-                learnt = np.array(part.column("learnt").to_pylist(), bool)
-                sums[1][~learnt] = 0
-                lists = lambda a: pa.array(list(a), pa.list_(pa.float64()))
-                longs = lambda a: pa.array(list(a), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array(np.arange(row, row + docs_here)),
-                        pa.array(np.bincount(doc, minlength=docs_here)), pa.array(frequent), pa.array(base),
-                        longs(rare), longs(np.split(times, cuts)), lists(sums[0]), lists(sums[1]),
-                    ],
-                    [x.split()[0] for x in SCORED.split(", ")],
-                )
-                row += docs_here
+                yield scored_rows(part, seen, level, row)
+                row += part.num_rows
 
         return run
 
@@ -421,8 +494,12 @@ def score(docs: DataFrame, model: Model, training: Column) -> DataFrame:
     for run in model.runs[:-1]:
         blocks = spark.sparkContext.broadcast(model.filter_of(*run))
         rows = stored(rows.mapInArrow(pass_over(blocks), "doc_id long, learnt boolean, text string, levels binary"), "levels")
+        blocks.destroy()
     blocks = spark.sparkContext.broadcast(model.filter_of(*model.runs[-1]))
     scored = stored(rows.mapInArrow(last(blocks), SCORED), "scored")
+    # what was scored is written, so no task asks for these again
+    blocks.destroy()
+    exact.destroy()
     likely = scored.agg(*[F.sum(F.col("left_out")[i]) for i in range(len(MU))]).first()
     best = int(np.argmax([-np.inf if x is None else x for x in likely]))
 

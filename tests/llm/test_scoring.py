@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,38 @@ def test_lm_filter_never_reads_too_low():
     assert (bloom_lm.LEAST[1:] <= bloom_lm.GREATEST[1:]).all() and (bloom_lm.LEAST[:9] == np.arange(9)).all()
 
 
+def test_lm_levels_are_read_by_few_probes(monkeypatch):
+    """What took many probes is asked of the filter once a task, and gives what the filter gives; memory has a bound."""
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
+    level = rng.integers(0, 30, len(h))
+    held = bloom_lm.Filter(1, *(lambda bits, block: (bits, [(0, bits, block)]))(*bloom_lm.block_of(h, level, 1)))
+    asked, plain = [], held.levels(h)
+    monkeypatch.setattr(held, "_read", lambda h, level, read=held._read: (asked.append(len(h)), read(h, level))[1])
+    for most in (1 << 20, 500, 0):
+        monkeypatch.setattr(bloom_lm, "MEMORY", most)
+        memory = bloom_lm.Remembered(held)
+        for some in (h[::2], h, h[:0], h):
+            asked.clear()
+            assert (memory.levels(some) == held.levels(some)).all()
+        assert len(memory.h) <= most
+        assert sum(asked) - len(h) == len(h) - min(most, int((plain >= bloom_lm.WORTH).sum()))
+
+
+def test_lm_tokens_against_python():
+    """Every word has a hash of its own, also where one begins another or has null bytes at its end."""
+    rows = [*ODD_TEXTS, " ".join("x" * n for n in range(1, 70)), "\x00 \x00\x00 a\x00 a", " q\x1cq   z "]
+    seen = bloom_lm.Tokens.of(pa.array(["left out", *rows], pa.string()).slice(1))
+    numbers, expected = {}, []
+    for t in rows:
+        expected += ["begin", *(t or "").encode().lower().split(), "end"]
+    got = seen.hashes[seen.which].tolist()
+    assert [numbers.setdefault(w, h) for w, h in zip(expected, got, strict=True)] == got
+    assert len(set(numbers.values())) == len(numbers)
+    assert numbers["begin"] == bloom_lm.BEGIN and numbers["end"] == bloom_lm.END
+    assert (seen.hashes[1:] > seen.hashes[:-1]).all()
+
+
 def test_lm_probabilities_sum_to_one_at_most():
     """Over all words after one history, with any levels that counts may have."""
     rng = np.random.default_rng(2)
