@@ -5,8 +5,8 @@ the filter j times, as (n-gram, 1) to (n-gram, j); its level is read by probing
 levels are never read too low, and too high with a chance of some 1.2 % a step. A member's bits lie in two words of one
 line, so a probe is two reads, and at each level n-grams in the order of their hashes meet the lines in order. The filter
 is cut into blocks by hash.
-Workers get as many blocks at once as a bound on broadcasts allows; where there are more, documents take further passes,
-each over other blocks, with what they have read so far. The number of passes changes no result.
+Workers get all blocks where a bound on broadcasts allows it; where there are more, the n-grams of each slice of text are
+sent to their blocks, and their levels come back to the slice. Which way is taken changes no result.
 
 Probabilities are smoothed recursively: p(w | h) = (c(hw) + mu p(w | shorter h)) / (c(h) + mu), where c(hw) is the least
 and c(h) the greatest count of the level, so the probabilities after a history sum to 1 at most. mu is
@@ -358,20 +358,70 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)
 
 
-def levels_read(seen: Tokens, order: int, held: list[Remembered], before: np.ndarray | None) -> np.ndarray:
-    """For each n, level of the n-gram up to each token (0 where a text has fewer); `before` has those of other blocks.
-
-    `held` has the filter for each n.
-    """
-    level = np.zeros((order, len(seen.which)), np.uint8) if before is None else before.copy()
-    level[0] += held[0].levels(seen.hashes)[seen.which]
+def levels_read(seen: Tokens, order: int, held: list[Remembered]) -> np.ndarray:
+    """For each n, level of the n-gram up to each token (0 where a text has fewer); `held` has the filter for each n."""
+    level = np.zeros((order, len(seen.which)), np.uint8)
+    level[0] = held[0].levels(seen.hashes)[seen.which]
     for n, h in enumerate(grams(seen.hashes[seen.which], order)[1:], 1):
         whole = np.flatnonzero(seen.place >= n)
         distinct, back = np.unique(h[whole], return_inverse=True)
-        level[n, whole] += held[n].levels(distinct)[back]
+        level[n, whole] = held[n].levels(distinct)[back]
     return level
 
 
+def every_gram(seen: Tokens, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The distinct n-grams of all n in order, for each n the places that have one, and which of all each of these has."""
+    found = grams(seen.hashes[seen.which], order)
+    whole = [np.flatnonzero(seen.place >= n) for n in range(order)]
+    every, back = np.unique(np.concatenate([h[w] for h, w in zip(found, whole, strict=True)]), return_inverse=True)
+    return every, whole, back
+
+
+SLICES = "slice long, doc_id array<long>, learnt array<boolean>, text array<string>"
+
+
+def sliced(rows: DataFrame) -> DataFrame:
+    """Rows of SCORE_BYTES of texts each, named by the number of their first row; further ones follow in the array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for first, end in runs_of(batch, SCORE_BYTES):
+                names = ["doc_id", "learnt", "text"]
+                cells = [pa.array([batch.column(c).slice(first, end - first).to_pylist()], pa.list_(batch.schema.field(c).type)) for c in names]
+                yield pa.RecordBatch.from_arrays([pa.array([row]), *cells], ["slice", *names])
+                row += end - first
+
+    return rows.mapInArrow(run, SLICES)
+
+
+def sent_levels(slices: DataFrame, model: Model) -> DataFrame:
+    """(slice, part, levels) of the distinct n-grams of each slice, in their order; each n-gram is looked up at its block."""
+    order, parts = model.order, model.parts
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                every, _, _ = every_gram(Tokens.of(batch.column("text").slice(i, 1).flatten()), order)
+                each = np.split(every, np.searchsorted(part_of(every, parts), np.arange(1, parts, dtype=np.uint64)))
+                some = [p for p in range(parts) if len(each[p])]
+                columns = [pa.array([batch.column("slice")[i].as_py()] * len(some)), pa.array(some, pa.int32()), pa.array([each[p].tobytes() for p in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "part", "hashes"])
+
+    def look(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        cells = asked["hashes"].to_pylist()
+        distinct, back = np.unique(np.frombuffer(b"".join(cells), np.uint64), return_inverse=True)
+        found = [(r["part"], r["bits"], r["block"]) for r in blocks.to_pylist()] if cells else []
+        level = Filter(parts, sum(r[1] for r in found), found).levels(distinct)[back] if found else np.zeros(len(back), np.uint8)
+        ends = np.cumsum([0, *(len(x) // 8 for x in cells)])
+        levels = [level[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"slice": asked["slice"], "part": asked["part"], "levels": pa.array(levels, pa.binary())})
+
+    asked = slices.select("slice", "text").mapInArrow(ask, "slice long, part int, hashes binary")
+    blocks = model.table.select("part", "bits", "block")
+    return asked.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(look, "slice long, part int, levels binary")
+
+
 def combinations(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places of one of each combination of small numbers, and for each place which of these it has."""
     code, size = np.zeros(len(columns[0]), np.int64), 1
@@ -423,26 +473,6 @@ def score(docs: DataFrame, model: Model, training: Column) -> DataFrame:
     exact = spark.sparkContext.broadcast(model.frequent_words())
     unit = np.log10(total + 0.5 * (distinct + 1))
 
-    def read(batches: Iterator[pa.RecordBatch], blocks: Filter):
-        held = [Remembered(blocks) for _ in range(order)]
-        for batch in batches:
-            for first, end in runs_of(batch, SCORE_BYTES):
-                seen = Tokens.of(batch.column("text").slice(first, end - first))
-                before = None
-                if "levels" in batch.schema.names:
-                    earlier = batch.column("levels").slice(first, end - first).to_pylist()
-                    before = np.concatenate([np.frombuffer(x, np.uint8).reshape(order, -1) for x in earlier], 1)
-                yield batch.slice(first, end - first), seen, levels_read(seen, order, held, before)
-
-    def pass_over(blocks):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, seen, level in read(batches, blocks.value):
-                cells = [x.tobytes() for x in np.split(level, seen.first[1:], axis=1)]
-                kept = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "learnt", "text")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(cells, pa.binary())], ["doc_id", "learnt", "text", "levels"])
-
-        return run
-
     def scored_rows(part: pa.RecordBatch, seen: Tokens, level: np.ndarray, row: int) -> pa.RecordBatch:
         known, counts = exact.value
         docs_here = part.num_rows
@@ -481,24 +511,39 @@ def score(docs: DataFrame, model: Model, training: Column) -> DataFrame:
             [x.split()[0] for x in SCORED.split(", ")],
         )
 
-    def last(blocks):
+    def at_once(blocks):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = TaskContext.get().partitionId() << 33
-            for part, seen, level in read(batches, blocks.value):
-                yield scored_rows(part, seen, level, row)
-                row += part.num_rows
+            held = [Remembered(blocks.value) for _ in range(order)]
+            for batch in batches:
+                for first, end in runs_of(batch, SCORE_BYTES):
+                    part = batch.slice(first, end - first)
+                    seen = Tokens.of(part.column("text"))
+                    yield scored_rows(part, seen, levels_read(seen, order, held), row)
+                    row += end - first
 
         return run
 
+    def by_slice(texts: pa.Table, sent: pa.Table) -> pa.Table:
+        row = texts["slice"][0].as_py()
+        part = pa.RecordBatch.from_arrays([texts[c].combine_chunks().flatten() for c in ("doc_id", "learnt", "text")], ["doc_id", "learnt", "text"])
+        seen = Tokens.of(part.column("text"))
+        _, whole, back = every_gram(seen, order)
+        read = np.frombuffer(b"".join(sent.sort_by("part")["levels"].to_pylist()), np.uint8)[back]
+        level = np.zeros((order, len(seen.which)), np.uint8)
+        for n, each in enumerate(np.split(read, np.cumsum([len(w) for w in whole])[:-1])):
+            level[n, whole[n]] = each
+        return pa.Table.from_batches([scored_rows(part, seen, level, row)])
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), training.cast("boolean").alias("learnt"), "text")
-    for run in model.runs[:-1]:
-        blocks = spark.sparkContext.broadcast(model.filter_of(*run))
-        rows = stored(rows.mapInArrow(pass_over(blocks), "doc_id long, learnt boolean, text string, levels binary"), "levels")
+    if len(model.runs) > 1:
+        slices = stored(sliced(rows), "slices")
+        levels = sent_levels(slices, model)
+        scored = stored(slices.groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(by_slice, SCORED), "scored")
+    else:
+        blocks = spark.sparkContext.broadcast(model.filter_of(*model.runs[0]))
+        scored = stored(rows.mapInArrow(at_once(blocks), SCORED), "scored")
         blocks.destroy()
-    blocks = spark.sparkContext.broadcast(model.filter_of(*model.runs[-1]))
-    scored = stored(rows.mapInArrow(last(blocks), SCORED), "scored")
-    # what was scored is written, so no task asks for these again
-    blocks.destroy()
     exact.destroy()
     likely = scored.agg(*[F.sum(F.col("left_out")[i]) for i in range(len(MU))]).first()
     best = int(np.argmax([-np.inf if x is None else x for x in likely]))

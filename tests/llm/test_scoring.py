@@ -101,6 +101,23 @@ def test_lm_passes_change_nothing(spark):
     assert found[0] == found[1]
 
 
+def test_lm_many_blocks_take_no_further_passes(spark, monkeypatch):
+    """However many runs of blocks there are, texts are written once; longer n-grams come back to their places too."""
+    monkeypatch.setattr(bloom_lm, "SCORE_BYTES", 2000)
+    written = []
+    monkeypatch.setattr(bloom_lm, "stored", lambda df, name, write=bloom_lm.stored: (written.append(name), write(df, name))[1])
+    rows = [(i, t) for i, t in enumerate(texts(8, 80) + ODD_TEXTS)] + [(None, "the same text"), (3, "rare-word a")]
+    docs = frame(spark, rows).repartition(3)
+    training = ~bloom_lm.held_out(F.col("doc_id"))
+    found = []
+    for mb in (128, 0.0005):
+        model = bloom_lm.Model(docs.filter(training), 3, filter_mb=mb)
+        written.clear()
+        found.append(sorted(bloom_lm.score(docs, model, training).collect(), key=str))
+    assert len(model.runs) > 2 and len(written) == 2
+    assert found[0] == found[1]
+
+
 def test_lm_filter_never_reads_too_low():
     rng = np.random.default_rng(1)
     h = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
