@@ -508,7 +508,7 @@ pairs as materialized (select record_index, id, case when merged then left(s1, g
 @query(MERGE_SQL + " select record_index, id, seq, repeat('?', length(seq)) as qual, seed_start, overlap, merged from pairs")
 def merge_pairs(spark, sf_dir):
     """Mates of READ bases, made from the whole of every read."""
-    return merge.merge_pairs(merge.pair_up(*mates(reads(spark, sf_dir)), same_id=True))
+    return merge.merge_pairs(merge.pair_up(*mates(reads(spark, sf_dir)), same_id=True), whole=True)
 
 
 @query(MERGE_SQL + " select count(*) as pairs, count(seed_start) as seeded, count(*) filter (merged) as merged from pairs")

@@ -2,6 +2,7 @@ import bz2
 import gzip
 import random
 
+import duckdb
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -57,6 +58,20 @@ def test_registered_pairs_hold_the_whole_text(spark, tmp_path):
     assert {r.overlap for r in rows} == {0, 20, 30, 45, 80, 120} and {r.merged for r in rows} == {True, False}
 
 
+def test_registered_pairs_are_those_of_the_sql_where_an_overlap_passes_a_mates_start(spark, tmp_path):
+    texts = ["ACTATAACATTATATAGATACAACTAACTAGAAAAGATAGTAGCATTAACTATAACATTATATAGATACAACTAACTAGAAAAGATAG"]  # of sf0.1
+    texts += [BASES[i : i + n] + BASES[i + d : i + n + d] for i, n, d in ((0, 44, 0), (50, 40, 2), (100, 48, 1), (200, 21, 0), (300, 30, 3))]
+    rows = [(i, t.lower().translate(str.maketrans("acgt", "abcd"))) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s1")).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("merge_pairs",):
+        rows = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, rows)) == sorted(con.execute(catalog.ORACLES[name]).fetchall())
+    mate = texts[0][44:]
+    assert merge.merge_pairs(pairs(spark, (texts[0][:44], rc(mate)))).first().seq == mate  # else all of a mate may lie anywhere
+
+
 def test_padding_and_pairing(spark):
     got = merge.merge_pairs(pairs(spark, (BASES[:60], rc(BASES[300:360]))), padding=3).first()
     assert got.seq == BASES[:60] + "NNN" + BASES[300:360]
