@@ -65,7 +65,7 @@ def test_registered_pairs_are_those_of_the_sql_where_an_overlap_passes_a_mates_s
     spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s1")).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("merge_pairs",):
+    for name in ("merge_pairs", "merge_counts"):
         rows = catalog.QUERIES[name](spark, str(tmp_path)).collect()
         assert sorted(map(tuple, rows)) == sorted(con.execute(catalog.ORACLES[name]).fetchall())
     mate = texts[0][44:]
