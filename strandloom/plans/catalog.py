@@ -71,12 +71,13 @@ def barcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Barcodes are written once: the queries below use them several times, and their making costs more than they do.
     """
-    r = _reads(spark, sf_dir).select("record_index", "id", "source", F.explode(pieces(F.col("seq"))).alias("p"))
     number = F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("int"), F.lit(0))
+    sample = F.when(number % 2 == 0, "even").otherwise("odd").alias("sample")
+    r = _reads(spark, sf_dir).select("record_index", "id", sample, F.explode(pieces(F.col("seq"))).alias("p"))
     return settled(
         r.select(
             (F.col("record_index") * PLACES + F.col("p.place")).alias("record_index"), F.concat_ws(":", "id", "p.place").alias("id"),
-            F.col("p.piece").alias("barcode"), F.when(number % 2 == 0, "even").otherwise("odd").alias("sample"),
+            F.col("p.piece").alias("barcode"), "sample",
         ),
         "barcodes",
     )
